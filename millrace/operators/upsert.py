@@ -14,7 +14,7 @@ def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFra
 
 
 def upsert(
-    base: DataFrame, batch: DataFrame, keys: list[str], precombine: str, compare_with_base: bool = False
+    base: DataFrame, batch: DataFrame, keys: list[str], precombine: list[str], compare_with_base: bool = False
 ) -> DataFrame:
     """``base`` with the rows of ``batch`` put in by key.
 
@@ -22,12 +22,12 @@ def upsert(
     replaces the stored row; with ``compare_with_base`` only if it is not older than that.
     Write the result to a new path and switch to it, or overwrite the partitions it touches.
     """
-    newest = latest(batch, keys, [precombine])
+    newest = latest(batch, keys, precombine)
     if compare_with_base:
-        old = base.select(*keys, F.col(precombine).alias("_stored"))
+        old = base.select(*keys, F.struct(*precombine).alias("_stored"))
         newest = (
             newest.join(old, keys, "left")
-            .where(F.col("_stored").isNull() | (F.col(precombine) >= F.col("_stored")))
+            .where(F.col("_stored").isNull() | (F.struct(*precombine) >= F.col("_stored")))
             .select(*batch.columns)
         )
     kept = base.join(newest.select(*keys), keys, "left_anti")

@@ -30,9 +30,8 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", timestamps: str = "yyyy-MM-dd HH:mm:ss") -> None:
     """CSV with a header line per file; an existing path is replaced."""
-    df.write.mode("overwrite").csv(
-        path, header=True, sep=sep, timestampFormat=timestamps, emptyValue='""', escape='"'
-    )
+    options = {"timestampFormat": timestamps, "timestampNTZFormat": timestamps, "escape": '"'}
+    df.write.mode("overwrite").options(**options).csv(path, header=True, sep=sep)
 
 
 def write_sorted_pairs(df: DataFrame, path: str, key: str, value: str) -> None:

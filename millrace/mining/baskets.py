@@ -37,3 +37,16 @@ def only_items(baskets: DataFrame, wanted: DataFrame, key: str, items: str = "it
     rows = baskets.select(key, F.explode(items).alias("item")).join(wanted.select("item"), "item", "left_semi")
     kept = rows.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias(items))
     return kept.where(F.size(items) >= at_least)
+
+
+def containing(baskets: DataFrame, candidates: DataFrame, items: str = "items", candidate: str = "candidate") -> DataFrame:
+    """In how many baskets each candidate set is contained: ``(candidate, n)``.
+
+    Equal baskets are counted once, with a weight. A basket meets the candidates whose
+    smallest item it holds; whether it holds the rest is checked on the row.
+    """
+    weighted = baskets.groupBy(items).agg(F.count("*").alias("weight"))
+    keyed = candidates.select(candidate, F.array_min(candidate).alias("_anchor")).distinct()
+    met = weighted.withColumn("_anchor", F.explode(items)).join(keyed, "_anchor")
+    held = met.where(F.size(F.array_except(candidate, items)) == 0)
+    return held.groupBy(candidate).agg(F.sum("weight").alias("n"))

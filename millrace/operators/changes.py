@@ -33,12 +33,18 @@ def parsed(records: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def _text(value: Column) -> Column:
+    """A value as text; numbers with a fraction in the form of a double, as 5.0."""
+    fraction = F.schema_of_variant(value).startswith("DECIMAL")
+    return F.when(fraction, value.try_cast("double").cast("string")).otherwise(value.cast("string"))
+
+
 def change_rows(records: DataFrame, column: str = "value") -> DataFrame:
     """One row per changed row: table, pk, action, log_pos, place in the record, values as text."""
     exploded = parsed(records, column).select(
         "table", "pk", "action", "log_pos", F.posexplode("rows").alias("ordinal", "row")
     )
-    text = F.transform_values("row", lambda _, value: value.cast("string"))
+    text = F.transform_values("row", lambda _, value: _text(value))
     return exploded.select("table", "pk", "action", "log_pos", "ordinal", text.alias("values"))
 
 
@@ -51,7 +57,7 @@ def value_lists(records: DataFrame, column: str = "value") -> DataFrame:
 
 def _literal(value: Column) -> Column:
     """A SQL literal: strings quoted (inner quotes doubled), anything else as it is."""
-    text = value.cast("string")
+    text = _text(value)
     quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
     return (
         F.when(text.isNull(), F.lit("null"))

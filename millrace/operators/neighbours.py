@@ -16,7 +16,9 @@ from millrace.session import written
 QUERY_BLOCK = 2_000
 
 
-def _nearest_in_block(points: DataFrame, block: list, k: int, vector: str, id_: str, label: str) -> DataFrame:
+def _nearest_in_block(
+    points: DataFrame, block: list, query_type: str, k: int, vector: str, id_: str, label: str
+) -> DataFrame:
     """For every query of one block, its k nearest points of each input batch."""
     names = [row["query_id"] for row in block]
     wanted = np.array([row[vector] for row in block], dtype="float64")
@@ -43,7 +45,6 @@ def _nearest_in_block(points: DataFrame, block: list, k: int, vector: str, id_:
             )
 
     fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    query_type = "long" if isinstance(names[0], int) else "string"
     return points.select(id_, vector, label).mapInPandas(
         search, f"query_id {query_type}, `{id_}` {fields[id_]}, `{label}` {fields[label]}, distance double"
     )
@@ -56,30 +57,28 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str, id_: str
     one pass over the points per block; each task keeps k per query and batch, so only
     those are shuffled.
     """
-    spark = points.sparkSession
-    order = Window.orderBy("query_id")
+    query_type = queries.schema["query_id"].dataType.simpleString()
     total = queries.limit(QUERY_BLOCK + 1).count()
     if total == 0:
         raise ValueError("nearest needs at least one query")
     if total <= QUERY_BLOCK:
         blocks = [queries.collect()]
     else:
+        inside = Window.partitionBy("_part").orderBy("query_id")
         ranged = queries.repartitionByRange("query_id").withColumn("_part", F.spark_partition_id())
         stored = written(
-            ranged.withColumn(
-                "_block", F.floor((F.row_number().over(order.partitionBy("_part")) - 1) / QUERY_BLOCK)
-            ),
+            ranged.withColumn("_block", F.floor((F.row_number().over(inside) - 1) / QUERY_BLOCK)),
             "knn-queries",
         )
         keys = [(r["_part"], r["_block"]) for r in stored.select("_part", "_block").distinct().toLocalIterator()]
         blocks = (stored.where((F.col("_part") == p) & (F.col("_block") == b)).collect() for p, b in keys)
     found = None
     for block in blocks:
-        part = _nearest_in_block(points, block, k, vector, id_, label)
+        part = _nearest_in_block(points, block, query_type, k, vector, id_, label)
         if total > QUERY_BLOCK:
             part = written(_first_k(part, k, id_), "knn-block")
         found = part if found is None else found.unionByName(part)
-    assert found is not None and spark is not None
+    assert found is not None
     return _first_k(found, k, id_)
 
 

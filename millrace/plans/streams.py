@@ -1 +1,108 @@
-"""Queries."""
+"""Streams over the given tables, run until all files are read."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.plans.changes import _APPLIED, ORDER_COLUMNS, change_records, change_target
+from millrace.plans.registry import Tables, query
+from millrace.streaming import arrivals, changes, counts
+from millrace.streaming.sources import BatchLog, file_stream
+
+
+def events(t: Tables) -> DataFrame:
+    return file_stream(t.spark, t.path("events"))
+
+
+def documents(t: Tables) -> DataFrame:
+    return file_stream(t.spark, t.path("documents"))
+
+
+@query(
+    "stream_batch_counts",
+    """SELECT word, count(*) AS count FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f]+')) AS word FROM documents)
+    WHERE word <> '' GROUP BY word""",
+)
+def stream_batch_counts(t: Tables) -> DataFrame:
+    log = BatchLog(t.spark, "word string, count long")
+    per_batch = counts.batch_counts(counts.words(documents(t), "text"), "word", log)
+    return per_batch.groupBy("word").agg(F.sum("count").alias("count"))
+
+
+@query(
+    "stream_running",
+    "SELECT word, count(*) AS count FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word",
+)
+def stream_running(t: Tables) -> DataFrame:
+    log = BatchLog(t.spark, "word string, count long")
+    return counts.running_counts(counts.words(documents(t), "text", how="pieces"), "word", log)
+
+
+@query(
+    "stream_per_arrival",
+    """SELECT event_type, n FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)""",
+)
+def stream_per_arrival(t: Tables) -> DataFrame:
+    out = BatchLog(t.spark, "event_type string, ts timestamp_ntz, event_id long, n long")
+    stored = [BatchLog(t.spark, "event_type string, n long", label=label) for label in ("counts", "totals")]
+    numbering = arrivals.Arrivals("event_type", ["ts", "event_id"], out, *stored)
+    numbered = numbering.run(events(t).select("event_type", "ts", "event_id"))
+    return numbered.select("event_type", "n")
+
+
+_WINDOWS = """SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS count FROM (
+    SELECT event_type, make_timestamp((epoch_us(ts) // 10000000 - back) * 10000000) AS s
+    FROM events, (SELECT unnest(range(0, 6)) AS back)) GROUP BY s, event_type"""
+
+
+def window_totals(t: Tables) -> DataFrame:
+    log = BatchLog(t.spark, "start timestamp, event_type string, count long")
+    return counts.window_counts(events(t), "ts", "event_type", log)
+
+
+@query("stream_window_counts", _WINDOWS)
+def stream_window_counts(t: Tables) -> DataFrame:
+    return window_totals(t).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "stream_window_top5",
+    f"""SELECT start, event_type, count, rn::INTEGER AS rn FROM (
+      SELECT *, row_number() OVER (PARTITION BY start ORDER BY count DESC, event_type) AS rn FROM ({_WINDOWS})) WHERE rn <= 5""",
+)
+def stream_window_top5(t: Tables) -> DataFrame:
+    top = counts.top_per_window(window_totals(t), "event_type")
+    return top.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_daily_totals", "SELECT CAST(ts AS DATE) AS dt, user_id, count(*) AS count FROM events GROUP BY ALL")
+def stream_daily_totals(t: Tables) -> DataFrame:
+    log = BatchLog(t.spark, "dt date, user_id long, count long")
+    return counts.daily_totals(events(t), "ts", "user_id", log)
+
+
+def record_stream(t: Tables) -> DataFrame:
+    """The change records as files, and those as a stream."""
+    path = t.scratch("records")
+    change_records(t).write.text(path)
+    return file_stream(t.spark, path, "value string", fmt="text")
+
+
+@query("stream_cdc_apply", _APPLIED)
+def stream_cdc_apply(t: Tables) -> DataFrame:
+    columns = ", ".join(f"{name} {kind}" for name, kind in ORDER_COLUMNS.items())
+    log = BatchLog(t.spark, f"{columns}, action string, log_pos long, ordinal int")
+    collected = changes.collect_changes(record_stream(t), "shop.orders", ORDER_COLUMNS, ["id"], log)
+    return changes.merged(change_target(t), collected, ["id"])
+
+
+@query(
+    "stream_cdc_sql",
+    """SELECT o_orderkey AS log_pos, CASE o_orderstatus WHEN 'F' THEN 'update' WHEN 'O' THEN 'insert' ELSE 'delete' END AS action,
+      CASE o_orderstatus WHEN 'F' THEN 'update shop.orders set ' WHEN 'O' THEN 'insert into shop.orders values ('
+        ELSE 'delete from shop.orders where ' END AS opening FROM orders""",
+)
+def stream_cdc_sql(t: Tables) -> DataFrame:
+    log = BatchLog(t.spark, "log_pos long, `table` string, action string, sql string")
+    told = changes.statements(record_stream(t), log)
+    opening = F.regexp_extract("sql", r"^(insert into \S+ values \(|update \S+ set |delete from \S+ where )", 1)
+    return told.select("log_pos", "action", opening.alias("opening"))

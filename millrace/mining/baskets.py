@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def clean_items(items: Column) -> Column:
     """Different items, sorted, without blanks and without the word null in any case."""
-    kept = F.filter(items, lambda x: ~x.rlike(r"^\s*\z") & (F.lower(F.trim(x)) != "null"))
+    kept = F.filter(items, lambda x: ~x.rlike(r"^[\x00-\x20]*\z") & (F.lower(x) != "null"))
     return F.array_sort(F.array_distinct(kept))
 
 

@@ -18,7 +18,8 @@ def parsed(records: DataFrame, column: str = "value") -> DataFrame:
     An update carries its new row as ``after_values``, the other actions as ``values``. The
     maps keep the order of the document and the type of every value.
     """
-    record = records.select(F.from_json(column, RECORD).alias("r")).select("r.*")
+    # inline() keeps the parsed record as one step: it is not parsed again for every field.
+    record = records.select(F.inline(F.array(F.from_json(column, RECORD))))
     listed = F.from_json("table_pk", "array<string>")
     pk = F.when(F.col("table_pk").startswith("["), listed).otherwise(F.array("table_pk"))
     new_row = F.when(F.col("action") == "update", F.lit("after_values")).otherwise(F.lit("values"))
@@ -41,9 +42,10 @@ def _text(value: Column) -> Column:
 
 def change_rows(records: DataFrame, column: str = "value") -> DataFrame:
     """One row per changed row: table, pk, action, log_pos, place in the record, values as text."""
+    # The outer form adds no filter on the size of ``rows``, which would work them out twice.
     exploded = parsed(records, column).select(
-        "table", "pk", "action", "log_pos", F.posexplode("rows").alias("ordinal", "row")
-    )
+        "table", "pk", "action", "log_pos", F.posexplode_outer("rows").alias("ordinal", "row")
+    ).where(F.col("row").isNotNull())
     text = F.transform_values("row", lambda _, value: _text(value))
     return exploded.select("table", "pk", "action", "log_pos", "ordinal", text.alias("values"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import written
 
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 1_000
 
 
 def _nearest_in_block(
@@ -31,18 +31,17 @@ def _nearest_in_block(
             have = np.stack(batch[vector].to_numpy()).astype("float64")
             gap = squared + (have**2).sum(axis=1)[None, :] - 2.0 * wanted @ have.T
             keep = min(k, len(batch))
-            # Candidates by the fast formula, with every tie at the cut; distances again exactly.
+            # Candidates by the fast formula with room for its rounding; then distances exactly,
+            # so that ties at the cut are decided by id and k per query remain.
+            room = 1e-9 * (1.0 + squared.max() + (have**2).sum(axis=1).max())
             cut = np.partition(gap, keep - 1, axis=1)[:, keep - 1 : keep]
-            query, point = np.nonzero(gap <= cut + 1e-9)
-            exact = ((wanted[query] - have[point]) ** 2).sum(axis=1)
-            yield pd.DataFrame(
-                {
-                    "query_id": [names[q] for q in query],
-                    id_: batch[id_].to_numpy()[point],
-                    label: batch[label].to_numpy()[point],
-                    "distance": np.sqrt(exact),
-                }
-            )
+            query, point = np.nonzero(gap <= cut + room)
+            found = pd.DataFrame({"_query": query, id_: batch[id_].to_numpy()[point]})
+            found[label] = batch[label].to_numpy()[point]
+            found["distance"] = np.sqrt(((wanted[query] - have[point]) ** 2).sum(axis=1))
+            best = found.sort_values(["_query", "distance", id_]).groupby("_query").head(k)
+            best.insert(0, "query_id", [names[q] for q in best["_query"]])
+            yield best.drop(columns="_query")
 
     fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     return points.select(id_, vector, label).mapInPandas(
@@ -54,7 +53,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str, id_: str
     """The k nearest points of every query: ``(query_id, id, label, distance, rn)``.
 
     ``queries`` has ``query_id`` and the vector. Queries go out in blocks of bounded size,
-    one pass over the points per block; each task keeps k per query and batch, so only
+    one pass over the points per block; each task keeps k per query and input batch, so only
     those are shuffled.
     """
     query_type = queries.schema["query_id"].dataType.simpleString()
@@ -90,7 +89,7 @@ def _first_k(found: DataFrame, k: int, id_: str) -> DataFrame:
 def vote(neighbours: DataFrame, label: str) -> DataFrame:
     """The label most neighbours have; of equally frequent ones the smallest."""
     votes = neighbours.groupBy("query_id", label).agg(F.count("*").alias("votes"))
-    best = F.max_by(F.struct(label, "votes"), F.struct("votes", -F.col(label)))
+    best = F.min_by(F.struct(label, "votes"), F.struct(-F.col("votes"), F.col(label)))
     return votes.groupBy("query_id").agg(best.alias("_best")).select("query_id", "_best.*")
 
 

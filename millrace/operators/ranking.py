@@ -33,20 +33,26 @@ def secondary_sort(df: DataFrame, keys: list[str], order: list[str], partitions:
     return ranged.sortWithinPartitions(*columns)
 
 
+def stored_ranges(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """``df`` cut into ranges over ``order``, written with the number of the range in ``name``.
+
+    The numbers grow with the order. Written, because a range must keep its rows whatever is
+    computed again. ``partitions`` fixes the number of ranges.
+    """
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(count, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def row_numbers(
     df: DataFrame, keys: list[str], order: list[str], name: str = "rn", partitions: int | None = None
 ) -> DataFrame:
     """Number the rows of every key by ``order``, from 1, also where one key is very large.
 
-    The rows are range-sorted and written with the number of their range. Each range counts
-    its rows per key; a running total of these few counts is where its numbering starts.
-    ``order`` should end in a unique column. ``partitions`` fixes the number of ranges.
+    The rows are cut into ranges over keys and order together. Each range counts its rows per
+    key; a running total of these few counts is where its numbering starts. ``order`` should
+    end in a unique column.
     """
-    spark = df.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *keys, *order).withColumn("_range", F.spark_partition_id())
-    runs = written(ranged, "row-numbers")
-
+    runs = stored_ranges(df, [*keys, *order], "_range", partitions)
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         runs.groupBy(*keys, "_range")

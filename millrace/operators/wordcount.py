@@ -9,8 +9,8 @@ WHITESPACE = "[ \\t\\n\\r\\f]+"
 
 
 def tokens(text: Column | str) -> Column:
-    """Words between runs of whitespace; never blank."""
-    return F.filter(F.split(text, WHITESPACE), lambda word: word != "")
+    """Pieces between runs of whitespace; blank only at the ends of a text."""
+    return F.split(text, WHITESPACE)
 
 
 def pieces(text: Column | str) -> Column:
@@ -18,12 +18,15 @@ def pieces(text: Column | str) -> Column:
     return F.split(text, " ")
 
 
+def words(lines: DataFrame, text: str, how: str = "tokens", keep_blank: bool = False) -> DataFrame:
+    """One row ``word`` per word of a text column, batch or stream."""
+    found = lines.select(F.explode({"tokens": tokens, "pieces": pieces}[how](text)).alias("word"))
+    return found if keep_blank else found.where(F.col("word") != "")
+
+
 def count_words(lines: DataFrame, text: str, how: str = "tokens", keep_blank: bool = False) -> DataFrame:
     """Rows ``(word, count)`` over a text column, split by ``tokens`` or by ``pieces``."""
-    words = lines.select(F.explode({"tokens": tokens, "pieces": pieces}[how](text)).alias("word"))
-    if not keep_blank:
-        words = words.where(F.trim("word") != "")
-    return words.groupBy("word").agg(F.count("*").alias("count"))
+    return words(lines, text, how, keep_blank).groupBy("word").agg(F.count("*").alias("count"))
 
 
 def word_documents(counts: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import changes, logs, reshape, upsert
+from millrace.operators import changes, logs, ranking, reshape, upsert
 from millrace.plans.registry import Tables, query
 
 # Wide rows and cells.
@@ -154,9 +154,7 @@ def cdc_values(t: Tables) -> DataFrame:
     return changes.value_lists(change_records(t)).withColumn("value_list", F.array_join("value_list", "|"))
 
 
-@query(
-    "cdc_sql",
-    f"""WITH {_CHANGES}, parts AS (SELECT *, coalesce('''' || replace(note, '''', '''''') || '''', 'null') AS q,
+CHANGE_SQL = f"""WITH {_CHANGES}, parts AS (SELECT *, coalesce('''' || replace(note, '''', '''''') || '''', 'null') AS q,
       CASE WHEN two_keys THEN 'id=' || id || ' and cust=' || cust ELSE 'id=' || id END AS w FROM changes),
     texts AS (SELECT log_pos, action,
       'insert into shop.orders values ' || string_agg('(' || id || ', ' || cust || ', ' || price::VARCHAR || ', ' || q || ')', ', ' ORDER BY ordinal) AS ins,
@@ -165,15 +163,17 @@ def cdc_values(t: Tables) -> DataFrame:
       'delete from shop.orders where ' || CASE WHEN min(w) = max(w) THEN '(' || min(w) || ')'
         ELSE string_agg('(' || w || ')', ' or ' ORDER BY ordinal) END AS del
     FROM parts GROUP BY log_pos, action)
-    SELECT log_pos, 'shop.orders' AS "table", action, CASE action WHEN 'insert' THEN ins WHEN 'update' THEN upd ELSE del END AS sql FROM texts""",
-)
+    SELECT log_pos, 'shop.orders' AS "table", action, CASE action WHEN 'insert' THEN ins WHEN 'update' THEN upd ELSE del END AS sql FROM texts"""
+
+
+@query("cdc_sql", CHANGE_SQL)
 def cdc_sql(t: Tables) -> DataFrame:
     return changes.change_sql(change_records(t))
 
 
 ORDER_COLUMNS = {"id": "long", "cust": "long", "price": "double", "note": "string"}
 
-_APPLIED = f"""WITH {_CHANGES}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id
+APPLIED = f"""WITH {_CHANGES}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id
       ORDER BY log_pos DESC, ordinal DESC) AS rn FROM changes) WHERE rn = 1)
     SELECT id, cust, price, note FROM last WHERE action <> 'delete'
     UNION ALL SELECT c_custkey * 7, c_custkey, c_acctbal, c_name FROM customer WHERE c_custkey * 7 NOT IN (SELECT id FROM last)"""
@@ -189,7 +189,7 @@ def change_target(t: Tables) -> DataFrame:
     )
 
 
-@query("cdc_apply", _APPLIED)
+@query("cdc_apply", APPLIED)
 def cdc_apply(t: Tables) -> DataFrame:
     rows = changes.typed_changes(changes.change_rows(change_records(t)), "shop.orders", ORDER_COLUMNS)
     return upsert.apply_changes(change_target(t), rows, ["id"], ["log_pos", "ordinal"])
@@ -198,8 +198,6 @@ def cdc_apply(t: Tables) -> DataFrame:
 # A query log made from conversations: what a user says is a query, compiled when it is
 # answered; system lines are noise, and so is what a long answer goes on with.
 
-LINES_PER_BLOCK = 16
-
 _LINES = r"""
 lines AS (SELECT (conv_id % 4)::VARCHAR AS source, conv_id, turn, pos - 1 AS pos, CASE
     WHEN pos > 1 THEN parts[pos]
@@ -224,7 +222,7 @@ SELECT source, id::BIGINT AS id, q.query_id, start_time, end_time, duration, "us
 
 
 def log_lines(t: Tables) -> DataFrame:
-    """The log: lines with source, block and order."""
+    """The log: lines with source, block and order; blocks are ranges along the sources."""
     said = t.conversations.select(
         "conv_id", "turn", "role", "text", F.posexplode(F.split("text", "\n")).alias("pos", "part")
     )
@@ -243,12 +241,12 @@ def log_lines(t: Tables) -> DataFrame:
         .when(F.col("role") == "assistant", completed)
         .otherwise(F.concat(F.lit("2024-01-01T09:00:00,000 WARN  "), "part"))
     )
-    return said.select(
+    lines = said.select(
         F.pmod("conv_id", F.lit(4)).cast("string").alias("source"),
-        F.floor(F.col("conv_id") / LINES_PER_BLOCK).alias("block"),
         F.struct("conv_id", "turn", "pos").alias("seq"),
         line.alias("line"),
     )
+    return ranking.stored_ranges(lines, ["source", "seq"], "block")
 
 
 @query("log_sessions", _SESSIONS)

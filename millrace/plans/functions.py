@@ -195,7 +195,7 @@ def string_fns(t: Tables) -> DataFrame:
     return t.documents.select(
         "doc_id",
         F.regexp_replace("text", " +", " ").alias("collapsed"),
-        F.array_join(tokens("text"), "\t").alias("joined"),
+        F.array_join(F.filter(tokens("text"), lambda x: x != ""), "\t").alias("joined"),
         F.trim(F.upper("source")).alias("label"),
         F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("padded"),
         F.format_string("%.2f", F.col("n_chars") / F.lit(4.0)).alias("quarter"),

@@ -49,7 +49,7 @@ def type_itemsets(t: Tables) -> DataFrame:
 @query(
     "basket_clean",
     r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(s, ','), lambda x:
-      NOT regexp_full_match(x, '\s*') AND lower(trim(x)) <> 'null'))), '|') AS items
+      NOT regexp_full_match(x, '[\x00-\x20]*') AND lower(x) <> 'null'))), '|') AS items
     FROM (SELECT doc_id, text || ',,null, NULL , ,' || source || ',' || lang || ',' || source AS s FROM documents)""",
 )
 def basket_clean(t: Tables) -> DataFrame:

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.changes import _APPLIED, ORDER_COLUMNS, change_records, change_target
+from millrace.operators.wordcount import words
+from millrace.plans.changes import APPLIED, CHANGE_SQL, ORDER_COLUMNS, change_records, change_target
 from millrace.plans.registry import Tables, query
 from millrace.streaming import arrivals, changes, counts
 from millrace.streaming.sources import BatchLog, file_stream
@@ -24,7 +25,7 @@ def documents(t: Tables) -> DataFrame:
 )
 def stream_batch_counts(t: Tables) -> DataFrame:
     log = BatchLog(t.spark, "word string, count long")
-    per_batch = counts.batch_counts(counts.words(documents(t), "text"), "word", log)
+    per_batch = counts.batch_counts(words(documents(t), "text"), "word", log)
     return per_batch.groupBy("word").agg(F.sum("count").alias("count"))
 
 
@@ -34,7 +35,7 @@ def stream_batch_counts(t: Tables) -> DataFrame:
 )
 def stream_running(t: Tables) -> DataFrame:
     log = BatchLog(t.spark, "word string, count long")
-    return counts.running_counts(counts.words(documents(t), "text", how="pieces"), "word", log)
+    return counts.running_counts(words(documents(t), "text", how="pieces", keep_blank=True), "word", log)
 
 
 @query(
@@ -87,7 +88,7 @@ def record_stream(t: Tables) -> DataFrame:
     return file_stream(t.spark, path, "value string", fmt="text")
 
 
-@query("stream_cdc_apply", _APPLIED)
+@query("stream_cdc_apply", APPLIED)
 def stream_cdc_apply(t: Tables) -> DataFrame:
     columns = ", ".join(f"{name} {kind}" for name, kind in ORDER_COLUMNS.items())
     log = BatchLog(t.spark, f"{columns}, action string, log_pos long, ordinal int")
@@ -95,14 +96,7 @@ def stream_cdc_apply(t: Tables) -> DataFrame:
     return changes.merged(change_target(t), collected, ["id"])
 
 
-@query(
-    "stream_cdc_sql",
-    """SELECT o_orderkey AS log_pos, CASE o_orderstatus WHEN 'F' THEN 'update' WHEN 'O' THEN 'insert' ELSE 'delete' END AS action,
-      CASE o_orderstatus WHEN 'F' THEN 'update shop.orders set ' WHEN 'O' THEN 'insert into shop.orders values ('
-        ELSE 'delete from shop.orders where ' END AS opening FROM orders""",
-)
+@query("stream_cdc_sql", CHANGE_SQL)
 def stream_cdc_sql(t: Tables) -> DataFrame:
     log = BatchLog(t.spark, "log_pos long, `table` string, action string, sql string")
-    told = changes.statements(record_stream(t), log)
-    opening = F.regexp_extract("sql", r"^(insert into \S+ values \(|update \S+ set |delete from \S+ where )", 1)
-    return told.select("log_pos", "action", opening.alias("opening"))
+    return changes.statements(record_stream(t), log).drop("batch_id")

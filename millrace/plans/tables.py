@@ -11,6 +11,8 @@ from millrace.sources import connectors, files, schema, sync, tables
 
 ORDER_DETAIL = {"id": "bigint", "order_id": "bigint", "charge_time": "timestamp_ntz", "amount": "double"}
 
+ARRAY_ROWS = 10_000
+
 
 def table_name(label: str) -> str:
     return f"{label}_{uuid.uuid4().hex[:12]}"
@@ -72,14 +74,16 @@ def csv_json_scan(t: Tables) -> DataFrame:
     csv, lines, array = t.scratch("csv"), t.scratch("json"), t.scratch("json-array")
     files.write_csv(t.customer, csv)
     t.customer.write.json(lines)
-    # JSON array files: one array per nation.
-    per_nation = t.customer.groupBy("c_nationkey").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
-    per_nation.select("c_nationkey", "value").write.partitionBy("c_nationkey").text(array)
+    # JSON array files: one array of a bounded range of customers in each.
+    ranges = t.customer.groupBy(F.floor(F.col("c_custkey") / ARRAY_ROWS)).agg(
+        F.to_json(F.collect_list(F.struct(*t.customer.columns))).alias("value")
+    )
+    ranges.select("value").write.option("maxRecordsPerFile", 1).text(array)
     columns = t.customer.schema.simpleString()[len("struct<") : -1].replace(":", " ")
     read = {
         "csv": files.read_csv(t.spark, csv, columns),
         "json": files.read_json(t.spark, lines, columns),
-        "json_array": t.spark.read.schema(columns).option("recursiveFileLookup", True).json(array, multiLine=True),
+        "json_array": files.read_json(t.spark, array, columns, multi_line=True),
     }
     together = None
     for kind, rows in read.items():

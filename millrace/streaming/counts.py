@@ -6,16 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import top_per_group
-from millrace.operators.wordcount import pieces, tokens
 from millrace.streaming.sources import BatchLog, run_available
 
 
-def words(stream: DataFrame, text: str, how: str = "tokens") -> DataFrame:
-    """One row ``word`` per word; ``pieces`` keeps blanks between two spaces."""
-    split = {"tokens": tokens, "pieces": pieces}[how]
-    return stream.select(F.explode(split(text)).alias("word"))
-
-
 def batch_counts(stream: DataFrame, key: str, log: BatchLog, checkpoint: str | None = None) -> DataFrame:
     """Counts inside every micro-batch: ``(key, count, batch_id)``; no state."""
 

@@ -23,7 +23,7 @@ PROVINCES = (
 WEIGHTS = "7 9 10 5 8 4 2 1 6 3 7 9 10 5 8 4 2"
 CHECK_CHARS = "10X98765432"
 
-_BLANK = r"s rlike '^[\\x00-\\x20]*\\z'"
+_BLANK = r"(s IS NULL OR s rlike '^[\\x00-\\x20]*\\z')"
 
 # base64() breaks lines every 76 characters; the result must not.
 _ENCODE_BASE64 = rf"""

@@ -25,7 +25,7 @@ def base64_decode(t: Tables) -> DataFrame:
         fn.decode_base64("s").alias("decoded"),
         fn.decode_base64(F.rtrim("s", F.lit("="))).alias("decoded_unpadded"),
         fn.decode_base64(F.concat(F.lit("@"), "s")).alias("broken"),
-        fn.decode_base64(F.regexp_replace("s", ".", " ")).alias("blank"),
+        fn.decode_base64(F.repeat(F.lit(" "), F.length("s"))).alias("blank"),
     )
 
 

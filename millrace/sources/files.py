@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.reshape import as_text
 
@@ -57,6 +58,14 @@ def export_text(df: DataFrame, path: str, sep: str = TAB) -> None:
     export_lines(df, sep).write.mode("overwrite").text(path)
 
 
-def read_export(spark: SparkSession, path: str, schema: str, sep: str = TAB) -> DataFrame:
-    """Exported text by a declared schema."""
-    return spark.read.schema(schema).csv(path, sep=sep, nullValue=NULL_TEXT, quote="", emptyValue="")
+def read_export(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = TAB) -> DataFrame:
+    """Exported text by a declared schema; ``\\N`` and unreadable values are null, '' is ''."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    parts = spark.read.text(path).select(F.split("value", f"\\Q{sep}\\E", -1).alias("parts"))
+
+    def field(i: int, declared: T.StructField) -> Column:
+        text = F.nullif(F.get("parts", F.lit(i)), F.lit(NULL_TEXT))
+        same = isinstance(declared.dataType, T.StringType)
+        return (text if same else text.try_cast(declared.dataType)).alias(declared.name)
+
+    return parts.select(*(field(i, declared) for i, declared in enumerate(fields)))

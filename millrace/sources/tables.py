@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.files import read_export
+
 
 def scan(spark: SparkSession, table: str, *columns: str) -> DataFrame:
     """A table (or view, as ``db.table`` too), all columns or some."""
@@ -88,7 +90,7 @@ def replace_rows(df: DataFrame, table: str) -> None:
 
 def load_file(spark: SparkSession, path: str, table: str, sep: str = "\t") -> None:
     """Read a delimited file by the table's own schema and replace the table's rows."""
-    replace_rows(spark.read.schema(spark.table(table).schema).csv(path, sep=sep, nullValue="\\N"), table)
+    replace_rows(read_export(spark, path, spark.table(table).schema, sep), table)
 
 
 def publish_view(df: DataFrame, name: str, across_sessions: bool = False) -> str:

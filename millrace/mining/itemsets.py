@@ -89,11 +89,13 @@ def frequent_itemsets(
     max_size: int = MAX_SIZE,
     min_size: int = 2,
     strict: bool = False,
+    trace: str | None = None,
 ) -> DataFrame:
     """All itemsets of ``min_size`` to ``max_size`` items in enough baskets.
 
     Rows ``(items, k, num, row_num)``: the sorted set, its size, the number of baskets that
     hold it and the number of all baskets. ``strict`` asks for more than ``min_support``.
+    ``trace`` names a folder for the candidates of every level and their counts.
     """
     # Numbered once and stored: a basket must keep its number whatever is computed again.
     stored = written(
@@ -109,10 +111,12 @@ def frequent_itemsets(
     merged = written(pruned.groupBy("items").agg(F.count("*").alias("weight")), "merged-baskets")
     rows = _first_rows(merged)
     for size in range(2, max_size + 1):
-        counts = rows.select("prefix", F.explode("rest").alias("item"), "weight").groupBy("prefix", "item")
-        passed = written(
-            counts.agg(F.sum("weight").alias("num")).where(F.col("num") >= enough), f"itemsets-{size}"
-        )
+        pairs = rows.select("prefix", F.explode("rest").alias("item"), "weight")
+        counts = pairs.groupBy("prefix", "item").agg(F.sum("weight").alias("num"))
+        if trace:
+            ck = F.array_join(F.array_append("prefix", F.col("item")), ",").alias("ck")
+            counts.select(ck, "num").write.mode("overwrite").parquet(f"{trace}/k={size}")
+        passed = written(counts.where(F.col("num") >= enough), f"itemsets-{size}")
         if passed.isEmpty():
             break
         if size >= min_size:

@@ -37,10 +37,11 @@ def stored_ranges(df: DataFrame, order: list[str], name: str, partitions: int |
     """``df`` cut into ranges over ``order``, written with the number of the range in ``name``.
 
     The numbers grow with the order. Written, because a range must keep its rows whatever is
-    computed again. ``partitions`` fixes the number of ranges.
+    computed again. ``partitions`` fixes the number of ranges; else there are at most
+    ``spark.sql.shuffle.partitions``, and small neighbours are joined at run time.
     """
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(count, *order).withColumn(name, F.spark_partition_id()), "ranges")
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return written(ranged.withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def row_numbers(

@@ -180,13 +180,13 @@ def maximal_sets(t: Tables) -> DataFrame:
 
 @query(
     "contain_join",
-    f"""WITH {_MASKS} SELECT frequent_set AS candidate, num AS n FROM counts WHERE k = 3""",
+    f"""WITH {_MASKS} SELECT c.frequent_set AS candidate, c.num AS n FROM counts c JOIN weights w ON w.mask = c.s WHERE c.k = 3""",
 )
 def contain_join(t: Tables) -> DataFrame:
-    kinds = t.part.agg(F.array_sort(F.collect_set("p_type")).alias("kinds"))
-    candidates = kinds.select(F.explode(combinations("kinds", 3)).alias("candidate"))
-    found = baskets.containing(type_baskets(t), candidates)
-    return found.select(F.array_join("candidate", ",").alias("candidate"), "n")
+    found = type_baskets(t)
+    candidates = found.where(F.size("items") == 3).select(F.col("items").alias("candidate")).distinct()
+    counted = baskets.containing(found, candidates)
+    return counted.select(F.array_join("candidate", ",").alias("candidate"), "n")
 
 
 @query(

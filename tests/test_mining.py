@@ -128,3 +128,12 @@ def test_containing_equals_brute_force(spark, rows):
     found = B.containing(frame(spark, rows), spark.createDataFrame([(c,) for c in candidates], "candidate array<string>"))
     want = {tuple(c): sum(set(c) <= r for r in rows) for c in candidates}
     assert {tuple(r.candidate): r.n for r in found.collect()} == {c: n for c, n in want.items() if n}
+
+
+def test_trace_of_candidates(spark, tmp_path):
+    I.frequent_itemsets(frame(spark, SAMPLE), 0.5, trace=str(tmp_path / "ck"))
+    found = {(r.k, r.ck): r.num for r in spark.read.parquet(str(tmp_path / "ck")).collect()}
+    # D is not frequent, so no candidate holds it; A,B and A,E are counted but do not pass.
+    assert found == {
+        (2, "A,B"): 1, (2, "A,C"): 2, (2, "A,E"): 1, (2, "B,C"): 2, (2, "B,E"): 3, (2, "C,E"): 2, (3, "B,C,E"): 2,
+    }

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import top_per_group
 
-def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The last row of every key by ``order``; combines on the map side, so hot keys are cheap."""
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    last = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_row"))
-    return last.select("_row.*")
+
+def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of every key by ``order``; every task hands on one row per key."""
+    return top_per_group(df, keys, [F.desc(c) for c in order], 1, "_rank").drop("_rank")
 
 
 def upsert(

@@ -7,6 +7,7 @@ from millrace.functions import combinations, subsets
 from millrace.mining import baskets, itemsets, rules
 from millrace.operators import neighbours
 from millrace.plans.registry import Tables, query
+from millrace.session import written
 
 # p_type has few values in many baskets, p_brand more values in fewer.
 TYPE_SUPPORT = 0.1
@@ -164,7 +165,9 @@ def assoc_rules(t: Tables) -> DataFrame:
     SELECT tid AS l_orderkey, coalesce(prediction, '') AS prediction FROM masks LEFT JOIN told USING (mask)""",
 )
 def rule_predict(t: Tables) -> DataFrame:
-    told = rules.predict(type_baskets(t), rules.association_rules(type_itemsets(t), 0.4))
+    stored = written(type_baskets(t), "type-baskets")
+    found = itemsets.frequent_itemsets(stored, TYPE_SUPPORT, min_size=1)
+    told = rules.predict(stored, rules.association_rules(found, 0.4))
     return told.select("l_orderkey", F.array_join("prediction", ",").alias("prediction"))
 
 
@@ -211,16 +214,18 @@ def kmeans(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "knn_topk",
-    """WITH dims AS (SELECT label, unnest(range(1, 65)) AS d, unnest(embedding) AS x FROM embeddings),
+_NEAREST = """WITH dims AS (SELECT label, unnest(range(1, 65)) AS d, unnest(embedding) AS x FROM embeddings),
     means AS (SELECT label AS query_id, list(m ORDER BY d) AS center
       FROM (SELECT label, d, avg(x::DOUBLE) AS m FROM dims GROUP BY label, d) GROUP BY label),
     near AS (SELECT query_id, vec_id, label,
         sqrt(list_sum(list_transform(list_zip(center, embedding::DOUBLE[]), lambda z: (z[1] - z[2]) ** 2))) AS distance
       FROM means, embeddings),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM near)
-    SELECT query_id, vec_id, label, round(distance, 6) AS distance, rn::INTEGER AS rn FROM ranked WHERE rn <= 10""",
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM near)"""
+
+
+@query(
+    "knn_topk",
+    f"""{_NEAREST} SELECT query_id, vec_id, label, round(distance, 6) AS distance, rn::INTEGER AS rn FROM ranked WHERE rn <= 10""",
 )
 def knn_topk(t: Tables) -> DataFrame:
     centers = neighbours.centroids(t.embeddings, "embedding", "label").withColumnRenamed("label", "query_id")
@@ -228,7 +233,12 @@ def knn_topk(t: Tables) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query("knn_vote")
+@query(
+    "knn_vote",
+    f"""{_NEAREST}, votes AS (SELECT query_id, label, count(*) AS votes FROM ranked WHERE rn <= 10 GROUP BY query_id, label)
+    SELECT query_id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS place FROM votes)
+    WHERE place = 1""",
+)
 def knn_vote(t: Tables) -> DataFrame:
     centers = neighbours.centroids(t.embeddings, "embedding", "label").withColumnRenamed("label", "query_id")
     return neighbours.vote(neighbours.nearest(t.embeddings, centers, 10, "embedding", "vec_id", "label"), "label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.schema import flat_for_sink, olap_columns
+from millrace.sources.schema import flat_for_sink
 
 BATCH_ROWS = 1_000_000
 
@@ -58,7 +58,10 @@ def append(df: DataFrame, options: dict[str, str], writers: int | None = None, b
 
 
 def append_olap(df: DataFrame, options: dict[str, str], writers: int | None = None) -> int:
-    """Append to an OLAP table: nested columns as strings, very large batches, typed creation."""
-    types = ", ".join(f"`{name}` {kind}" for name, kind in olap_columns(df).items())
-    create = {"createTableColumnTypes": types, "createTableOptions": f"ENGINE=MergeTree() ORDER BY ({df.columns[0]})"}
+    """Append to an OLAP table, nested columns as strings, in very large batches.
+
+    Create the table first with ``schema.olap_ddl``; a table Spark creates itself gets the
+    same engine and order, but Spark's own column types.
+    """
+    create = {"createTableOptions": f"ENGINE=MergeTree() ORDER BY ({df.columns[0]})"}
     return append(flat_for_sink(df), create | options, writers, BATCH_ROWS)

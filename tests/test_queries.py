@@ -51,4 +51,4 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
-    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == {"kmeans", "knn_vote"}
+    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == {"kmeans"}

@@ -45,15 +45,22 @@ def read(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
-def append(df: DataFrame, options: dict[str, str], writers: int | None = None, batch_rows: int = 1_000) -> int:
+def append(
+    df: DataFrame,
+    options: dict[str, str],
+    writers: int | None = None,
+    batch_rows: int = 1_000,
+    fmt: str = "jdbc",
+) -> int:
     """Append rows in batches over ``writers`` connections; returns the number of rows.
 
-    Rows are counted while they are written, not by a second pass.
+    Rows are counted while they are written, not by a second pass. ``fmt`` is for stores
+    with a connector of their own.
     """
     seen = Observation()
     rows = df.repartition(writers) if writers else df
     counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.format("jdbc").options(**options, batchsize=str(batch_rows)).mode("append").save()
+    counted.write.format(fmt).options(**options, batchsize=str(batch_rows)).mode("append").save()
     return int(seen.get["rows"])
 
 

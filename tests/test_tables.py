@@ -184,6 +184,14 @@ def test_jdbc_options():
     assert query["query"] == "select 1" and "dbtable" not in query
 
 
+def test_append_counts_what_it_writes(spark, tmp_path):
+    path = tmp_path / "t"
+    for expected in (40, 80):
+        assert jdbc.append(spark.range(40), {"path": str(path)}, writers=3, fmt="parquet") == 40
+        assert spark.read.parquet(str(path)).count() == expected
+    assert len(list(path.glob("part-*"))) == 6
+
+
 def test_generic_connector_and_sync(spark, tmp_path):
     path = str(tmp_path / "t")
     n = sync.sync(spark.range(10), lambda rows: connectors.write(rows, "parquet", path), lambda rows: rows.where("id > 3"))

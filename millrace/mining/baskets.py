@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import written
+
 
 def clean_items(items: Column) -> Column:
     """Different items, sorted, without blanks and without the word null in any case."""
@@ -39,14 +41,33 @@ def only_items(baskets: DataFrame, wanted: DataFrame, key: str, items: str = "it
     return kept.where(F.size(items) >= at_least)
 
 
+def numbered(baskets: DataFrame, items: str = "items") -> DataFrame:
+    """Different baskets with a number and how often each occurs: ``(basket, items, weight)``.
+
+    Stored, because a basket must keep its number whatever is computed again.
+    """
+    different = baskets.groupBy(F.col(items).alias("items")).agg(F.count("*").alias("weight"))
+    return written(different.withColumn("basket", F.monotonically_increasing_id()), "numbered-baskets")
+
+
+def with_met(stored: DataFrame, sets: DataFrame, members: str) -> DataFrame:
+    """Numbered baskets with ``met``: the rows of ``sets`` whose smallest member they hold.
+
+    Only numbers and single items are joined with the sets; the baskets themselves come back
+    once each, however many sets they meet.
+    """
+    keyed = sets.distinct().withColumn("_anchor", F.array_min(members))
+    single = stored.select("basket", F.explode("items").alias("_anchor"))
+    met = single.join(keyed, "_anchor").groupBy("basket").agg(F.collect_list(F.struct(*sets.columns)).alias("met"))
+    return stored.join(met, "basket")
+
+
 def containing(baskets: DataFrame, candidates: DataFrame, items: str = "items", candidate: str = "candidate") -> DataFrame:
     """In how many baskets each candidate set is contained: ``(candidate, n)``.
 
-    Equal baskets are counted once, with a weight. A basket meets the candidates whose
-    smallest item it holds; whether it holds the rest is checked on the row.
+    Equal baskets are looked at once, with a weight.
     """
-    weighted = baskets.groupBy(items).agg(F.count("*").alias("weight"))
-    keyed = candidates.select(candidate, F.array_min(candidate).alias("_anchor")).distinct()
-    met = weighted.withColumn("_anchor", F.explode(items)).join(keyed, "_anchor")
-    held = met.where(F.size(F.array_except(candidate, items)) == 0)
-    return held.groupBy(candidate).agg(F.sum("weight").alias("n"))
+    met = with_met(numbered(baskets, items), candidates.select(F.col(candidate).alias("candidate")), "candidate")
+    held = F.filter("met", lambda m: F.size(F.array_except(m["candidate"], F.col("items"))) == 0)
+    rows = met.select("weight", F.explode(F.transform(held, lambda m: m["candidate"])).alias(candidate))
+    return rows.groupBy(candidate).agg(F.sum("weight").alias("n"))

@@ -117,12 +117,14 @@ def frequent_itemsets(
             ck = F.array_join(F.array_append("prefix", F.col("item")), ",").alias("ck")
             counts.select(ck, "num").write.mode("overwrite").parquet(f"{trace}/k={size}")
         passed = written(counts.where(F.col("num") >= enough), f"itemsets-{size}")
-        if passed.isEmpty():
-            break
-        if size >= min_size:
+        found = passed.count()
+        if size >= min_size and found:
             levels.append(
                 passed.select(F.array_append("prefix", F.col("item")).alias("items"), F.lit(size).alias("k"), "num")
             )
+        # A set of k + 1 items has k + 1 frequent subsets of k items.
+        if found <= size:
+            break
         if size < max_size:
             rows = written(_next_rows(rows, passed), f"rows-{size}")
     if not levels:

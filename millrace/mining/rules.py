@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.mining.baskets import clean_items
+from millrace.mining.baskets import clean_items, numbered, with_met
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float, items: str = "items", num: str = "num") -> DataFrame:
@@ -48,18 +48,14 @@ def predict(baskets: DataFrame, rules: DataFrame, items: str = "items") -> DataF
     antecedent item it holds; whether it holds the rest is checked on the row.
     """
     clean = baskets.withColumn("_items", clean_items(F.col(items)))
-    different = clean.select("_items").distinct()
-    keyed = rules.select(F.array_min("antecedent").alias("_anchor"), "antecedent", "consequent").distinct()
-    matched = (
-        different.where(F.size("_items") > 0)
-        .withColumn("_anchor", F.explode("_items"))
-        .join(keyed, "_anchor")
-        .where(
-            (F.size(F.array_except("antecedent", "_items")) == 0)
-            & ~F.array_contains("_items", F.col("consequent"))
-        )
+    met = with_met(numbered(clean, "_items"), rules.select("antecedent", "consequent"), "antecedent")
+    held = F.col("items")
+    applies = F.filter(
+        "met",
+        lambda m: (F.size(F.array_except(m["antecedent"], held)) == 0) & ~F.array_contains(held, m["consequent"]),
     )
-    found = matched.groupBy("_items").agg(F.array_sort(F.collect_set("consequent")).alias("prediction"))
+    told = F.array_sort(F.array_distinct(F.transform(applies, lambda m: m["consequent"])))
+    found = met.select(F.col("items").alias("_items"), told.alias("prediction"))
     nothing = F.array().cast("array<string>")
     return (
         clean.join(found, "_items", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.session import written
 
 QUERY_BLOCK = 1_000
+QUERY_BYTES = 32 * 1024 * 1024
 
 
 def _nearest_in_block(
@@ -57,16 +58,18 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str, id_: str
     those are shuffled.
     """
     query_type = queries.schema["query_id"].dataType.simpleString()
-    total = queries.limit(QUERY_BLOCK + 1).count()
-    if total == 0:
+    first = queries.select(F.size(vector)).head()
+    if first is None:
         raise ValueError("nearest needs at least one query")
-    if total <= QUERY_BLOCK:
+    block_rows = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, first[0]))))
+    total = queries.limit(block_rows + 1).count()
+    if total <= block_rows:
         blocks = [queries.collect()]
     else:
         inside = Window.partitionBy("_part").orderBy("query_id")
         ranged = queries.repartitionByRange("query_id").withColumn("_part", F.spark_partition_id())
         stored = written(
-            ranged.withColumn("_block", F.floor((F.row_number().over(inside) - 1) / QUERY_BLOCK)),
+            ranged.withColumn("_block", F.floor((F.row_number().over(inside) - 1) / block_rows)),
             "knn-queries",
         )
         keys = [(r["_part"], r["_block"]) for r in stored.select("_part", "_block").distinct().toLocalIterator()]
@@ -74,7 +77,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str, id_: str
     found = None
     for block in blocks:
         part = _nearest_in_block(points, block, query_type, k, vector, id_, label)
-        if total > QUERY_BLOCK:
+        if total > block_rows:
             part = written(_first_k(part, k, id_), "knn-block")
         found = part if found is None else found.unionByName(part)
     assert found is not None

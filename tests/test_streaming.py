@@ -1,6 +1,7 @@
 """Streams over several files, also stopped and started again."""
 
 import json
+import os
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -21,7 +22,10 @@ def lines(tmp_path):
 
     def put(*texts):
         n = len(list(folder.iterdir()))
-        (folder / f"{n:03}.txt").write_text("".join(t + "\n" for t in texts))
+        path = folder / f"{n:03}.txt"
+        path.write_text("".join(t + "\n" for t in texts))
+        # Files are read by age; written within one millisecond they would have the same.
+        os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
 
     put.folder = str(folder)
     return put

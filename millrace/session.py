@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,16 +46,21 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only when the session names none (a unit test, a notebook on one machine) a temporary
-    folder is made and recorded in the session.
+    ``spark.checkpoint.dir`` comes first, then a checkpoint folder set on the context. Where
+    neither is named, a temporary folder serves a session whose tasks run in the driver's own
+    process (``local`` masters); on any other master that folder would hold a part of the rows
+    on each machine, so it is an error there.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
     if not named:
-        named = getattr(spark.sparkContext, "_millrace_dir", None)
+        held = context._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else getattr(context, "_millrace_dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.sparkContext._millrace_dir = named
+        context._millrace_dir = named
     return named.rstrip("/")
 
 

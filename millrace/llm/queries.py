@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, search
+from millrace.llm import language, mixing, search, secrets
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,24 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
+@query("op2_mix_sources")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    units = mixing.decide(table(spark, folder, "documents"))
+    each = units.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op3_secret_scan", secrets.sql())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda n: F.size(F.filter("found", lambda s: s["rule_no"] == n)).cast("long")
+    base = secrets.listed(F.filter("found", lambda s: s["rule_no"] < len(secrets.BASE)))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"),
+    )
+
+
 @query(
     "op8_topk_search",
     """

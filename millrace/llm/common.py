@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import millrace
+
+# Tasks carry the code they run, so executors need not have this package on their path.
+cloudpickle.register_pickle_by_value(millrace)
+
 # A word is a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "\t\n\x0b\x0c\r"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, search, secrets
+from millrace.llm import language, mixing, packing, search, secrets, toxicity
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,26 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxic_model(docs: DataFrame, labels: DataFrame) -> dict:
+    """Fitted on labelled documents outside the held-out fold."""
+    known = labels.where("toxic IS NOT NULL").select("doc_id", "toxic")
+    rows = docs.where(~in_fold("doc_id", 3, 1)).select("doc_id", "text").join(known, "doc_id")
+    return toxicity.train(rows)
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", in_fold("doc_id", 3, 1).alias("held_out"))
+    model = toxic_model(docs, table(spark, folder, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, folder, "documents")))
+
+
 @query(
     "op8_topk_search",
     """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, packing, search, secrets, toxicity
+from millrace.llm import fingerprint, jaccard, language, mixing, packing, search, secrets, toxicity
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_fingerprint")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return fingerprint.edit_trial(docs, fingerprint.lexicon(docs))
+
+
 def toxic_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Fitted on labelled documents outside the held-out fold."""
     known = labels.where("toxic IS NOT NULL").select("doc_id", "toxic")
@@ -85,6 +91,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return search.top_k(points, points.where("vec_id % 100 = 0"), 10)
 
 
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, folder, "documents"))
+
+
 @query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")

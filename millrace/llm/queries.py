@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprint, jaccard, language, mixing, packing, search, secrets, toxicity
+from millrace.llm import fingerprint, jaccard, language, mixing, packing, pages, search, secrets, toxicity
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
+@query("op1_main_text")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op2_mix_sources")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     units = mixing.decide(table(spark, folder, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprint, jaccard, language, mixing, packing, pages, search, secrets, toxicity
+from millrace.llm import fingerprint, jaccard, language, mixing, packing, pages, repeats, search, secrets, toxicity
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.edit_trial(docs, fingerprint.lexicon(docs))
 
 
+@query("op5_repeats")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def toxic_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Fitted on labelled documents outside the held-out fold."""
     known = labels.where("toxic IS NOT NULL").select("doc_id", "toxic")

@@ -21,6 +21,7 @@ ORDER = 3
 DECAY = 0.6
 LONGEST = 24
 CACHE = 400_000
+SPREAD = 12
 
 
 def tokens(text: str) -> set[str]:
@@ -312,9 +313,8 @@ def train(
     if not suspects or not common:
         return constant
 
-    hashed = F.xxhash64("text")
-    drawn = [rows.where(F.col("toxic") == y).orderBy(hashed, "text").limit(sample) for y in (0, 1)]
-    drawn = written(drawn[0].unionByName(drawn[1]), "sample")
+    drawn = [_smallest(rows.where(F.col("toxic") == y), n, sample) for y, n in ((0, every - some), (1, some))]
+    drawn = written(drawn[0].unionByName(drawn[1]).repartition(SPREAD), "sample")
     place = {word: i for i, word in enumerate(suspects)}
 
     def held(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -388,6 +388,17 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
+def _smallest(rows: DataFrame, count: int, wanted: int) -> DataFrame:
+    """The ``wanted`` texts of smallest hash, of ``count``.
+
+    Hashes are even, so those below a bound that lets half as many again through hold them; only these rows, as many
+    at every size, are put in order.
+    """
+    hashed = F.xxhash64("text", F.lit(5))
+    reach = -(2**63) + int(2**64 * min(1.0, 1.5 * wanted / max(1, count)))
+    return rows.where(hashed < F.lit(min(reach, 2**63 - 1))).orderBy(hashed, "text").limit(wanted)
+
+
 def _platt(margin: np.ndarray, label: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float]:
     """Slope and level of a logistic curve over margins; the sample's labels count by their share of all rows."""
     toxic = max(1, int(label.sum()))
@@ -424,25 +435,26 @@ def _worst_words(clean: DataFrame, model: dict, each: int = 2) -> list[str]:
     return [r["word"] for r in rows.orderBy(F.desc("count"), "word").collect() if len(r["word"]) >= ORDER]
 
 
-def margins(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and margin: that of the worst word of the whole text."""
+def margins(docs: DataFrame, model: dict, keep: list[str], text: str = "text", extra: str = "margin") -> DataFrame:
+    """Columns ``keep`` and ``extra``: the margin of the worst word of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.select(*keep, F.col(text).alias("_text"))
-    schema = columns.drop("_text").schema
+    columns = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    place, count = (keep.index(text) if text in keep else len(keep)), len(keep)
+    names = [*keep, extra]
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value)
         for batch in stream:
-            margin = words.worst(texts_of(batch.column(batch.num_columns - 1)))
-            out = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(margin, pa.float64())], names=[*schema.names, "margin"])
+            margin = words.worst(texts_of(batch.column(place)))
+            out = [batch.column(i) for i in range(count)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(margin, pa.float64())], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return map_arrow(columns, work, f"{fields}, margin double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return map_arrow(columns, work, f"{fields}, `{extra}` double")
 
 
-def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and score, 0 to 1. Null and empty texts have no words and get the model's lowest level."""
-    found = margins(docs, model, keep, text)
-    odds: Column = F.lit(model["slope"]) * F.col("margin") + F.lit(model["level"])
-    return found.select(*keep, (1 / (1 + F.exp(-odds))).alias("score"))
+def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text", extra: str = "score") -> DataFrame:
+    """Columns ``keep`` and ``extra``, 0 to 1. Null and empty texts have no words and get the model's lowest level."""
+    found = margins(docs, model, keep, text, extra)
+    odds: Column = F.lit(model["slope"]) * F.col(extra) + F.lit(model["level"])
+    return found.withColumn(extra, 1 / (1 + F.exp(-odds)))

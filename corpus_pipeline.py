@@ -1,6 +1,77 @@
-STAGES = []
+"""A training-data pipeline in five stages: toxic documents go, one of each group of near copies stays, secrets are
+masked, sources are mixed to their weights, and what is left is packed into token sequences.
+
+Each stage takes the session, the documents its predecessor kept and the folder of the tables, and works on all of
+them. All but the last return the columns of ``documents``; the last returns the pieces of ``packing.pack``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.llm import jaccard, mixing, packing, secrets, toxicity
+from millrace.llm.common import table
+from millrace.llm.queries import toxic_model
+from millrace.session import written
+
+TOXIC_FROM = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score less than ``TOXIC_FROM``; null and empty texts stay. The model learns from ``labels``."""
+    model = toxic_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, docs.columns, extra="_score").where(F.col("_score") < TOXIC_FROM).select(docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similarity of 0.8 or more links, the one with the smallest id.
+
+    Texts without words link with nothing and stay. Of rows that share an id one stays. A document without an id
+    goes only if one with an id is in its group.
+    """
+    classes = jaccard.similar_classes(docs.select("doc_id", "text"), percent=80)
+    kept = classes.where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    same = docs["doc_id"].eqNullSafe(kept["_id"])
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    wordless = ~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    rows = docs.join(kept, same, "left_semi")
+    named = rows.where("doc_id IS NOT NULL").withColumn("_place", F.row_number().over(one))
+    named = named.where((F.col("_place") == 1) | wordless).select(docs.columns)
+    return named.unionByName(rows.where("doc_id IS NULL"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of a secret gives way to a mask; documents without any stay as they are."""
+    found = secrets.scan(docs)
+    text = secrets.masked(F.col("text"), F.col("found"))
+    masked = found.withColumn("text", F.when(F.size("found") > 0, text).otherwise(F.col("text")))
+    count = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", count).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 1024 tokens."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_similar),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

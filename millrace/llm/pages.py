@@ -265,7 +265,7 @@ def importance(tree: DataFrame, decay: float = 0.9) -> DataFrame:
     """
     node = tree.where("kind = 0").select("host", "path", F.col("pages").alias("m"))
     each = tree.where("kind > 0").join(node, ["host", "path"])
-    base = F.log(F.col("m").cast("double"))
+    base = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
     share = F.col("pages") / F.col("m")
     sums = each.groupBy("host", "path", "m").agg(
         F.avg(F.when(F.col("kind") == 2, F.log(F.col("pages").cast("double")) / base)).alias("same"),

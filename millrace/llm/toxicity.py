@@ -30,8 +30,9 @@ def tokens(text: str) -> set[str]:
     found = set(words)
     run = ""
     for word in [*words, ""] if any(len(w) == 1 for w in found) else []:
-        if len(word) == 1 and word.isalnum():
-            run += word
+        letter = word.strip(".,;:!?-") if len(word) <= 2 else ""
+        if len(letter) == 1 and letter.isalnum():
+            run += letter
         else:
             if len(run) >= 3:
                 found.add(run)

@@ -31,13 +31,14 @@ def longest(baskets: DataFrame, n: int = 5, items: str = "items") -> DataFrame:
     return sized.orderBy(F.desc("n_items"), F.col(items)).limit(n)
 
 
-def only_items(baskets: DataFrame, wanted: DataFrame, key: str, items: str = "items", at_least: int = 1) -> DataFrame:
+def only_items(baskets: DataFrame, wanted: DataFrame, key: str | list[str], items: str = "items", at_least: int = 1) -> DataFrame:
     """Baskets reduced to the items in ``wanted.item``; shorter ones than ``at_least`` go.
 
     A join on the item, so ``wanted`` may be of any size, then back together by ``key``.
     """
-    rows = baskets.select(key, F.explode(items).alias("item")).join(wanted.select("item"), "item", "left_semi")
-    kept = rows.groupBy(key).agg(F.array_sort(F.collect_list("item")).alias(items))
+    keys = [key] if isinstance(key, str) else key
+    rows = baskets.select(*keys, F.explode(items).alias("item")).join(wanted.select("item"), "item", "left_semi")
+    kept = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias(items))
     return kept.where(F.size(items) >= at_least)
 
 
@@ -51,15 +52,21 @@ def numbered(baskets: DataFrame, items: str = "items") -> DataFrame:
 
 
 def with_met(stored: DataFrame, sets: DataFrame, members: str) -> DataFrame:
-    """Numbered baskets with ``met``: the rows of ``sets`` whose smallest member they hold.
+    """``(basket, items, weight)`` with the columns of every row of ``sets`` whose members the basket holds.
 
-    Only numbers and single items are joined with the sets; the baskets themselves come back
-    once each, however many sets they meet.
+    A set is looked up by the member that the fewest baskets hold, so an item of every basket brings no
+    basket together with every set. A set with a member of no basket is in none; an empty set is in all and
+    left out.
     """
-    keyed = sets.distinct().withColumn("_anchor", F.array_min(members))
+    keyed = written(sets.distinct().withColumn("_set", F.monotonically_increasing_id()), "sets")
     single = stored.select("basket", F.explode("items").alias("_anchor"))
-    met = single.join(keyed, "_anchor").groupBy("basket").agg(F.collect_list(F.struct(*sets.columns)).alias("met"))
-    return stored.join(met, "basket")
+    held = single.groupBy("_anchor").agg(F.count("*").alias("_held"))
+    each = keyed.select("_set", F.explode(F.array_distinct(members)).alias("_anchor")).join(held, "_anchor")
+    rarest = each.groupBy("_set").agg(F.min(F.struct("_held", "_anchor"))["_anchor"].alias("_anchor"))
+    met = single.join(rarest, "_anchor").select("basket", "_set")
+    rows = met.join(stored, "basket").join(keyed, "_set")
+    whole = F.size(F.array_except(members, F.col("items"))) == 0
+    return rows.where(whole).select("basket", "items", "weight", *sets.columns)
 
 
 def containing(baskets: DataFrame, candidates: DataFrame, items: str = "items", candidate: str = "candidate") -> DataFrame:
@@ -67,7 +74,5 @@ def containing(baskets: DataFrame, candidates: DataFrame, items: str = "items",
 
     Equal baskets are looked at once, with a weight.
     """
-    met = with_met(numbered(baskets, items), candidates.select(F.col(candidate).alias("candidate")), "candidate")
-    held = F.filter("met", lambda m: F.size(F.array_except(m["candidate"], F.col("items"))) == 0)
-    rows = met.select("weight", F.explode(F.transform(held, lambda m: m["candidate"])).alias(candidate))
-    return rows.groupBy(candidate).agg(F.sum("weight").alias("n"))
+    met = with_met(numbered(baskets, items), candidates.select(F.col(candidate).alias("_candidate")), "_candidate")
+    return met.groupBy(F.col("_candidate").alias(candidate)).agg(F.sum("weight").alias("n"))

@@ -12,28 +12,32 @@ billion times is expanded once. Very wide baskets are dealt out to many tasks by
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.mining.baskets import clean_items, only_items
+from millrace.mining.baskets import clean_items, numbered, only_items
 from millrace.session import written
 
-MAX_SIZE = 10
 WIDE = 1_000
 
 
 def needed(min_support: float, rows: int, strict: bool = False) -> int:
-    """The smallest count that reaches ``min_support`` (or, if strict, exceeds it)."""
-    exact = min_support * rows
-    return math.floor(exact + 1e-9) + 1 if strict else max(1, math.ceil(exact - 1e-9))
+    """The smallest count that reaches ``min_support`` (or, if strict, exceeds it).
+
+    The support is the decimal it is written as, and the count exact at any number of rows.
+    """
+    exact = Fraction(str(min_support)) * rows
+    return int(exact // 1) + 1 if strict else max(1, -int(-exact // 1))
 
 
-def single_items(baskets: DataFrame, at_least: int, items: str = "items") -> DataFrame:
-    """Items in at least ``at_least`` baskets: ``(item, num)``."""
-    counts = baskets.select(F.explode(items).alias("item")).groupBy("item").agg(F.count("*").alias("num"))
+def single_items(baskets: DataFrame, at_least: int, items: str = "items", weight: str | None = None) -> DataFrame:
+    """Items in at least ``at_least`` baskets: ``(item, num)``; a row may stand for ``weight`` baskets."""
+    many = F.col(weight) if weight else F.lit(1)
+    rows = baskets.select(F.explode(items).alias("item"), many.cast("long").alias("_many"))
+    counts = rows.groupBy("item").agg(F.sum("_many").alias("num"))
     return counts.where(F.col("num") >= at_least)
 
 
@@ -75,42 +79,41 @@ def _next_rows(rows: DataFrame, passed: DataFrame) -> DataFrame:
     placed = going_on.where(F.size("rest") >= 2).select(
         "prefix", "rest", "weight", F.explode(F.sequence(F.lit(0), F.size("rest") - 2)).alias("i")
     )
-    return placed.select(
+    longer = placed.select(
         F.array_append("prefix", F.element_at("rest", F.col("i") + 1)).alias("prefix"),
         _rest(F.col("rest"), F.col("i")).alias("rest"),
         "weight",
     )
+    return longer.groupBy("prefix", "rest").agg(F.sum("weight").alias("weight"))
 
 
 def frequent_itemsets(
     baskets: DataFrame,
     min_support: float,
     items: str = "items",
-    max_size: int = MAX_SIZE,
+    max_size: int | None = None,
     min_size: int = 2,
     strict: bool = False,
     trace: str | None = None,
 ) -> DataFrame:
-    """All itemsets of ``min_size`` to ``max_size`` items in enough baskets.
+    """All itemsets of ``min_size`` items or more (to ``max_size``, if given) in enough baskets.
 
     Rows ``(items, k, num, row_num)``: the sorted set, its size, the number of baskets that
     hold it and the number of all baskets. ``strict`` asks for more than ``min_support``.
     ``trace`` names a folder for the candidates of every level and their counts.
     """
-    # Numbered once and stored: a basket must keep its number whatever is computed again.
-    stored = written(
-        baskets.select(F.monotonically_increasing_id().alias("basket"), clean_items(F.col(items)).alias("items")),
-        "baskets",
-    )
-    rows_total = stored.count()
+    stored = numbered(baskets.select(clean_items(F.col(items)).alias("items")))
+    rows_total = stored.agg(F.sum("weight")).first()[0] or 0
     enough = needed(min_support, rows_total, strict)
-    singles = written(single_items(stored, enough), "itemsets-1")
+    singles = written(single_items(stored, enough, weight="weight"), "itemsets-1")
 
     levels = [singles.select(F.array("item").alias("items"), F.lit(1).alias("k"), "num")] if min_size <= 1 else []
-    pruned = only_items(stored, singles, "basket", at_least=2)
-    merged = written(pruned.groupBy("items").agg(F.count("*").alias("weight")), "merged-baskets")
+    pruned = only_items(stored, singles, ["basket", "weight"], at_least=2)
+    merged = written(pruned.groupBy("items").agg(F.sum("weight").alias("weight")), "merged-baskets")
     rows = _first_rows(merged)
-    for size in range(2, max_size + 1):
+    size = 1
+    while max_size is None or size < max_size:
+        size += 1
         pairs = rows.select("prefix", F.explode("rest").alias("item"), "weight")
         counts = pairs.groupBy("prefix", "item").agg(F.sum("weight").alias("num"))
         if trace:
@@ -125,7 +128,7 @@ def frequent_itemsets(
         # A set of k + 1 items has k + 1 frequent subsets of k items.
         if found <= size:
             break
-        if size < max_size:
+        if size != max_size:
             rows = written(_next_rows(rows, passed), f"rows-{size}")
     if not levels:
         levels = [singles.limit(0).select(F.array("item").alias("items"), F.lit(1).alias("k"), "num")]
@@ -166,7 +169,7 @@ def as_report(itemsets: DataFrame) -> DataFrame:
 
 
 def maximal(itemsets: DataFrame) -> DataFrame:
-    """Itemsets that no larger frequent set contains.
+    """Itemsets that no larger frequent set contains; of all sizes, without a ``max_size``.
 
     Every subset of a frequent set is frequent too, so it is enough to take out the sets that
     miss one item of a set one larger: an equality join, not a containment test.

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from millrace.mining.baskets import clean_items, numbered, with_met
 
 
+def _with_singles(itemsets: DataFrame, items: str) -> None:
+    sizes = itemsets.agg(F.count(F.when(F.size(items) == 1, 1)).alias("one"), F.count("*").alias("all")).first()
+    if sizes["all"] and not sizes["one"]:
+        raise ValueError("the itemsets hold no single items; find them with min_size=1")
+
+
 def association_rules(itemsets: DataFrame, min_confidence: float, items: str = "items", num: str = "num") -> DataFrame:
     """Rules ``antecedent => consequent`` with one item on the right.
 
     ``confidence`` is the share of baskets with the antecedent that hold the consequent as
-    well; an antecedent that is not among the itemsets gives no rule.
+    well. ``itemsets`` must hold the single items too (``min_size=1``): without them the rules
+    with one item on the left would be missing, so that is an error.
     """
+    _with_singles(itemsets, items)
     whole = itemsets.select(items, F.col(num).alias("both"), F.explode(items).alias("consequent"))
     split = whole.where(F.size(items) > 1).select(
         F.array_remove(items, F.col("consequent")).alias("antecedent"), "consequent", "both"
@@ -30,6 +38,7 @@ def association_rules(itemsets: DataFrame, min_confidence: float, items: str = "
 
 def with_lift(rules: DataFrame, itemsets: DataFrame) -> DataFrame:
     """Add ``lift`` and ``support`` to rules; ``itemsets`` must hold the single items and ``row_num``."""
+    _with_singles(itemsets, "items")
     right = itemsets.where(F.size("items") == 1).select(
         F.element_at("items", 1).alias("consequent"), F.col("num").alias("_right"), "row_num"
     )
@@ -44,21 +53,16 @@ def with_lift(rules: DataFrame, itemsets: DataFrame) -> DataFrame:
 def predict(baskets: DataFrame, rules: DataFrame, items: str = "items") -> DataFrame:
     """Baskets with ``prediction``: consequents of rules that apply, less what they hold.
 
-    Worked out once per different basket. A basket meets only the rules whose smallest
+    Worked out once per different basket. A basket meets only the rules whose rarest
     antecedent item it holds; whether it holds the rest is checked on the row.
     """
     clean = baskets.withColumn("_items", clean_items(F.col(items)))
-    met = with_met(numbered(clean, "_items"), rules.select("antecedent", "consequent"), "antecedent")
-    held = F.col("items")
-    applies = F.filter(
-        "met",
-        lambda m: (F.size(F.array_except(m["antecedent"], held)) == 0) & ~F.array_contains(held, m["consequent"]),
-    )
-    told = F.array_sort(F.array_distinct(F.transform(applies, lambda m: m["consequent"])))
-    found = met.select(F.col("items").alias("_items"), told.alias("prediction"))
+    told = rules.select(F.col("antecedent").alias("_left"), F.col("consequent").alias("_right"))
+    met = with_met(numbered(clean, "_items"), told, "_left").where(~F.array_contains("items", F.col("_right")))
+    found = met.groupBy("basket").agg(F.first("items").alias("_items"), F.array_sort(F.collect_set("_right")).alias("prediction"))
     nothing = F.array().cast("array<string>")
     return (
-        clean.join(found, "_items", "left")
+        clean.join(found.drop("basket"), "_items", "left")
         .withColumn("prediction", F.coalesce("prediction", nothing))
         .select(*baskets.columns, "prediction")
     )

@@ -8,7 +8,8 @@ from millrace.operators import aggregates, joins, ranking, wordcount
 from millrace.plans.registry import Tables, query
 from millrace.sources import files
 
-DETAIL = """(SELECT l_orderkey, l_partkey, l_shipdate, nullif(l_quantity, 1) AS amount FROM lineitem)"""
+DETAIL = """(SELECT l_orderkey, l_partkey, l_shipdate,
+  CAST(CASE WHEN l_quantity <> 1 THEN l_extendedprice * l_discount * l_tax END AS DECIMAL(28,6)) AS amount FROM lineitem)"""
 
 _TOKENS = r"unnest(regexp_split_to_array(text, '[ \t\n\r\f]+'))"
 _COUNT_TOKENS = f"""
@@ -16,9 +17,9 @@ SELECT word, count(*) AS count FROM (SELECT {_TOKENS} AS word FROM documents) WH
 
 
 def detail(t: Tables) -> DataFrame:
-    """Order lines with an amount that is sometimes null."""
-    amount = F.when(F.col("l_quantity") != 1, F.col("l_quantity"))
-    return t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate", amount.alias("amount"))
+    """Order lines with an amount of six decimals that is sometimes null."""
+    amount = F.when(F.col("l_quantity") != 1, F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax"))
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_shipdate", aggregates.exact(amount, 6).alias("amount"))
 
 
 @query("wordcount_tok", _COUNT_TOKENS)
@@ -59,26 +60,28 @@ def global_sum(t: Tables) -> DataFrame:
 @query(
     "daily_agg",
     f"""SELECT CAST(l_shipdate AS DATE) AS dt, count(DISTINCT l_partkey) AS items,
-      CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS sum_amount,
-      CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(amount) AS avg_amount,
-      CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_all_rows,
-      max(amount) AS max_amount, min(amount) AS min_amount
+      CAST(sum(amount) AS DOUBLE) AS sum_amount,
+      CAST(sum(amount) AS DOUBLE) / count(amount) AS avg_amount,
+      CAST(sum(amount) AS DOUBLE) / count(*) AS avg_all_rows,
+      CAST(max(amount) AS DOUBLE) AS max_amount, CAST(min(amount) AS DOUBLE) AS min_amount
     FROM {DETAIL} GROUP BY 1""",
 )
 def daily_agg(t: Tables) -> DataFrame:
-    return aggregates.daily(detail(t), "l_shipdate", "l_partkey", "amount")
+    days = aggregates.daily(detail(t), "l_shipdate", "l_partkey", "amount")
+    return days.withColumns({c: F.col(c).cast("double") for c in ("sum_amount", "max_amount", "min_amount")})
 
 
 @query(
     "multi_key_having",
     f"""SELECT CAST(l_shipdate AS DATE) AS dt, p_brand, p_type,
-      CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS sum_amount, count(*) AS cnt
+      CAST(sum(amount) AS DOUBLE) AS sum_amount, count(*) AS cnt
     FROM {DETAIL} JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3 HAVING count(*) > 3""",
 )
 def multi_key_having(t: Tables) -> DataFrame:
     parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
     joined = detail(t).join(parts, "l_partkey")
-    return aggregates.grouped_having(joined, [F.to_date("l_shipdate").alias("dt"), "p_brand", "p_type"], "amount", 3)
+    found = aggregates.grouped_having(joined, [F.to_date("l_shipdate").alias("dt"), "p_brand", "p_type"], "amount", 3)
+    return found.withColumn("sum_amount", F.col("sum_amount").cast("double"))
 
 
 @query(
@@ -93,7 +96,7 @@ def typed_sum(t: Tables) -> DataFrame:
     lines = t.lineitem.select(
         "l_returnflag",
         "l_linenumber",
-        aggregates.money("l_extendedprice").alias("price"),
+        aggregates.exact("l_extendedprice", 2, 18).alias("price"),
         "l_tax",
         F.col("l_discount").cast("string").alias("discount"),
         "l_shipdate",

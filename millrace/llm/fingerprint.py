@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from millrace.session import written
 SUBSETS = 16
 EMPTY = "...."
 SCALES = 2
+BUCKETS = 256
 
 
 def terms(text: str) -> set[str]:
@@ -30,15 +34,22 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = 0.001, most: flo
     """The terms of a band of inverse document frequency: in more than one text, and in ``least`` to ``most`` of all.
 
     Every text counts. The band holds at most (mean terms per text / ``least``) terms, however large the
-    corpus: that bounds what the driver and the tasks hold. Counts are combined in each task before
-    the shuffle.
+    corpus: that bounds what the driver and the tasks hold. Counts are combined in each task and shuffled
+    as packed lists, one for each of ``BUCKETS`` hash ranges of terms.
     """
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         counts: dict[str, int] = {}
 
         def flushed() -> pa.Table:
-            return pa.table({"term": pa.array(counts.keys(), pa.string()), "df": pa.array(counts.values(), pa.int64())})
+            parts: dict[int, list[str]] = {}
+            for term in sorted(counts):
+                parts.setdefault(zlib.crc32(_bytes(term)) % BUCKETS, []).append(term)
+            packed = [zstandard.compress(_bytes("\n".join(t))) for t in parts.values()]
+            df = [zstandard.compress(np.array([counts[t] for t in terms_], "<u4").tobytes()) for terms_ in parts.values()]
+            kinds = (pa.int32(), pa.binary(), pa.binary())
+            columns = zip((list(parts), packed, df), kinds, strict=True)
+            return pa.table([pa.array(c, k) for c, k in columns], names=["bucket", "terms", "df"])
 
         for batch in stream:
             for value in texts_of(batch.column(0)):
@@ -49,9 +60,18 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = 0.001, most: flo
                 counts = {}
         yield flushed()
 
-    summed = map_arrow(docs.select(text), work, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     texts = docs.count()
-    return [r["term"] for r in summed.where(F.col("df").between(max(2, least * texts), most * texts)).collect()]
+
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total: dict[str, int] = {}
+        for packed, df in zip(group["terms"], group["df"], strict=True):
+            names = zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+            for term, count in zip(names, np.frombuffer(zstandard.decompress(df), "<u4").tolist(), strict=True):
+                total[term] = total.get(term, 0) + count
+        return pd.DataFrame({"term": [t for t, n in total.items() if max(2, least * texts) <= n <= most * texts]}, dtype=str)
+
+    packed = map_arrow(docs.select(text), work, "bucket int, terms binary, df binary")
+    return [r["term"] for r in packed.groupBy("bucket").applyInPandas(merge, "term string").collect()]
 
 
 class Prints:

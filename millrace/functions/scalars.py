@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 # weights of the 17 leading digits and the check characters by remainder.
 DECODE_FAILED = "Base64解密失败"
 PROVINCES = (
-    "11 12 13 14 15 21 22 23 31 32 33 34 35 36 37 41 42 43 44 45 46 "
-    "50 51 52 53 54 61 62 63 64 65 71 81 82 91"
-)
-WEIGHTS = "7 9 10 5 8 4 2 1 6 3 7 9 10 5 8 4 2"
+    11, 12, 13, 14, 15, 21, 22, 23, 31, 32, 33, 34, 35, 36, 37, 41, 42, 43, 44, 45, 46,
+    50, 51, 52, 53, 54, 61, 62, 63, 64, 65, 71, 81, 82, 91,
+)
+WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 CHECK_CHARS = "10X98765432"
 
 _BLANK = r"(s IS NULL OR s rlike '^[\\x00-\\x20]*\\z')"
@@ -77,14 +77,14 @@ _BIRTHDAY = "CASE length(s) WHEN 15 THEN concat('19', substr(s, 7, 6)) WHEN 18 T
 # Lenient calendar: a month 1-12 and a day 1-31 are enough, also 31 February; no year 0.
 _IS_DATE = f"""({_BIRTHDAY}) rlike '^(?!0000)[0-9]{{4}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])\\\\z'"""
 _CHECK_SUM = (
-    "aggregate(zip_with(split(substr(s, 1, 17), ''), split('{weights}', ' '),"
-    " (d, w) -> coalesce(try_cast(d AS INT), 0) * try_cast(w AS INT)), 0, (a, x) -> a + x)"
-).format(weights=WEIGHTS)
+    "aggregate(zip_with(split(substr(s, 1, 17), ''), array({weights}),"
+    " (d, w) -> coalesce(try_cast(d AS INT), 0) * w), 0, (a, x) -> a + x)"
+).format(weights=", ".join(map(str, WEIGHTS)))
 _CHECK_ID_CARD = rf"""
 CASE WHEN s IS NULL THEN NULL
      WHEN length(s) NOT IN (15, 18) THEN -1
      WHEN NOT ({_IS_DATE}) THEN -2
-     WHEN NOT array_contains(split('{PROVINCES}', ' '), substr(s, 1, 2)) THEN -3
+     WHEN NOT array_contains(array({", ".join(f"'{p}'" for p in PROVINCES)}), substr(s, 1, 2)) THEN -3
      WHEN length(s) = 15 THEN 0
      WHEN NOT substr(s, 1, 17) rlike '^[0-9]{{17}}\\z' THEN -4
      WHEN substr('{CHECK_CHARS}', {_CHECK_SUM} % 11 + 1, 1) <> substr(s, 18, 1) THEN -4

@@ -16,16 +16,24 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
+def _key(df: DataFrame, keys: list[str], sep: str) -> Column:
+    if len(keys) == 1:
+        return as_text(df, keys[0])
+    return F.concat_ws(sep, *(F.coalesce(as_text(df, k), F.lit("\\N")) for k in keys))
+
+
 def wide_to_cells(df: DataFrame, keys: list[str] | None = None, family: str = "cf", sep: str = "") -> DataFrame:
     """Cells ``(rowkey, family, qualifier, value)`` from rows.
 
-    The row key is the first column, or ``keys`` joined by ``sep``. Nulls make no cell. A
-    map-only job.
+    The row key is the first column, or ``keys`` joined by ``sep``, which several keys must have to
+    stay apart; a null part of such a key is written as ``\\N``. Nulls make no cell. A map-only job.
     """
     keys = keys or df.columns[:1]
+    if len(keys) > 1 and not sep:
+        raise ValueError("several keys need a separator")
     values = [c for c in df.columns if c not in keys]
     text = df.select(
-        F.concat_ws(sep, *(as_text(df, k) for k in keys)).alias("rowkey"), *(as_text(df, v).alias(v) for v in values)
+        _key(df, keys, sep).alias("rowkey"), *(as_text(df, v).alias(v) for v in values)
     )
     return (
         text.unpivot("rowkey", values, "qualifier", "value")

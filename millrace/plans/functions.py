@@ -8,18 +8,18 @@ from millrace.operators.wordcount import tokens
 from millrace.plans.registry import Tables, query
 
 
-@query("base64_encode", "SELECT doc_id, base64(encode(text)) AS encoded FROM documents WHERE trim(text) <> ''")
+@query("base64_encode", "SELECT doc_id, CASE WHEN trim(text) <> '' THEN base64(encode(text)) END AS encoded FROM documents")
 def base64_encode(t: Tables) -> DataFrame:
-    return t.documents.where("trim(text) <> ''").select("doc_id", fn.encode_base64("text").alias("encoded"))
+    return t.documents.select("doc_id", fn.encode_base64("text").alias("encoded"))
 
 
 @query(
     "base64_decode",
-    """SELECT doc_id, text AS decoded, text AS decoded_unpadded, 'Base64解密失败' AS broken,
-      CAST(NULL AS VARCHAR) AS blank FROM documents WHERE trim(text) <> ''""",
+    """SELECT doc_id, plain AS decoded, plain AS decoded_unpadded, CASE WHEN plain IS NOT NULL THEN 'Base64解密失败' END AS broken,
+      CAST(NULL AS VARCHAR) AS blank FROM (SELECT doc_id, CASE WHEN trim(text) <> '' THEN text END AS plain FROM documents)""",
 )
 def base64_decode(t: Tables) -> DataFrame:
-    coded = t.documents.where("trim(text) <> ''").select("doc_id", fn.encode_base64("text").alias("s"))
+    coded = t.documents.select("doc_id", fn.encode_base64("text").alias("s"))
     return coded.select(
         "doc_id",
         fn.decode_base64("s").alias("decoded"),

@@ -91,7 +91,7 @@ def csv_json_scan(t: Tables) -> DataFrame:
         part = rows.select(F.lit(kind).alias("kind"), "c_nationkey", "c_acctbal")
         together = part if together is None else together.unionByName(part)
     return together.groupBy("kind", "c_nationkey").agg(
-        F.count("*").alias("n"), F.sum(aggregates.money("c_acctbal")).cast("double").alias("balance")
+        F.count("*").alias("n"), F.sum(aggregates.exact("c_acctbal", 2)).cast("double").alias("balance")
     )
 
 
@@ -120,12 +120,18 @@ def text_export_tab(t: Tables) -> DataFrame:
     return files.read_export(t.spark, path, "o_orderkey long, priority string, o_totalprice double, day string")
 
 
-@query("csv_write", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, props, value FROM events")
+@query(
+    "csv_write",
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, props, value FROM events
+    UNION ALL SELECT -doc_id - 1, NULL, text, NULL FROM documents""",
+)
 def csv_write(t: Tables) -> DataFrame:
+    """Events, and texts with quotes, separators and line breaks, through the library's own writer and reader."""
     path = t.scratch("csv")
-    files.write_csv(t.events.select("event_id", "ts", "props", "value"), path, sep=";")
-    columns = "event_id long, ts string, props string, value double"
-    return t.spark.read.schema(columns).csv(path, header=True, sep=";", escape='"')
+    rows = t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "props", "value")
+    texts = t.documents.select((-F.col("doc_id") - 1).alias("event_id"), F.lit(None).cast("string").alias("ts"), "text", F.lit(None).cast("double"))
+    files.write_csv(rows.union(texts), path, sep=";")
+    return files.read_csv(t.spark, path, "event_id long, ts string, props string, value double", sep=";")
 
 
 _DETAIL_SQL = """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS order_id, l_shipdate AS charge_time,

@@ -63,7 +63,7 @@ def write_batches(docs: DataFrame, path: str, batch_size: int, writers: int | No
 
     ``writers`` bounds how many are written at a time, to go easy on the receiver.
     """
-    few = docs.coalesce(writers) if writers else docs
+    few = docs.repartition(writers) if writers else docs
     few.write.mode("overwrite").option("maxRecordsPerFile", batch_size).text(path)
 
 
@@ -85,4 +85,4 @@ def push_batches(
         if batch:
             send(batch)
 
-    (docs.coalesce(writers) if writers else docs).foreachPartition(drain)
+    (docs.repartition(writers) if writers else docs).foreachPartition(drain)

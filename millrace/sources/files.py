@@ -19,9 +19,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header line."""
-    return spark.read.schema(schema).csv(path, header=True)
+# What writer and reader of CSV agree on: quotes doubled inside quotes, line breaks inside them kept, and the
+# empty text written as "" so that it is no null.
+_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV = {"escape": '"', "emptyValue": '""', "nullValue": ""} | _BLANKS
+CSV_READ = {"escape": '"', "emptyValue": "\0", "multiLine": "true"} | _BLANKS
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: str, sep: str = ",", timestamps: str = "yyyy-MM-dd HH:mm:ss"
+) -> DataFrame:
+    """CSV with a header line, as ``write_csv`` writes it."""
+    options = CSV_READ | {"timestampFormat": timestamps, "timestampNTZFormat": timestamps}
+    rows = spark.read.schema(schema).options(**options).csv(path, header=True, sep=sep)
+    # The reader takes an empty value for a null, quoted or not; a mark for the quoted one tells them apart.
+    texts = [f.name for f in rows.schema if isinstance(f.dataType, T.StringType)]
+    mark = F.lit(CSV_READ["emptyValue"])
+    return rows.withColumns({n: F.when(F.col(f"`{n}`") == mark, "").otherwise(F.col(f"`{n}`")) for n in texts})
 
 
 def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
@@ -31,14 +45,14 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", timestamps: str = "yyyy-MM-dd HH:mm:ss") -> None:
     """CSV with a header line per file; an existing path is replaced."""
-    options = {"timestampFormat": timestamps, "timestampNTZFormat": timestamps, "escape": '"'}
+    options = CSV | {"timestampFormat": timestamps, "timestampNTZFormat": timestamps}
     df.write.mode("overwrite").options(**options).csv(path, header=True, sep=sep)
 
 
 def write_sorted_pairs(df: DataFrame, path: str, key: str, value: str) -> None:
-    """Lines ``key<TAB>value`` in key order over all files."""
+    """Lines ``key<TAB>value`` in key order over all files; a key with very many rows spans several ranges."""
     line = F.concat_ws(TAB, key, F.col(value).cast("string"))
-    df.orderBy(key).select(line.alias("value")).write.mode("overwrite").text(path)
+    df.orderBy(key, value).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def scrubbed(column: Column, sep: str) -> Column:
@@ -48,8 +62,14 @@ def scrubbed(column: Column, sep: str) -> Column:
 
 
 def export_lines(df: DataFrame, sep: str = TAB) -> DataFrame:
-    """Every row as one delimited line, all columns as text, null as ``\\N``."""
-    fields = (F.coalesce(scrubbed(as_text(df, name), sep), F.lit(NULL_TEXT)) for name in df.columns)
+    """Every row as one delimited line, all columns as text, null as ``\\N``, a text ``\\N`` with one more backslash."""
+
+    def field(name: str) -> Column:
+        text = scrubbed(as_text(df, name), sep)
+        kept = F.when(text.rlike(r"^\\+N\z"), F.concat(F.lit("\\"), text)).otherwise(text)
+        return F.coalesce(kept, F.lit(NULL_TEXT))
+
+    fields = map(field, df.columns)
     return df.select(F.concat_ws(sep, *fields).alias("value"))
 
 
@@ -65,6 +85,7 @@ def read_export(spark: SparkSession, path: str, schema: str | T.StructType, sep:
 
     def field(i: int, declared: T.StructField) -> Column:
         text = F.nullif(F.get("parts", F.lit(i)), F.lit(NULL_TEXT))
+        text = F.when(text.rlike(r"^\\{2,}N\z"), F.substring(text, 2, 1 << 30)).otherwise(text)
         same = isinstance(declared.dataType, T.StringType)
         return (text if same else text.try_cast(declared.dataType)).alias(declared.name)
 

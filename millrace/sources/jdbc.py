@@ -34,7 +34,9 @@ def table_options(
 
 
 def query_options(url: str, query: str, **login: str | None) -> dict[str, str]:
-    """Options to run a query on the other side and read its result."""
+    """Options to run a query on the other side and read its result, in parallel with ``split_by``."""
+    if login.get("split_by"):  # only a table expression can be split
+        return table_options(url, f"({query}) t", **login)
     options = table_options(url, "", **login)
     del options["dbtable"]
     return options | {"query": query}

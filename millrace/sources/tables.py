@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,10 +79,18 @@ def save_table(
 
 
 def save_with_columns(df: DataFrame, table: str, path: str | None = None, **derived: str) -> None:
-    """Replace a table by ``df`` plus derived columns, given as SQL expressions."""
+    """Replace a table by ``df`` plus derived columns, given as SQL expressions.
+
+    The new table is written beside the old one and takes its name at the end, so ``df`` may read the
+    old one and a failure leaves it as it was. With ``path`` each version has a folder of its own below it.
+    """
     extra = [F.expr(text).alias(name) for name, text in derived.items()]
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    save_table(df.select("*", *extra), table, path=path)
+    mark = uuid.uuid4().hex[:12]
+    fresh = f"{table}_{mark}"
+    save_table(df.select("*", *extra), fresh, path=f"{path}/{mark}" if path else None)
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
 
 
 def replace_rows(df: DataFrame, table: str) -> None:

@@ -1,3 +1,4 @@
+from fractions import Fraction
 from collections import Counter
 from itertools import combinations
 
@@ -137,3 +138,36 @@ def test_trace_of_candidates(spark, tmp_path):
     assert found == {
         (2, "A,B"): 1, (2, "A,C"): 2, (2, "A,E"): 1, (2, "B,C"): 2, (2, "B,E"): 3, (2, "C,E"): 2, (3, "B,C,E"): 2,
     }
+
+
+@pytest.mark.parametrize("support", [0.07, 0.29, 0.1, 0.0042857])
+@pytest.mark.parametrize("rows", [10**8, 3 * 10**9, 10**10, 10**11, 7])
+def test_needed_is_exact(support, rows):
+    exact = Fraction(str(support)) * rows
+    least = I.needed(support, rows)
+    assert least >= exact > least - 1
+    assert I.needed(support, rows, strict=True) - 1 <= exact < I.needed(support, rows, strict=True)
+
+
+def test_wide_sets_are_not_capped(spark):
+    df = frame(spark, [[chr(97 + i) for i in range(12)]] * 3)
+    found = I.frequent_itemsets(df, 0.5, min_size=1)
+    assert found.count() == 4095
+    assert [(r["items"], r.num) for r in I.maximal(found).collect()] == [([chr(97 + i) for i in range(12)], 3)]
+
+
+def test_rules_need_single_items(spark):
+    found = I.frequent_itemsets(frame(spark, SAMPLE), 0.5)
+    with pytest.raises(ValueError, match="min_size=1"):
+        R.association_rules(found, 0.5)
+    with pytest.raises(ValueError, match="min_size=1"):
+        R.with_lift(spark.createDataFrame([], "antecedent array<string>, consequent string, confidence double, num long"), found)
+
+
+def test_an_item_of_every_basket_brings_no_fan_out(spark):
+    rows = [["a", f"x{i}"] for i in range(200)]
+    sets = spark.createDataFrame([(["a", f"x{i}"],) for i in range(0, 400, 2)], "candidate array<string>")
+    met = B.with_met(B.numbered(frame(spark, rows)), sets, "candidate")
+    assert met.count() == 100
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

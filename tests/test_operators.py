@@ -43,6 +43,15 @@ def test_daily(detail):
     assert found["None"][:2] == (1, None)
 
 
+def test_sums_are_not_rounded(spark):
+    rows = spark.createDataFrame([("2020-01-01", 1, 0.004), ("2020-01-01", 2, 0.004), ("2020-01-02", 1, 1e17)], "ts string, item int, amount double")
+    found = {str(r.dt): r for r in aggregates.daily(rows, "ts", "item", "amount").collect()}
+    assert (found["2020-01-01"].sum_amount, found["2020-01-01"].avg_amount) == (0.008, 0.004)
+    assert found["2020-01-02"].sum_amount == 1e17
+    exact = rows.withColumn("amount", aggregates.exact("amount", 3))
+    assert str(aggregates.grouped_having(exact, ["ts"], "amount", 1).head().sum_amount) == "0.008"
+
+
 def test_grouped_having(detail):
     keys = [F.to_date("charge_time").alias("dt"), "item_id", "item_name"]
     assert aggregates.grouped_having(detail, keys, "amount", 3).count() == 0
@@ -141,6 +150,13 @@ def test_wide_to_cells_and_back(spark):
     assert rows_of(keyed) == [("a-1", "cf", "d", "2.5")]
 
 
+def test_composite_keys_stay_apart(spark):
+    rows = spark.createDataFrame([("a", None, 1), (None, "a", 2)], "x string, y string, v int")
+    assert {r.rowkey for r in reshape.wide_to_cells(rows, ["x", "y"], sep="|").collect()} == {"a|\\N", "\\N|a"}
+    with pytest.raises(ValueError, match="separator"):
+        reshape.wide_to_cells(rows, ["x", "y"])
+
+
 def test_cells_to_wide(spark):
     declared = "rowkey:id:string; f1:name:string; f2:math:double; f2:chinese:decimal(38,3); f2_x:a_b:int; f1:math:int"
     cells = spark.createDataFrame(

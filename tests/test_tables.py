@@ -78,6 +78,12 @@ def test_export_text(spark, tmp_path):
         assert back[0].txt == "a b c d" and back[2].txt == '"x"'
 
 
+def test_null_text_is_no_null(spark, tmp_path):
+    rows = [(1, "\\N"), (2, None), (3, "\\\\N"), (4, ""), (5, "x\\N")]
+    files.export_text(spark.createDataFrame(rows, "id int, txt string"), str(tmp_path / "n"))
+    assert sorted(map(tuple, files.read_export(spark, str(tmp_path / "n"), "id int, txt string").collect())) == rows
+
+
 def test_csv_and_json(spark, tmp_path):
     rows = spark.createDataFrame(
         [(datetime(2020, 1, 2, 3, 4, 5), 'say "hi", ok', 1.5), (None, None, None)], "ts timestamp, txt string, d double"
@@ -85,8 +91,11 @@ def test_csv_and_json(spark, tmp_path):
     files.write_csv(rows, str(tmp_path / "csv"), timestamps="yyyy/MM/dd HH:mm")
     text = "".join(sorted(r.value for r in spark.read.text(str(tmp_path / "csv")).collect()))
     assert "2020/01/02 03:04" in text and "ts,txt,d" in text
-    back = spark.read.schema("ts string, txt string, d double").csv(str(tmp_path / "csv"), header=True, escape='"')
+    back = files.read_csv(spark, str(tmp_path / "csv"), "ts string, txt string, d double")
     assert {tuple(r) for r in back.collect()} == {("2020/01/02 03:04", 'say "hi", ok', 1.5), (None, None, None)}
+    odd = [(1, 'say "hi", you'), (2, "two\nlines"), (3, ""), (4, None), (5, '"'), (6, "\\"), (7, ',",\n"'), (8, " blanks ")]
+    files.write_csv(spark.createDataFrame(odd, "id int, txt string"), str(tmp_path / "odd"))
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "odd"), "id int, txt string").collect())) == odd
 
     sample = [{"dt": "2021-01-01", "name": "张三", "amount": "40.5", "qty": "7"}, {"dt": "2021-01-02", "name": "mark", "amount": "1", "qty": "2"}]
     (tmp_path / "t.json").write_text(json.dumps(sample, indent=2, ensure_ascii=False), encoding="utf-8")
@@ -114,6 +123,12 @@ def test_table_writes(spark, tmp_path):
     tables.save_with_columns(people, "t_more", str(tmp_path / "m"), twice="id * 2", etl_time="now()")
     tables.save_with_columns(people, "t_more", str(tmp_path / "m"), twice="id * 2")
     assert sorted(r.twice for r in spark.table("t_more").collect()) == [2, 4]
+    own = spark.table("t_more").select("id", "name")
+    tables.save_with_columns(own, "t_more", str(tmp_path / "m"), twice="id * 2")
+    assert sorted(r.twice for r in spark.table("t_more").collect()) == [2, 4]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        tables.save_with_columns(own, "t_more", str(tmp_path / "m"), twice="id / 0")
+    assert spark.table("t_more").count() == 2
     tables.save_table(people.selectExpr("id", "name", "id * 2 AS twice"), "t_more", mode="append")
     assert spark.table("t_more").count() == 4
 
@@ -180,6 +195,8 @@ def test_connector_options():
 def test_jdbc_options():
     options = jdbc.table_options("jdbc:x", "t", user="u", split_by=("id", "1", "100", 4))
     assert options["numPartitions"] == "4" and options["partitionColumn"] == "id" and "password" not in options
+    split = jdbc.query_options("jdbc:x", "select 1", split_by=("id", "1", "9", 3))
+    assert split["dbtable"] == "(select 1) t" and split["partitionColumn"] == "id" and "query" not in split
     query = jdbc.query_options("jdbc:x", "select 1", user="u")
     assert query["query"] == "select 1" and "dbtable" not in query
 

@@ -12,38 +12,66 @@ RECORD = (
 )
 
 
-def parsed(records: DataFrame, column: str = "value") -> DataFrame:
+def parsed(records: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
     """Change records as columns; ``pk`` is the array of key names and ``rows`` the row maps.
 
     An update carries its new row as ``after_values``, the other actions as ``values``. The
     maps keep the order of the document and the type of every value.
     """
     # inline() keeps the parsed record as one step: it is not parsed again for every field.
-    record = records.select(F.inline(F.array(F.from_json(column, RECORD))))
+    record = records.select(*(keep or ()), F.inline(F.array(F.from_json(column, RECORD))))
     listed = F.from_json("table_pk", "array<string>")
     pk = F.when(F.col("table_pk").startswith("["), listed).otherwise(F.array("table_pk"))
     new_row = F.when(F.col("action") == "update", F.lit("after_values")).otherwise(F.lit("values"))
     return record.select(
+        *(keep or ()),
         "log_file",
         "log_pos",
         "log_time",
-        F.concat_ws(".", "schema", "table").alias("table"),
+        F.when(F.col("table").isNotNull(), F.concat_ws(".", "schema", "table")).alias("table"),
         pk.alias("pk"),
         "action",
         F.transform("data", lambda entry: F.try_element_at(entry, new_row)).alias("rows"),
     )
 
 
+ACTIONS = ("insert", "update", "delete")
+
+
+def rejects(records: DataFrame, column: str = "value") -> DataFrame:
+    """Records that no other function here takes up, as ``(value, reason)``: JSON that can't be read as a change
+    record, or an action other than ``ACTIONS``. Together with ``change_sql`` no record is lost."""
+    raw = records.select(F.col(column).alias("value"))
+    read = parsed(raw.withColumn("_raw", F.col("value")), "value", ["_raw"])
+    return read.where(~_sound()).select(
+        F.col("_raw").alias("value"),
+        F.when(F.col("table").isNull() | F.col("action").isNull() | F.col("rows").isNull(), "unreadable")
+        .otherwise("unknown action")
+        .alias("reason"),
+    )
+
+
+def _sound() -> Column:
+    known = F.col("table").isNotNull() & F.col("rows").isNotNull() & F.col("action").isin(*ACTIONS)
+    return F.coalesce(known, F.lit(False))
+
+
 def _text(value: Column) -> Column:
-    """A value as text; numbers with a fraction in the form of a double, as 5.0."""
-    fraction = F.schema_of_variant(value).startswith("DECIMAL")
+    """A value as text; numbers written with a fraction in the form of a double, as 5.0, whole ones with all digits.
+
+    Whole numbers are decimals only where they don't fit a long, with 19 digits or more.
+    """
+    fraction = F.schema_of_variant(value).rlike(r"^DECIMAL(?!\((19|[2-9][0-9]),0\))")
     return F.when(fraction, value.try_cast("double").cast("string")).otherwise(value.cast("string"))
 
 
 def change_rows(records: DataFrame, column: str = "value") -> DataFrame:
-    """One row per changed row: table, pk, action, log_pos, place in the record, values as text."""
+    """One row per changed row: table, pk, action, log_pos, place in the record, values as text.
+
+    Records without a readable table or known action are not among them, but in ``rejects``.
+    """
     # The outer form adds no filter on the size of ``rows``, which would work them out twice.
-    exploded = parsed(records, column).select(
+    exploded = parsed(records, column).where(_sound()).select(
         "table", "pk", "action", "log_pos", F.posexplode_outer("rows").alias("ordinal", "row")
     ).where(F.col("row").isNotNull())
     text = F.transform_values("row", lambda _, value: _text(value))
@@ -81,9 +109,9 @@ def change_sql(records: DataFrame, column: str = "value") -> DataFrame:
     """The SQL text of every change record.
 
     Insert: one statement with all rows. Update: one statement per row, joined by ``;`` and a
-    line break. Delete: one statement with a predicate per row.
+    line break. Delete: one statement with a predicate per row. Other records are in ``rejects``.
     """
-    change = parsed(records, column)
+    change = parsed(records, column).where(_sound())
 
     def is_pk(entry: Column) -> Column:
         return F.array_contains("pk", entry["key"])
@@ -112,16 +140,19 @@ def change_sql(records: DataFrame, column: str = "value") -> DataFrame:
         F.when(F.col("action") == "insert", inserts)
         .when(F.col("action") == "update", updates)
         .when(F.col("action") == "delete", deletes)
-        .otherwise(F.lit(""))
     )
     return change.select("log_pos", "table", "action", sql.alias("sql"))
 
 
 def typed_changes(rows: DataFrame, target: str, columns: dict[str, str]) -> DataFrame:
-    """The changed rows of one table with its columns typed, ready to be applied to it."""
+    """The changed rows of one table with its columns typed, ready to be applied to it.
+
+    ``present`` lists the columns that the record carries: what it leaves out keeps its value.
+    """
     return rows.where(F.col("table") == target).select(
         *(F.try_element_at("values", F.lit(name)).try_cast(kind).alias(name) for name, kind in columns.items()),
         "action",
         "log_pos",
         "ordinal",
+        F.map_keys("values").alias("present"),
     )

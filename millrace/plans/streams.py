@@ -91,8 +91,8 @@ def record_stream(t: Tables) -> DataFrame:
 @query("stream_cdc_apply", APPLIED)
 def stream_cdc_apply(t: Tables) -> DataFrame:
     columns = ", ".join(f"{name} {kind}" for name, kind in ORDER_COLUMNS.items())
-    log = BatchLog(t.spark, f"{columns}, action string, log_pos long, ordinal int")
-    collected = changes.collect_changes(record_stream(t), "shop.orders", ORDER_COLUMNS, ["id"], log)
+    log = BatchLog(t.spark, f"{columns}, action string, log_pos long, ordinal int, present array<string>")
+    collected = changes.collect_changes(record_stream(t), "shop.orders", ORDER_COLUMNS, log)
     return changes.merged(change_target(t), collected, ["id"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from millrace.operators.changes import change_rows, change_sql, typed_changes
-from millrace.operators.upsert import apply_changes, latest
+from millrace.operators.upsert import apply_changes
 from millrace.streaming.sources import BatchLog, run_available
 
 PLACE = ["log_pos", "ordinal"]
@@ -15,19 +15,18 @@ def collect_changes(
     stream: DataFrame,
     target: str,
     columns: dict[str, str],
-    keys: list[str],
     log: BatchLog,
     column: str = "value",
     checkpoint: str | None = None,
 ) -> DataFrame:
-    """Keep the last change per key and batch, by place in the change log.
+    """Keep the changes of one table; ``log`` has the columns, action, log_pos, ordinal and present.
 
-    The order of the records is in the records (log position, place in the record), so
+    Every change is kept, as an update may carry some columns only; ``merged`` folds them by key. The order of the records is in the records (log position, place in the record), so
     batches need not be processed row by row, nor even arrive in order.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        log.put(latest(typed_changes(change_rows(batch, column), target, columns), keys, PLACE), batch_id)
+        log.put(typed_changes(change_rows(batch, column), target, columns), batch_id)
 
     run_available(stream, each, checkpoint=checkpoint)
     return log.rows()

@@ -246,6 +246,40 @@ def test_change_rows_and_apply(spark):
     assert changes.typed_changes(rows, "test.other", {"id": "long"}).count() == 0
 
 
+def test_changes_without_loss(spark):
+    big = 18446744073709551615
+    records = [
+        record("insert", [{"id": big, "a": 12345678901234567890123, "b": 0.5}], pos=1),
+        record("insert", [{"id": 2, "a": "x", "b": "y"}], pos=2),
+        record("update", [{"id": 2, "a": "z"}], pos=3),
+        record("update", [{"id": 3, "b": None}], pos=4),
+        record("delete", [{"id": 4}], pos=5),
+        record("update", [{"id": 4, "b": "again"}], pos=6),
+        record("DELETE", [{"id": 2}], pos=7),
+        ("{not json",),
+        (None,),
+        ("{}",),
+    ]
+    df = spark.createDataFrame(records, "value string")
+    told = {r.log_pos: r.sql for r in changes.change_sql(df).collect()}
+    assert told[1] == f"insert into test.t4 values ({big}, 12345678901234567890123, 0.5)"
+    assert sorted(told) == [1, 2, 3, 4, 5, 6]
+    assert sorted((str(r.value)[:9], r.reason) for r in changes.rejects(df).collect()) == [
+        ("None", "unreadable"), (records[6][0][:9], "unknown action"), ("{not json", "unreadable"), ("{}", "unreadable"),
+    ]
+    typed = changes.typed_changes(changes.change_rows(df), "test.t4", {"id": "string", "a": "string", "b": "string"})
+    base = spark.createDataFrame([("3", "keep", "lose"), ("4", "dead", "dead"), (None, "odd", None)], "id string, a string, b string")
+    assert rows_of(upsert.apply_changes(base, typed, ["id"], ["log_pos", "ordinal"])) == [
+        ("18446744073709551615", "12345678901234567890123", "0.5"), ("2", "z", "y"), ("3", "keep", None), ("4", None, "again"),
+        (None, "odd", None),
+    ]
+    wrong = typed.withColumn("action", F.lit("DELETE"))
+    with pytest.raises(Exception, match="unknown action: DELETE"):
+        upsert.apply_changes(base, wrong, ["id"], ["log_pos", "ordinal"]).collect()
+    plan = upsert.apply_changes(base, typed, ["id"], ["log_pos", "ordinal"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") <= 2 and "Join" not in plan
+
+
 # Logs
 
 LOG = """\

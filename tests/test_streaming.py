@@ -154,8 +154,8 @@ def test_changes_apply_in_log_order_whatever_the_batches(spark, lines):
     lines(change(3, "update", {"id": 1, "v": "later"}), change(1, "insert", {"id": 1, "v": "first"}))
     lines(change(2, "update", {"id": 1, "v": "between"}), change(5, "delete", {"id": 7, "v": "x"}))
     lines(change(4, "insert", {"id": 7, "v": "x"}), change(6, "insert", {"id": 8, "v": "new"}))
-    log = BatchLog(spark, "id long, v string, action string, log_pos long, ordinal int")
-    collected = changes.collect_changes(stream_of(spark, lines), "s.t", {"id": "long", "v": "string"}, ["id"], log)
+    log = BatchLog(spark, "id long, v string, action string, log_pos long, ordinal int, present array<string>")
+    collected = changes.collect_changes(stream_of(spark, lines), "s.t", {"id": "long", "v": "string"}, log)
     base = spark.createDataFrame([(1, "old"), (9, "kept")], "id long, v string")
     assert sorted(map(tuple, changes.merged(base, collected, ["id"]).collect())) == [(1, "later"), (8, "new"), (9, "kept")]
 

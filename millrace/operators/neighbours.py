@@ -5,82 +5,71 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import written
-
-QUERY_BLOCK = 1_000
-QUERY_BYTES = 32 * 1024 * 1024
-
-
-def _nearest_in_block(
-    points: DataFrame, block: list, query_type: str, k: int, vector: str, id_: str, label: str
-) -> DataFrame:
-    """For every query of one block, its k nearest points of each input batch."""
-    names = [row["query_id"] for row in block]
-    wanted = np.array([row[vector] for row in block], dtype="float64")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        squared = (wanted**2).sum(axis=1)[:, None]
-        for batch in batches:
-            if batch.empty:
-                continue
-            have = np.stack(batch[vector].to_numpy()).astype("float64")
-            gap = squared + (have**2).sum(axis=1)[None, :] - 2.0 * wanted @ have.T
-            keep = min(k, len(batch))
-            # Candidates by the fast formula with room for its rounding; then distances exactly,
-            # so that ties at the cut are decided by id and k per query remain.
-            room = 1e-9 * (1.0 + squared.max() + (have**2).sum(axis=1).max())
-            cut = np.partition(gap, keep - 1, axis=1)[:, keep - 1 : keep]
-            query, point = np.nonzero(gap <= cut + room)
-            found = pd.DataFrame({"_query": query, id_: batch[id_].to_numpy()[point]})
-            found[label] = batch[label].to_numpy()[point]
-            found["distance"] = np.sqrt(((wanted[query] - have[point]) ** 2).sum(axis=1))
-            best = found.sort_values(["_query", "distance", id_]).groupby("_query").head(k)
-            best.insert(0, "query_id", [names[q] for q in best["_query"]])
-            yield best.drop(columns="_query")
-
-    fields = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    return points.select(id_, vector, label).mapInPandas(
-        search, f"query_id {query_type}, `{id_}` {fields[id_]}, `{label}` {fields[label]}, distance double"
-    )
+QUERY_BLOCK = 256
+POINT_BLOCK = 4096
+
+
+def _blocks(rows: DataFrame, columns: list[str], vector: str, size: int, name: str) -> DataFrame:
+    """One row per ``size`` rows of vectors of one length: the columns and vectors as arrays."""
+    numbered = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
+    numbered = numbered.withColumn("_block", F.floor(F.monotonically_increasing_id() / size))
+    fields = F.struct(*columns, F.transform(vector, lambda x: x.cast("double")).alias("_vector"))
+    return numbered.groupBy("_block", F.size(vector).alias("_width")).agg(F.collect_list(fields).alias(name))
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str, id_: str, label: str) -> DataFrame:
-    """The k nearest points of every query: ``(query_id, id, label, distance, rn)``.
+    """The k nearest points of every query: ``(query_id, id, label, distance, rn)``, ties to the smaller id.
 
-    ``queries`` has ``query_id`` and the vector. Queries go out in blocks of bounded size,
-    one pass over the points per block; each task keeps k per query and input batch, so only
-    those are shuffled.
+    ``queries`` has ``query_id`` and the vector. Queries and points are packed into blocks, and each query block
+    meets each point block once, in one job: a pair of blocks gives k rows per query, and only those are shuffled.
+    Vectors meet vectors of their own length; null vectors and vectors with null components take no part.
     """
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    first = queries.select(F.size(vector)).head()
-    if first is None:
-        raise ValueError("nearest needs at least one query")
-    block_rows = max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(1, first[0]))))
-    total = queries.limit(block_rows + 1).count()
-    if total <= block_rows:
-        blocks = [queries.collect()]
-    else:
-        inside = Window.partitionBy("_part").orderBy("query_id")
-        ranged = queries.repartitionByRange("query_id").withColumn("_part", F.spark_partition_id())
-        stored = written(
-            ranged.withColumn("_block", F.floor((F.row_number().over(inside) - 1) / block_rows)),
-            "knn-queries",
-        )
-        keys = [(r["_part"], r["_block"]) for r in stored.select("_part", "_block").distinct().toLocalIterator()]
-        blocks = (stored.where((F.col("_part") == p) & (F.col("_block") == b)).collect() for p, b in keys)
-    found = None
-    for block in blocks:
-        part = _nearest_in_block(points, block, query_type, k, vector, id_, label)
-        if total > block_rows:
-            part = written(_first_k(part, k, id_), "knn-block")
-        found = part if found is None else found.unionByName(part)
-    assert found is not None
+    lanes = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    have = _blocks(points, [id_, label], vector, POINT_BLOCK, "_points")
+    have = have.withColumn("_lane", F.pmod(F.xxhash64("_block"), F.lit(lanes)))
+    asked = _blocks(queries, ["query_id"], vector, QUERY_BLOCK, "_queries")
+    asked = asked.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    pairs = have.select("_lane", "_width", "_points").join(asked.select("_lane", "_width", "_queries"), ["_lane", "_width"])
+
+    def matrix(vectors: pa.Array, width: int) -> np.ndarray:
+        return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+    def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for row in range(batch.num_rows):
+                width = batch.column(0)[row].as_py()
+                held, wanted = batch.column(1)[row].values, batch.column(2)[row].values
+                points_, queries_ = matrix(held.field("_vector"), width), matrix(wanted.field("_vector"), width)
+                ids = held.field(id_).to_pylist()
+                squared = (points_**2).sum(axis=1)
+                room = 1e-9 * (1.0 + squared.max() + (queries_**2).sum(axis=1).max())
+                keep = min(k, len(points_))
+                chosen, owner, distance = [], [], []
+                for number, query in enumerate(queries_):
+                    # Candidates by the fast formula with room for its rounding, then exact distances, so that
+                    # ties at the cut are decided by id.
+                    gap = squared - 2.0 * points_ @ query
+                    near = np.flatnonzero(gap <= np.partition(gap, keep - 1)[keep - 1] + room)
+                    exact = np.sqrt(((points_[near] - query) ** 2).sum(axis=1))
+                    best = sorted(range(len(near)), key=lambda i: (exact[i], ids[near[i]]))[:k]
+                    chosen += [int(near[i]) for i in best]
+                    distance += [float(exact[i]) for i in best]
+                    owner += [number] * len(best)
+                taken, owners = pa.array(chosen, pa.int64()), pa.array(owner, pa.int64())
+                columns = [wanted.field("query_id").take(owners), held.field(id_).take(taken), held.field(label).take(taken)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(distance, pa.float64())], names=["query_id", id_, label, "distance"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+    found = pairs.select("_width", "_points", "_queries").mapInArrow(
+        search, f"query_id {query_kind}, `{id_}` {kinds[id_]}, `{label}` {kinds[label]}, distance double"
+    )
     return _first_k(found, k, id_)
 
 
@@ -112,3 +101,13 @@ def kmeans(points: DataFrame, vector: str, k: int, seed: int = 7) -> DataFrame:
     prepared = points.withColumn("_features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(prepared)
     return model.transform(prepared).drop("_features")
+
+
+def assigned(points: DataFrame, centres: DataFrame, vector: str, id_: str, label: str) -> DataFrame:
+    """One step of k-means from given centres: every point with the nearest ``centre_id`` and the distance.
+
+    ``centres`` has ``centre_id`` and the vector; ``centroids`` of the result by ``centre_id`` are the next centres.
+    """
+    asked = points.select(F.col(id_).alias("query_id"), vector)
+    known = centres.select(F.col("centre_id").alias(id_), vector, F.lit(0).alias(label))
+    return nearest(known, asked, 1, vector, id_, label).select(F.col("query_id").alias("_id"), F.col(id_).alias("centre_id"), "distance").withColumnRenamed("_id", id_)

@@ -215,8 +215,33 @@ def array_subsets(t: Tables) -> DataFrame:
     return parts.groupBy(F.array_join("subset", ",").alias("subset")).agg(F.count("*").alias("n"))
 
 
-@query("kmeans")
+@query(
+    "kmeans",
+    """WITH dims AS (SELECT vec_id, label, unnest(range(1, 65)) AS d, unnest(embedding) AS x FROM embeddings),
+    means AS (SELECT label, list(m ORDER BY d) AS center FROM (SELECT label, d, avg(x::DOUBLE) AS m FROM dims GROUP BY label, d) GROUP BY label),
+    near AS (SELECT vec_id, m.label AS centre, sqrt(list_sum(list_transform(list_zip(center, embedding::DOUBLE[]), lambda z: (z[1] - z[2]) ** 2))) AS distance
+      FROM means m, embeddings e),
+    own AS (SELECT vec_id, centre FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, centre) AS rn FROM near) WHERE rn = 1),
+    moved AS (SELECT centre, d, avg(x::DOUBLE) AS m FROM own JOIN dims USING (vec_id) GROUP BY centre, d)
+    SELECT centre::BIGINT AS cluster, (SELECT count(*) FROM own o WHERE o.centre = c.centre) AS n, round(sum(m), 6) AS total, round(sum(m * m), 6) AS squares
+    FROM moved c GROUP BY centre""",
+)
 def kmeans(t: Tables) -> DataFrame:
+    """One step from the label means: points go to the nearest mean, and each cluster has a new one."""
+    centres = neighbours.centroids(t.embeddings, "embedding", "label").withColumnRenamed("label", "centre_id")
+    centres = centres.withColumn("centre_id", F.col("centre_id").cast("long"))
+    own = written(neighbours.assigned(t.embeddings, centres, "embedding", "vec_id", "label"), "assigned")
+    moved = neighbours.centroids(t.embeddings.join(own.select("vec_id", "centre_id"), "vec_id"), "embedding", "centre_id")
+    sizes = own.groupBy("centre_id").agg(F.count("*").alias("n"))
+    total = lambda f: F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + f(x)), 6)
+    return moved.join(sizes, "centre_id").select(
+        F.col("centre_id").alias("cluster"), "n", total(lambda x: x).alias("total"), total(lambda x: x * x).alias("squares")
+    )
+
+
+@query("kmeans_fit")
+def kmeans_fit(t: Tables) -> DataFrame:
+    """Spark ML's k-means to the end; its seeding has no SQL."""
     return neighbours.kmeans(t.embeddings, "embedding", k=10).groupBy("cluster").agg(
         F.count("*").alias("n"), F.countDistinct("label").alias("labels")
     )

@@ -341,6 +341,7 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
 
     for block in (1000, 7):
         monkeypatch.setattr(neighbours, "QUERY_BLOCK", block)
+        monkeypatch.setattr(neighbours, "POINT_BLOCK", 3 * block)
         found = neighbours.nearest(df, asked, 5, "v", "id", "label")
         assert {(r.query_id, r.id, r.rn) for r in found.collect()} == want(5)
     votes = neighbours.vote(spark.createDataFrame([(1, 2), (1, 2), (1, 0), (2, 5), (2, 3)], "query_id int, label int"), "label")

@@ -52,4 +52,4 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"kmeans"}
+    assert set(QUERIES) - set(ORACLES) == {"kmeans_fit"}

@@ -1,7 +1,7 @@
 """Functions visible from SQL and from the DataFrame API."""
 
 from millrace.functions.aggregates import map_of, max_length_value, sum_value
-from millrace.functions.arrays import combinations, subsets
+from millrace.functions.arrays import combinations, subset_rows, subsets
 from millrace.functions.jsons import kv_to_json, row_to_json, value_kinds
 from millrace.functions.scalars import (
     all_in_str,
@@ -31,6 +31,7 @@ __all__ = [
     "row_to_json",
     "sort_array_desc",
     "split_str",
+    "subset_rows",
     "subsets",
     "sum_value",
     "uuid32",

@@ -107,6 +107,12 @@ _SCALARS: dict[str, tuple[str, str, str]] = {
     "check_id_card": ("s STRING", "INT", _CHECK_ID_CARD),
     "count_distinct_array": ("a ARRAY<STRING>", "INT", "CASE WHEN a IS NOT NULL THEN size(array_distinct(a)) END"),
     "sort_array_desc": ("a ARRAY<STRING>", "ARRAY<STRING>", "sort_array(a, false)"),
+    # SQL functions have one parameter type each: numbers need the ones below, text order is not theirs.
+    "sort_array_desc_long": ("a ARRAY<BIGINT>", "ARRAY<BIGINT>", "sort_array(a, false)"),
+    "sort_array_desc_double": ("a ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "sort_array(a, false)"),
+    "count_distinct_array_long": ("a ARRAY<BIGINT>", "INT", "CASE WHEN a IS NOT NULL THEN size(array_distinct(a)) END"),
+    "count_distinct_array_double": ("a ARRAY<DOUBLE>", "INT", "CASE WHEN a IS NOT NULL THEN size(array_distinct(a)) END"),
+    "uuid32": ("", "STRING", "replace(uuid(), '-', '')"),
     "split_str": ("s STRING, sep STRING", "ARRAY<STRING>", _SPLIT_STR),
 }
 
@@ -115,7 +121,8 @@ def register(spark: SparkSession) -> None:
     """Create the SQL functions in this session.
 
     Scalars: ``encode_base64 decode_base64 encode_md5 all_in_str check_id_card
-    count_distinct_array sort_array_desc split_str``. Table function:
+    count_distinct_array sort_array_desc split_str uuid32``, the two array functions also as
+    ``…_long`` and ``…_double``: those without take texts, and Spark turns numbers into texts for them. Table function:
     ``explode_str(s, sep)`` with column ``col``. ``uuid()`` and ``now()`` are built in.
     """
     for name, (params, result, body) in _SCALARS.items():

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import combinations, subsets
+from millrace.functions import combinations, subset_rows
 from millrace.mining import baskets, itemsets, rules
 from millrace.operators import neighbours
 from millrace.plans.registry import Tables, query
@@ -211,7 +211,7 @@ def array_combos(t: Tables) -> DataFrame:
 
 @query("array_subsets", f"WITH {_MASKS} SELECT frequent_set AS subset, num AS n FROM counts")
 def array_subsets(t: Tables) -> DataFrame:
-    parts = type_baskets(t).select(F.explode(subsets("items")).alias("subset"))
+    parts = subset_rows(type_baskets(t), "items")
     return parts.groupBy(F.array_join("subset", ",").alias("subset")).agg(F.count("*").alias("n"))
 
 

@@ -264,3 +264,23 @@ def test_combinations_and_subsets(spark):
     assert [] in one(spark, "a array<string>", (["x"],), fn.subsets("a", with_empty=True))[0]
     with pytest.raises(Exception, match="too many items"):
         one(spark, "a array<string>", ([str(i) for i in range(40)],), F.size(fn.subsets("a")))
+
+
+def test_typed_array_functions_in_sql(spark):
+    fn.register(spark)
+    row = spark.sql(
+        "SELECT sort_array_desc_long(array(2, 10, 9)), sort_array_desc_double(array(2.5D, 10D)), count_distinct_array_long(array(1, 1, 2)),"
+        " count_distinct_array_double(array(1D, 1.5D)), sort_array_desc(array('b', 'a'))"
+    ).first()
+    assert tuple(row) == ([10, 9, 2], [10.0, 2.5], 2, 2, ["b", "a"])
+    ids = [r[0] for r in spark.sql("SELECT uuid32() FROM range(3)").collect()]
+    assert len(set(ids)) == 3 and all(len(i) == 32 and "-" not in i for i in ids)
+
+
+def test_subset_rows(spark):
+    rows = [(1, [str(i) for i in range(14)]), (2, []), (3, None), (4, ["x", "y"])]
+    df = spark.createDataFrame(rows, "id int, a array<string>")
+    found = fn.subset_rows(df, "a", with_empty=True)
+    counts = {r["id"]: (r["n"], r["d"]) for r in found.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("subset").alias("d")).collect()}
+    assert counts == {1: (2**14, 2**14), 2: (1, 1), 4: (4, 4)}
+    assert sorted(r["subset"] for r in fn.subset_rows(df.where("id = 4"), "a").collect()) == [["x"], ["x", "y"], ["y"]]

@@ -178,7 +178,7 @@ def broadcast_join(t: Tables) -> DataFrame:
 def shuffle_join(t: Tables) -> DataFrame:
     # One row per order goes into the join, however many lines an order has.
     per_order = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("n"), F.sum(aggregates.money("l_extendedprice")).alias("price")
+        F.count("*").alias("n"), F.sum(aggregates.exact("l_extendedprice", 2, 18)).alias("price")
     )
     joined = joins.shuffled_join(per_order, t.orders.select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
     return joined.groupBy("o_orderpriority").agg(

@@ -217,7 +217,7 @@ def sink_cast(t: Tables) -> DataFrame:
         F.array("event_type", F.col("user_id").cast("string")).alias("tags"),
         F.struct("value").alias("nested"),
         F.col("event_type").cast("binary").alias("bytes"),
-        aggregates.money("value").alias("amount"),
+        aggregates.exact("value", 2, 18).alias("amount"),
     )
     flat = schema.with_document_columns(schema.flat_for_sink(rich, decimals_as_double=True))
     flat = flat.withColumn("id_length", F.length("id")).withColumn("dated", F.col("dt").isNotNull())

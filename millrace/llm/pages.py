@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow
+from millrace.session import written
 
 # HTML element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -290,7 +291,8 @@ def extract(
     """
     scored = importance(style_tree(pages, url, source))
     noisy = scored.where((F.col("importance") < threshold) & (F.col("pages") >= least_pages))
-    noisy = noisy.groupBy("host").agg(F.collect_set("path").alias("noise"))
+    # Written first: its size is then known when the join with whole pages is planned.
+    noisy = written(noisy.groupBy("host").agg(F.collect_set("path").alias("noise")), "noise")
     host = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
     rows = pages.select(*keep, F.col(source).alias("_html"), F.lower(host).alias("_host"))
     rows = rows.join(noisy.select(F.col("host").alias("_host"), F.col("noise").alias("_noise")), "_host", "left")

@@ -56,9 +56,19 @@ def shingles(text: str) -> np.ndarray:
 
 
 def counts_of(found: np.ndarray) -> bytes:
-    """Counts per group as 16-bit numbers; a power of two of groups, about eight shingles each."""
-    groups = 1 << max(3, min(12, int(len(found) // 8).bit_length()))
-    return np.minimum(np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype("<u2").tobytes()
+    """Counts per group, one or two shingles each; a power of two of groups. Bytes, or where a count is above 255
+    (texts of millions of shingles) 32-bit numbers after a first byte."""
+    groups = 1 << max(3, min(16, len(found).bit_length() - 1))
+    counts = np.bincount((found & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    if counts.max(initial=0) < 256:
+        return counts.astype(np.uint8).tobytes()
+    return b"\x01" + counts.astype("<u4").tobytes()
+
+
+def counts_in(data: bytes) -> np.ndarray:
+    if len(data) & 1:
+        return np.frombuffer(data, "<u4", offset=1).astype(np.int64)
+    return np.frombuffer(data, np.uint8).astype(np.int64)
 
 
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -139,17 +149,17 @@ def _sketch_sum(found: DataFrame) -> np.ndarray:
 
 
 def meetings(docs: DataFrame, text: str, sketch: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(shingle, node, n): each distinct set under the rarest of its shingles, so many that similar sets share one.
+    """(shingle, node, n, place): each distinct set under the rarest of its shingles, so many that similar sets share one.
 
     Rarity is the sketch's count, then the hash: one order for all documents, which is all that is needed for
-    no pair to be lost. Copies inside a task give one.
+    no pair to be lost. ``place`` is how many rarer shingles the set has. Copies inside a task give one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         seen: set[int] = set()
         for batch in stream:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, places = [], [], [], []
             for value in texts_of(batch.column(0)):
                 found = shingles(value)
                 key = xxhash.xxh3_64_intdigest(found.tobytes())
@@ -161,11 +171,13 @@ def meetings(docs: DataFrame, text: str, sketch: np.ndarray, percent: int = PERC
                 chosen = found[order[: len(found) - least + 1]]
                 keys.append(chosen.view(np.int64))
                 nodes.append(np.full(len(chosen), key - (1 << 63), np.int64))
-                sizes.append(np.full(len(chosen), len(found), np.int64))
+                sizes.append(np.full(len(chosen), len(found), np.int32))
+                places.append(np.arange(len(chosen), dtype=np.int32))
             if keys:
-                yield pa.table({"shingle": np.concatenate(keys), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
+                columns = map(np.concatenate, (keys, nodes, sizes, places))
+                yield pa.table(list(map(pa.array, columns)), names=["shingle", "node", "n", "place"])
 
-    return map_arrow(docs.select(text), work, "shingle long, node long, n long")
+    return map_arrow(docs.select(text), work, "shingle long, node long, n int, place int")
 
 
 def _survivors(pairs: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +189,7 @@ def _survivors(pairs: DataFrame, percent: int) -> DataFrame:
             keep = []
             for place, (n, m, one, other) in enumerate(zip(*columns[2:], strict=True)):
                 if 100 * min(n, m) >= percent * max(n, m):
-                    if enough(bound(np.frombuffer(one, "<u2").astype(np.int64), np.frombuffer(other, "<u2").astype(np.int64)), n, m, percent):
+                    if enough(bound(counts_in(one), counts_in(other)), n, m, percent):
                         keep.append(place)
             kept = pa.Table.from_batches([batch]).take(pa.array(keep, pa.int64()))
             yield kept.select(["a", "b"])
@@ -193,7 +205,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, ident: str, t
     """
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.join(ends, "node").select("node", "ident"), "wanted")
+    wanted = written(nodes.join(ends.hint("merge"), "node").select("node", "ident"), "wanted")
     held = wanted.select(place_of("ident").alias("place")).groupBy(F.floor(F.col("place") / 64).cast("long").alias("word"))
     held = held.agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
     words = np.zeros(FILTER // 64, np.int64)
@@ -208,20 +220,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, ident: str, t
             at = batch.column(1).to_numpy()
             chosen = np.flatnonzero((shared.value[at // 64] >> (at % 64)) & 1)
             part = pa.Table.from_batches([batch]).take(pa.array(chosen))
-            ids, sets, keys = part.column(0), [], []
+            sets, keys = [], []
             for value in part.column(2).to_pylist():
                 raw = shingles(value or "").tobytes()
                 sets.append(raw)
                 keys.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-            yield pa.table({"ident": ids, "node": pa.array(keys, pa.int64()), "found": pa.array(sets, pa.binary())})
+            yield pa.table({"node": pa.array(keys, pa.int64()), "found": pa.array(sets, pa.binary())})
 
-    kind = rows.schema["ident"].dataType.simpleString()
-    sets = map_arrow(rows, cut, f"ident {kind}, node long, found binary")
-    same = sets["ident"].eqNullSafe(wanted["ident"]) & (sets["node"] == wanted["node"])
-    sets = sets.join(wanted, same, "left_semi").groupBy("node").agg(F.first("found").alias("found"))
-    sets = written(sets, "sets")
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
-    joined = joined.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
+    # A row for each wanted document, and a few that pass by chance and find no pair; copies only repeat a link.
+    sets = written(map_arrow(rows, cut, "node long, found binary"), "sets")
+    joined = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
+    joined = joined.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in stream:
@@ -244,6 +253,9 @@ def place_of(ident: str):
 def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of members of one meeting but different components whose bound allows the similarity.
 
+    A pair counts where it meets first, by its rarest common shingle: the two then share at most what either has from
+    there on, so late places are out as well.
+
     A meeting is ordered by size and packed into leaves of ``LEAF`` members, the last level of a tree over its
     points. Leaves whose sizes are too far apart never meet; of the others the boxes are compared first,
     then the members.
@@ -251,7 +263,7 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     ranked = row_numbers(members, ["meeting"], ["n", "node"], "_rank")
     leaves = ranked.groupBy("meeting", F.floor((F.col("_rank") - 1) / LEAF).alias("leaf")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"),
-        F.collect_list(F.struct("node", "component", "n", "counts")).alias("members"),
+        F.collect_list(F.struct("node", "component", "n", "place", "counts")).alias("members"),
     )
     leaves = written(leaves, "leaves")
     left = leaves.select("meeting", *(F.col(c).alias(f"l_{c}") for c in ("leaf", "low", "high", "members")))
@@ -260,25 +272,26 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     pairs = left.join(right, "meeting").where(close).select("l_members", "r_members")
 
     def points(side: list[dict]) -> tuple:
-        n = np.array([m["n"] for m in side])
-        counts = [np.frombuffer(m["counts"], "<u2").astype(np.int64) for m in side]
+        n = np.array([m["n"] for m in side], np.int64)
+        rest = n - np.array([m["place"] for m in side])
+        counts = [counts_in(m["counts"]) for m in side]
         groups = min(64, min(map(len, counts)))
-        return n, np.array([m["component"] for m in side]), [m["node"] for m in side], counts, np.stack([folded(c, groups) for c in counts])
+        return n, rest, np.array([m["component"] for m in side]), [m["node"] for m in side], counts, np.stack([folded(c, groups) for c in counts])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for batch in stream:
             for row in batch.to_pylist():
-                n, part, node, counts, point = points(row["l_members"])
-                m, other, mate, more, spot = points(row["r_members"])
+                n, rest, part, node, counts, point = points(row["l_members"])
+                m, left_, other, mate, more, spot = points(row["r_members"])
                 groups = min(point.shape[1], spot.shape[1])
                 point, spot = point.reshape(len(n), -1, groups).sum(axis=1), spot.reshape(len(m), -1, groups).sum(axis=1)
                 box = int(np.minimum(point.max(axis=0), spot.max(axis=0)).sum())
                 a, b = [], []
                 if enough(box, int(n.min()), int(m.min()), percent):
                     for i in range(len(n)):
-                        most = np.minimum(point[i], spot).sum(axis=1)
-                        fits = enough(most, int(n[i]), m, percent) & (other != part[i])
-                        for j in np.flatnonzero(fits):
+                        mates = np.flatnonzero(enough(np.minimum(rest[i], left_), int(n[i]), m, percent) & (other != part[i]))
+                        most = np.minimum(point[i], spot[mates]).sum(axis=1)
+                        for j in mates[enough(most, int(n[i]), m[mates], percent)].tolist():
                             if enough(bound(counts[i], more[j]), int(n[i]), int(m[j]), percent):
                                 a.append(min(node[i], mate[j]))
                                 b.append(max(node[i], mate[j]))
@@ -287,6 +300,12 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs, work, "a long, b long").distinct()
 
 
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of every node."""
+    found = components(links)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: ``ident``, n_shingles, component_id.
 
@@ -295,8 +314,8 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     Null and empty texts, and texts without words, have no shingles and link with nothing. Repeated rows link
     like copies; a null id is never the smallest unless there is no other.
 
-    Nodes of one meeting first test one of them, the hub, then further hubs, so a group of copies costs as many
-    tests as it has nodes; only nodes that are still in different components are then compared through the tree.
+    Nodes of one meeting first test ``HUBS`` of them, so a group of copies costs as many tests as it has nodes, times
+    ``HUBS``; only nodes that are still in different components are then compared through the tree.
     """
     found = written(profiles(docs, ident, text), "profiles")
     rows = found.where("part IS NULL")
@@ -312,39 +331,29 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     met = met.withColumn("_least", F.min("node").over(whole)).withColumn("_most", F.max("node").over(whole))
     print_ = F.sum(F.when(F.col("_fresh"), F.shiftright(F.xxhash64("node"), 16))).over(whole)
     met = met.withColumn("meeting", F.xxhash64(print_, "_least", "_most"))
-    met = written(met.where("_fresh AND _least <> _most").groupBy("meeting", "node").agg(F.first("n").alias("n")), "met")
-
-    labels = nodes.select("node", F.col("node").alias("component"))
-    links, tested = None, None
-    for turn in range(HUBS + 1):
-        placed = met.join(labels, "node")
-        every = Window.partitionBy("meeting")
-        if turn < HUBS:
-            hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).over(every)
-            pairs = placed.withColumn("hub", hub).where("component <> hub.component")
-            pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        else:
-            split = placed.withColumn("_low", F.min("component").over(every)).withColumn("_high", F.max("component").over(every))
-            split = split.where("_low <> _high").select("meeting", "node", "component", "n")
-            pairs = _leaf_pairs(split.join(nodes.select("node", "counts"), "node"), percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-        near = written(_survivors(pairs.join(left, "a").join(right, "b"), percent), "near")
-        if near.isEmpty():
-            continue
-        fresh = _verified(near, docs, nodes, ident, text, percent)
-        links = fresh if links is None else links.unionByName(fresh)
-        if not fresh.isEmpty():
-            joined = components(links)
-            labels = nodes.select("node").join(joined, "node", "left").select(
-                "node", F.coalesce("component", "node").alias("component")
-            )
+    met = written(met.where("_fresh AND _least <> _most").groupBy("meeting", "node").agg(F.first("n").alias("n"), F.min("place").alias("place")), "met")
+
+    every = Window.partitionBy("meeting")
+    entry = F.struct("node", "n", "place")
+    hubs = [F.min_by(entry, F.struct(F.xxhash64("node", F.lit(turn)), "node")).over(every) for turn in range(HUBS)]
+    pairs = met.withColumn("hubs", F.array(*hubs)).withColumn("hub", F.explode(F.array_distinct("hubs")))
+    shared = F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"))
+    pairs = pairs.where((F.col("node") != F.col("hub.node")) & enough(shared, F.col("n"), F.col("hub.n"), percent))
+    pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    # Joined by sorting at every size: pairs and nodes both grow with the documents.
+    near = written(_survivors(pairs.hint("merge").join(left, "a").hint("merge").join(right, "b"), percent), "near")
+    links = _verified(near, docs, nodes, ident, text, percent)
+    labels = _labels(nodes, links)
+
+    placed = met.join(labels, "node")
+    split = placed.withColumn("_low", F.min("component").over(every)).withColumn("_high", F.max("component").over(every))
+    split = split.where("_low <> _high").select("meeting", "node", "component", "n", "place")
+    rest = _leaf_pairs(split.join(nodes.select("node", "counts"), "node"), percent).join(near, ["a", "b"], "left_anti")
+    rest = written(rest, "pairs")
+    if not rest.isEmpty():
+        labels = _labels(nodes, links.unionByName(_verified(rest, docs, nodes, ident, text, percent)))
     least = labels.join(nodes.select("node", "ident"), "node")
     smallest = least.groupBy("component").agg(F.min("ident").alias("component_id"))
     ids = least.join(smallest, "component").select("node", "component_id")

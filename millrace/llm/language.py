@@ -106,7 +106,14 @@ def train(
     total = counts.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + counts.get(b, 0))) + 0.1 for b in range(BINS)], dtype=np.float32)
     labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
-    sample = top_per_group(labelled, ["lang"], [F.xxhash64("text"), F.col("text")], per_language)
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not sizes:
+        return {"idf": idf, "langs": [], "centres": np.zeros((0, BINS), np.float32), "radii": np.zeros(0)}
+    # Hashes are even: those below a bound that lets half as many again through hold the smallest ones.
+    reach = {lang: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 1.5 * per_language / n))) for lang, n in sizes.items()}
+    limit = F.create_map(*(F.lit(v) for pair in reach.items() for v in pair))[F.col("lang")]
+    hashed = F.xxhash64("text", F.lit(5))
+    sample = top_per_group(labelled.where(hashed <= limit), ["lang"], [hashed, F.col("text")], per_language)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         vectors, lettered = Grams().vectors(list(group["text"]), idf)

@@ -33,7 +33,10 @@ LENGTH = 50
 FILTER_BITS = 27
 LAST = np.iinfo(np.int64).max
 BUCKET_BYTES = 16 << 20
-FLUSH = 6_000_000
+CHUNK = 256
+MASK = 0x7FFFFFFF
+FLUSH = 1_000_000
+SHORT = np.uint64(16)
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -127,22 +130,30 @@ def _least(ranks: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.repeat(doc[order][heads], np.diff(np.append(heads, len(order))))
 
 
+def _tag(raw: bytes) -> int:
+    """As Spark's ``xxhash64``, cut to ``MASK``."""
+    return xxhash.xxh64_intdigest(raw, seed=42) & MASK
+
+
 class _Texts:
     """Texts of a task's batches with their ids; copies only while they have the least id so far."""
 
-    def __init__(self) -> None:
+    def __init__(self, tags: bool) -> None:
         self.seen: dict[int, int] = {}
+        self.tags = tags
 
     def of(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text:
-                continue
-            raw = text.encode("utf-8", "surrogatepass")
-            key = xxhash.xxh3_64_intdigest(raw)
-            doc = LAST if ident is None else ident
-            if self.seen.get(key, doc + 1) > doc:
-                self.seen[key] = doc
-                yield doc, key & 0x7FFFFFFF, raw
+        for start in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(start, CHUNK)
+            for ident, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if not text:
+                    continue
+                raw = text.encode("utf-8", "surrogatepass")
+                key = xxhash.xxh3_64_intdigest(raw)
+                doc = LAST if ident is None else ident
+                if self.seen.get(key, doc + 1) > doc:
+                    self.seen[key] = doc
+                    yield doc, _tag(raw) if self.tags else 0, raw
 
 
 def _bitmap(rows: list, bits: int) -> np.ndarray:
@@ -169,16 +180,14 @@ def _repeated_halves(docs: DataFrame, bits: int, length: int) -> DataFrame:
     """(bucket, bits): the bitmap of halves that stand for strings of two documents or more."""
 
     def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        ranks, texts, held, size = Ranks(length), _Texts(), [], 0
+        ranks, texts, held, size = Ranks(length), _Texts(False), [], 0
 
         def flushed() -> pa.Table:
             found = np.sort(np.concatenate(held))
-            # Each half at most twice: more often says no more.
+            # Each half at most twice: more often says no more. The bitmap needs no more than its first bits.
             found = found[_heads(found) | np.concatenate(([False], _heads(found)[:-1]))]
-            parts = list(_ranges(found, bits))
-            return pa.table(
-                {"bucket": pa.array([b for b, _ in parts], pa.int32()), "ranks": pa.array([_sorted_packed(found[s]) for _, s in parts], pa.binary())}
-            )
+            parts = [(b, _sorted_packed(found[s] >> SHORT)) for b, s in _ranges(found, bits)]
+            return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "ranks": pa.array([r for _, r in parts], pa.binary())})
 
         for batch in stream:
             for _, _, raw in texts.of(batch):
@@ -193,41 +202,100 @@ def _repeated_halves(docs: DataFrame, bits: int, length: int) -> DataFrame:
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         found = np.sort(np.concatenate([_sorted_unpacked(r) for r in group["ranks"]]))
-        return pd.DataFrame({"bucket": [key[0]], "bits": [_bits_of(found[~_heads(found)], bits)]})
+        return pd.DataFrame({"bucket": [key[0]], "bits": [_bits_of(found[~_heads(found)] << SHORT, bits)]})
 
     packed = map_arrow(docs, gather, "bucket int, ranks binary")
     return packed.groupBy("bucket").applyInPandas(meet, "bucket int, bits binary")
 
 
-PLACES = "kind int, bucket int, ranks binary, low binary, high binary, doc binary, tag binary, start binary, count binary"
+# Kind 0: places to compare, in the range of their rank; 1: halves with a stretch that has them; 2: places known to
+# repeat, in the range of their document.
+PLACES = "kind int, bucket int, ranks binary, other binary, doc binary, tag binary, start binary, count binary"
+MET = "kind int, bucket int, bits binary, doc binary, tag binary, start binary, count binary"
+SPAN = (("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i4"))
 
 
-def _place_table(kind: int, parts: list[tuple], bits: int | None = None) -> pa.Table:
-    """Packed rows; ``parts`` hold (bucket, ranks, low, high, doc, tag, start, count), None where a kind has no such column."""
-    columns: list[list] = [[] for _ in range(9)]
+def _place_table(kind: int, parts: list[tuple]) -> pa.Table:
+    """Packed rows of (bucket, ranks, other, doc, tag, start, count), None where a kind has no such column."""
+    columns: list[list] = [[] for _ in range(8)]
     for bucket, ranks, *rest in parts:
         columns[0].append(kind)
         columns[1].append(bucket)
         columns[2].append(None if ranks is None else _sorted_packed(ranks))
         for column, values in zip(columns[3:], rest, strict=True):
             column.append(None if values is None else _packed(values))
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
-    names = [f.split()[0] for f in PLACES.split(", ")]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in PLACES.split(", ")])
+
+
+def _by_document(spans: tuple[np.ndarray, ...], bits: int) -> list[tuple]:
+    """(bucket, doc, tag, start, count) of places in ranges of a hash of the document, neighbours joined."""
+    doc, tag, start, count = spans
+    if not len(doc):
+        return []
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, count = (c[order] for c in spans)
+    heads = _heads(doc, tag)
+    heads[1:] |= start[1:] != start[:-1] + count[:-1]
+    at = np.flatnonzero(heads)
+    count = np.add.reduceat(count, at).astype(np.int32)
+    doc, tag, start = doc[at], tag[at], start[at]
+    range_ = (_mixed(doc.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(range_, kind="stable")
+    edges = np.flatnonzero(_heads(range_[order]))
+    parts = []
+    for first, last in zip(edges, [*edges[1:], len(order)], strict=True):
+        rows = order[first:last]
+        parts.append((int(range_[rows[0]]), doc[rows], tag[rows], start[rows], count[rows]))
+    return parts
+
+
+def _known(spans: tuple[np.ndarray, ...], bits: int) -> pa.Table:
+    return _place_table(2, [(bucket, None, None, *columns) for bucket, *columns in _by_document(spans, bits)])
+
 
+def _spans_of(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate([_unpacked(r, kind) for r in group[name]]) for name, kind in SPAN)
 
-def _gathered(work: Callable[[Ranks, int, int, bytes, list], None], length: int, flush: Callable[[list], Iterator[pa.Table]]):
+
+def _met(places: DataFrame, bits: int) -> DataFrame:
+    """``MET``: of places to compare those whose rank an earlier document has, and the known ones, by document (kind 2);
+    the bitmap of halves that different stretches have (kind 1)."""
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        kind, bucket = key
+        if kind == 1:
+            half = np.concatenate([_sorted_unpacked(r) for r in group["ranks"]])
+            other = np.concatenate([_unpacked(r, "<u8") for r in group["other"]])
+            order = np.argsort(half, kind="stable")
+            half, other = half[order], other[order]
+            heads = np.flatnonzero(_heads(half))
+            mixed = np.minimum.reduceat(other, heads) != np.maximum.reduceat(other, heads)
+            mixed |= np.minimum.reduceat(other, heads) == 0
+            return pd.DataFrame({"kind": 1, "bucket": [bucket], "bits": [_bits_of(half[heads][mixed], bits)], **{n: [None] for n, _ in SPAN}})
+        spans = _spans_of(group)
+        if kind == 0:
+            order, least = _least(np.concatenate([_sorted_unpacked(r) for r in group["ranks"]]), spans[0])
+            chosen = order[spans[0][order] > least]
+            spans = tuple(c[chosen] for c in spans)
+        rows = [(2, b, None, *map(_packed, columns)) for b, *columns in _by_document(spans, bits)]
+        return pd.DataFrame(rows, columns=["kind", "bucket", "bits", *(n for n, _ in SPAN)])
+
+    return places.groupBy("kind", "bucket").applyInPandas(meet, MET)
+
+
+def _gathered(work: Callable[[Ranks, int, int, list], int], length: int, tags: bool, flush: Callable[[list], Iterator[pa.Table]]):
     """A pass over texts that hands arrays to ``flush`` whenever many are held."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        ranks, texts, held, size = Ranks(length), _Texts(), [], 0
+        ranks, texts, held, size = Ranks(length), _Texts(tags), [], 0
         for batch in stream:
             for doc, tag, raw in texts.of(batch):
                 if ranks.read(raw):
                     size += work(ranks, doc, tag, held)
-            if size > FLUSH // 2:
-                yield from flush(held)
-                held, size = [], 0
+                if size > FLUSH // 2:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
@@ -238,10 +306,20 @@ def _columns(held: list) -> list[np.ndarray]:
     return [np.concatenate([row[i] for row in held]) for i in range(len(held[0]))]
 
 
-def _stretch_places(docs: DataFrame, halves: np.ndarray, bits: int, length: int) -> DataFrame:
-    """Packed stretches whose half is repeated. Kind 0: ranked by their bytes, in the range of that rank; kind 1: for
-    each half the least and largest of its stretches' ranks; kind 2: stretches that the same task has already seen
-    in an earlier document."""
+def _compared(rank: np.ndarray, spans: tuple[np.ndarray, ...], bits: int) -> Iterator[pa.Table]:
+    """Places of the least document of each rank, to compare with other tasks; the others are known to repeat."""
+    order, least = _least(rank, spans[0])
+    rank, spans = rank[order], tuple(c[order] for c in spans)
+    late = spans[0] > least
+    if late.any():
+        yield _known(tuple(c[late] for c in spans), bits)
+    rank, spans = rank[~late], tuple(c[~late] for c in spans)
+    yield _place_table(0, [(b, rank[s], None, *(c[s] for c in spans)) for b, s in _ranges(rank, bits)])
+
+
+def _stretch_places(docs: DataFrame, halves: np.ndarray, bits: int, length: int, tags: bool) -> DataFrame:
+    """``PLACES`` of stretches whose half is repeated, ranked by their bytes, those known to repeat in the same task,
+    and each half with the rank of its stretches, or 0 where there are several kinds."""
     shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def work(ranks: Ranks, doc: int, tag: int, held: list) -> int:
@@ -258,23 +336,16 @@ def _stretch_places(docs: DataFrame, halves: np.ndarray, bits: int, length: int)
         half, whole, doc, tag, start, count = _columns(held)
         order = np.lexsort((whole, half))
         heads = np.flatnonzero(_heads(half[order]))
-        ends = np.append(heads[1:], len(order)) - 1
-        sides = (half[order][heads], whole[order][heads], whole[order][ends])
-        yield _place_table(1, [(b, sides[0][s], sides[1][s], sides[2][s], None, None, None, None) for b, s in _ranges(sides[0], bits)])
-        order, least = _least(whole, doc)
-        whole, doc, tag, start, count = (c[order] for c in (whole, doc, tag, start, count))
-        late = doc > least
-        if late.any():
-            yield _place_table(2, [(0, None, None, None, doc[late], tag[late], start[late], count[late])])
-        first = (c[~late] for c in (whole, doc, tag, start, count))
-        whole, doc, tag, start, count = first
-        yield _place_table(0, [(b, whole[s], None, None, doc[s], tag[s], start[s], count[s]) for b, s in _ranges(whole, bits)])
-
-    return map_arrow(docs, _gathered(work, length, flush), PLACES)
-
-
-def _string_places(docs: DataFrame, halves: np.ndarray, bits: int, length: int) -> DataFrame:
-    """Packed single strings of stretches whose half has several kinds of stretches; each kind once a task."""
+        low, high = whole[order][heads], whole[order][np.append(heads[1:], len(order)) - 1]
+        kind, sort = np.where(low == high, (low >> SHORT) + np.uint64(1), np.uint64(0)), half[order][heads]
+        yield _place_table(1, [(b, sort[s], kind[s], *[None] * 4) for b, s in _ranges(sort, bits)])
+        yield from _compared(whole, (doc, tag, start, count), bits)
+
+    return map_arrow(docs, _gathered(work, length, tags, flush), PLACES)
+
+
+def _string_places(docs: DataFrame, halves: np.ndarray, bits: int, length: int, tags: bool) -> DataFrame:
+    """``PLACES`` of the single strings of stretches whose half has several kinds of stretches; each kind once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(halves)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -301,61 +372,26 @@ def _string_places(docs: DataFrame, halves: np.ndarray, bits: int, length: int)
 
         def flush(held: list) -> Iterator[pa.Table]:
             rank, doc, tag, at = _columns(held)
-            order, least = _least(rank, doc)
-            rank, doc, tag, at = (c[order] for c in (rank, doc, tag, at))
-            late = doc > least
-            one = np.ones(int(late.sum()), np.int32)
-            if late.any():
-                yield _place_table(2, [(0, None, None, None, doc[late], tag[late], at[late], one)])
-            rank, doc, tag, at = (c[~late] for c in (rank, doc, tag, at))
-            one = np.ones(len(at), np.int32)
-            yield _place_table(0, [(b, rank[s], None, None, doc[s], tag[s], at[s], one[s]) for b, s in _ranges(rank, bits)])
-
-        yield from _gathered(work, length, flush)(stream)
-
-    return map_arrow(docs, run, PLACES)
-
-
-SPANS = "doc long, tag int, start int, count int"
-
+            yield from _compared(rank, (doc, tag, at, np.ones(len(at), np.int32)), bits)
 
-def _late(places: DataFrame) -> DataFrame:
-    """Spans (``SPANS``) of places whose rank an earlier document has."""
+        yield from _gathered(work, length, tags, flush)(stream)
 
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rank = np.concatenate([_sorted_unpacked(r) for r in group["ranks"]])
-        doc, tag, start, count = (
-            np.concatenate([_unpacked(r, kind) for r in group[name]])
-            for name, kind in (("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i4"))
-        )
-        order, least = _least(rank, doc)
-        chosen = order[doc[order] > least]
-        return pd.DataFrame({"doc": doc[chosen], "tag": tag[chosen], "start": start[chosen], "count": count[chosen]})
-
-    def known(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        for batch in stream:
-            for row in batch.to_pylist():
-                yield pa.table({n: _unpacked(row[n], k) for n, k in (("doc", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i4"))})
-
-    met = places.where("kind = 0").select("bucket", "ranks", "doc", "tag", "start", "count").groupBy("bucket").applyInPandas(meet, SPANS)
-    seen = map_arrow(places.where("kind = 2").select("doc", "tag", "start", "count"), known, SPANS)
-    return met.unionByName(seen)
+    return map_arrow(docs, run, PLACES)
 
 
-def _mixed_halves(places: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bits): the bitmap of halves with stretches of more than one kind."""
+def _spans(met: DataFrame) -> DataFrame:
+    """(doc, tag, starts, counts): the places of each document, packed."""
 
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        half = np.concatenate([_sorted_unpacked(r) for r in group["ranks"]])
-        low, high = (np.concatenate([_unpacked(r, "<u8") for r in group[name]]) for name in ("low", "high"))
-        order = np.lexsort((low, half))
-        half, low, high = half[order], low[order], high[order]
-        heads = np.flatnonzero(_heads(half))
-        mixed = np.minimum.reduceat(low, heads) != np.maximum.reduceat(high, heads)
-        return pd.DataFrame({"bucket": [key[0]], "bits": [_bits_of(half[heads][mixed], bits)]})
+    def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        doc, tag, start, count = _spans_of(group)
+        order = np.lexsort((start, tag, doc))
+        doc, tag, start, count = (c[order] for c in (doc, tag, start, count))
+        edges = np.append(np.flatnonzero(_heads(doc, tag)), len(doc))
+        rows = [(int(doc[a]), int(tag[a]), start[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["doc", "tag", "starts", "counts"])
 
-    rows = places.where("kind = 1").select("bucket", "ranks", "low", "high")
-    return rows.groupBy("bucket").applyInPandas(meet, "bucket int, bits binary")
+    rows = met.select("bucket", *(n for n, _ in SPAN))
+    return rows.groupBy("bucket").applyInPandas(gather, "doc long, tag int, starts binary, counts binary")
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -371,43 +407,46 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     rows = docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, min(16, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES))))))
+    own = rows.select("ident", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ident", F.lit(int(LAST))).alias("doc"))
+    sums = own.select("doc", F.unhex(F.md5("text")).alias("sum"), (F.xxhash64("text").bitwiseAND(MASK)).cast("int").alias("tag"))
+    sums = written(sums.distinct(), "sums")
+    # Ids of several texts are told apart by a tag of the text; elsewhere it would only take room.
+    tags = not sums.groupBy("doc").count().where("count > 1").isEmpty()
     halves = _bitmap(written(_repeated_halves(rows, bits, length), "halves").collect(), bits)
-    places = written(_stretch_places(rows, halves, bits, length), "stretches")
-    mixed = _bitmap(written(_mixed_halves(places, bits), "mixed").collect(), bits)
-    strings = written(_string_places(rows, mixed, bits, length), "strings")
-    spans = _late(places).unionByName(_late(strings))
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-
-    own = rows.select("ident", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("doc", F.coalesce("ident", F.lit(int(LAST))))
-    texts = own.select("doc", F.md5("text").alias("sum")).groupBy("sum").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    copied = texts.where("first < last").select("sum", "first")
-    flagged = own.join(spans.groupBy("doc").agg(F.collect_list(F.struct("tag", "spans")).alias("found")), "doc", "left")
-    flagged = flagged.withColumn("sum", F.md5("text")).join(copied, "sum", "left").select("ident", "doc", "text", "first", "found")
+    places = written(_met(_stretch_places(rows, halves, bits, length, tags), bits), "stretches")
+    mixed = _bitmap(places.where("kind = 1").select("bucket", "bits").collect(), bits)
+    strings = _met(_string_places(rows, mixed, bits, length, tags), bits)
+    spans = _spans(places.where("kind = 2").unionByName(strings))
+    firsts = sums.groupBy("sum").agg(F.min("doc").alias("first"))
+    copies = sums.join(firsts, "sum").where("first < doc").select("doc", F.col("tag") if tags else F.lit(0).alias("tag"))
+    whole = copies.select("doc", "tag", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("counts"))
+    spans = spans.unionByName(whole).groupBy("doc").agg(F.collect_list(F.struct("tag", "starts", "counts")).alias("found"))
+    flagged = own.join(spans, "doc", "left").select("ident", "text", "found")
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        for batch in stream:
-            out: list[list] = [[], [], [], []]
-            for row in range(batch.num_rows):
-                doc, first = batch.column(1)[row].as_py(), batch.column(3)[row].as_py()
-                raw = batch.column(2)[row].as_py().encode("utf-8", "surrogatepass")
-                gone = np.zeros(len(raw) + 1, np.int32)
-                if first is not None and first < doc and len(raw) >= length:
-                    gone[0], gone[-1] = 1, -1
-                else:
-                    tag = xxhash.xxh3_64_intdigest(raw) & 0x7FFFFFFF
-                    for held in batch.column(4)[row].as_py() or ():
-                        if held["tag"] == tag:
-                            start = np.array([s["start"] for s in held["spans"]])
-                            count = np.array([s["count"] for s in held["spans"]])
-                            np.add.at(gone, start, 1)
-                            np.add.at(gone, start + count - 1 + length, -1)
-                covered = np.cumsum(gone[:-1]) > 0
-                out[0].append(len(raw))
-                out[1].append(int(covered.sum()))
-                out[2].append(int((covered & ~np.concatenate(([False], covered[:-1]))[: len(covered)]).sum()) if len(raw) else 0)
-                out[3].append(np.frombuffer(raw, np.uint8)[~covered].tobytes())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.table([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["ident", "n_bytes", "n_removed", "n_spans", "kept"])
+        for whole in stream:
+            for begin in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(begin, CHUNK)
+                out: list[list] = [[], [], [], []]
+                for row in range(batch.num_rows):
+                    raw = batch.column(1)[row].as_py().encode("utf-8", "surrogatepass")
+                    tag = _tag(raw) if tags else 0
+                    gone = np.zeros(len(raw) + 1, np.int32)
+                    for held in batch.column(2)[row].as_py() or ():
+                        if held["tag"] != tag or len(raw) < length:
+                            continue
+                        if held["starts"] is None:  # a copy of an earlier document
+                            start, count = np.zeros(1, int), np.full(1, len(raw) - length + 1)
+                        else:
+                            start, count = (np.frombuffer(held[n], "<i4").astype(int) for n in ("starts", "counts"))
+                        np.add.at(gone, start, 1)
+                        np.add.at(gone, start + count - 1 + length, -1)
+                    covered = np.cumsum(gone[:-1]) > 0
+                    out[0].append(len(raw))
+                    out[1].append(int(covered.sum()))
+                    out[2].append(int((covered & ~np.concatenate(([False], covered[:-1]))[: len(covered)]).sum()) if len(raw) else 0)
+                    out[3].append(np.frombuffer(raw, np.uint8)[~covered].tobytes())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.table([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["ident", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return map_arrow(flagged, cut, "ident long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("ident", ident)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,24 @@ END = 0
 def encoding(path: str | None = None):
     """The byte-level BPE of ``path``, a file of ranks; by default the public 50k vocabulary.
 
-    Its ids are those of the same vocabulary's tokenizer file, several times faster to get; strings
-    of special tokens are ordinary text.
+    Its ids are those of the same vocabulary's tokenizer file, several times faster to get. The added
+    tokens of that file, the ``.json`` beside the ranks where there is one, are special tokens here.
     """
     import public_tokenizers
     import tiktoken
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+    source = Path(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    with open(source, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    file = source.with_suffix(".json")
+    added = json.loads(file.read_text(encoding="utf-8")).get("added_tokens", []) if file.exists() else []
+    special = {token["content"]: token["id"] for token in added}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def encode(code, text: str) -> np.ndarray:
+    """The ids of ``text``: it is cut at added tokens, which are one id each, as the tokenizer file does."""
+    return code.encode_to_numpy(text, allowed_special="all")
 
 
 def pieces(
@@ -51,7 +62,7 @@ def pieces(
         for batch in stream:
             row, start, length, crc, total, held = [], [], [], [], [], []
             for number, value in enumerate(texts_of(batch.column(1))):
-                found = np.append(code.encode_to_numpy(value), END).astype("<u4")
+                found = np.append(encode(code, value), END).astype("<u4")
                 for begin in range(0, len(found), width):
                     part = found[begin : begin + width]
                     row.append(number)

@@ -17,6 +17,16 @@ def test_ids_are_those_of_the_tokenizer_file(corpus):
         assert code.encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_tokenizer_file(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, end * 2, f"a{end}b", f"one {end} two", f"  {end}\n\n{end}  x", f"<|{end}|>", "<|endoftext|", f"don{end}'t 日本{end}語"]
+    wanted = {t: tokenizer.encode(t, add_special_tokens=False).ids for t in texts}
+    assert wanted[f"a{end}b"] == [64, 50256, 65]
+    cut = packing.pieces(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string"), ids=True)
+    assert {r["doc_id"]: r["ids"] for r in cut.collect()} == {t: [*ids, 0] for t, ids in wanted.items()}
+
+
 def test_pieces_and_places(spark, documents, corpus):
     more = documents.withColumn("start", F.lit("clash")).unionByName(documents.where("doc_id < 12").withColumn("start", F.lit("again")))
     cut = packing.pieces(more, ids=True)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, texts_of
@@ -91,29 +91,50 @@ def _clusters(vectors: np.ndarray, count: int, rounds: int) -> np.ndarray:
     return centres
 
 
+def _step(hashed: Column) -> Column:
+    """On which of some 240 steps a hash lies; it grows with the hash, each step is a fifth wider than the one before."""
+    return F.floor(4 * F.log2(F.greatest(hashed / F.lit(2.0**64) + 0.5, F.lit(2.0**-60))))
+
+
+def _reach(hashes: DataFrame, wanted: int) -> dict[str, int]:
+    """Per language the step up to which there are ``wanted`` different hashes, the last one where there are fewer.
+
+    The different hashes of each step are counted, so it does not matter how evenly they lie.
+    """
+    steps = hashes.distinct().groupBy("lang", _step(F.col("hash")).alias("step")).count().collect()
+    reach: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for row in sorted(steps, key=lambda r: r["step"]):
+        if held.get(row["lang"], 0) < wanted:
+            reach[row["lang"]] = row["step"]
+            held[row["lang"]] = held.get(row["lang"], 0) + row["count"]
+    return reach
+
+
 def train(
     docs: DataFrame, text: str = "text", lang: str = "lang", clusters: int = 4, per_language: int = 1000, rounds: int = 8
 ) -> dict:
     """Centroids per language from labelled documents.
 
     Document frequencies cover all rows of ``docs`` with a language. The centroids are fitted on at
-    most ``per_language`` documents of each language, those with the smallest hash of the text: this
-    bound and ``clusters`` are what the driver and one group hold. Each centroid keeps a radius, the
-    largest distance of its own sample rows, for rejection.
+    most ``per_language`` different texts of each language, those with the smallest hash of the text,
+    and on all where there are no more: copies count once at every size. This bound and ``clusters``
+    are what the driver and one group hold. Each centroid keeps a radius, the largest distance of its
+    own sample rows, for rejection.
     """
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {row["bin"]: row["df"] for row in document_counts(labelled, "text").collect()}
     total = counts.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + counts.get(b, 0))) + 0.1 for b in range(BINS)], dtype=np.float32)
     labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
+    hashed = F.xxhash64("text", F.lit(5))
+    reach = _reach(labelled.select("lang", hashed.alias("hash")), per_language)
+    if not reach:
         return {"idf": idf, "langs": [], "centres": np.zeros((0, BINS), np.float32), "radii": np.zeros(0)}
-    # Hashes are even: those below a bound that lets half as many again through hold the smallest ones.
-    reach = {lang: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 1.5 * per_language / n))) for lang, n in sizes.items()}
     limit = F.create_map(*(F.lit(v) for pair in reach.items() for v in pair))[F.col("lang")]
-    hashed = F.xxhash64("text", F.lit(5))
-    sample = top_per_group(labelled.where(hashed <= limit), ["lang"], [hashed, F.col("text")], per_language)
+    # Copies go in every task before the shuffle, so a text of thousands of copies is one row a task.
+    distinct = labelled.where(_step(hashed) <= limit).select("lang", "text").distinct()
+    sample = top_per_group(distinct, ["lang"], [hashed, F.col("text")], per_language)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         vectors, lettered = Grams().vectors(list(group["text"]), idf)

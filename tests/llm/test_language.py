@@ -43,3 +43,29 @@ def test_document_counts_cover_all_rows(spark):
     counts = {r["bin"]: r["df"] for r in language.document_counts(docs, "text").collect()}
     assert counts[-1] == 3
     assert max(v for k, v in counts.items() if k >= 0) <= 3
+
+
+def test_copies_do_not_empty_or_fill_the_sample(spark):
+    """Languages of many rows and few texts: every text is learned, whatever its hash, and once."""
+    rows, held = [], []
+    for number in range(12):
+        word = "".join(chr(97 + (number * 7 + k * k) % 26) for k in range(6))
+        texts = [f"{word} {word[::-1]} {number * 31 + k} {chr(97 + k) * 3}" for k in range(3)]
+        rows += [(texts[i % 3] if i % 50 else texts[0], f"l{number:02d}") for i in range(400)]
+        held += [(t, f"l{number:02d}") for t in texts]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = language.train(docs, clusters=3, per_language=20)
+    assert sorted(model["langs"]) == sorted(f"l{n:02d}" for n in range(12) for _ in range(3))
+    got = language.predict(spark.createDataFrame(held, "text string, lang string"), model, ["text", "lang"]).collect()
+    assert all(r["nearest"] == r["lang"] and not r["lang_found"] == "und" for r in got)
+
+
+def test_sample_holds_the_texts_of_smallest_hash(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.concat(F.lit("x"), F.col("id") % 900).alias("text"), F.lit("aa").alias("lang"))
+    hashes = docs.select("lang", F.xxhash64("text", F.lit(5)).alias("hash"))
+    for wanted in (1, 50, 899, 900, 5000):
+        limit = language._reach(hashes, wanted)["aa"]
+        through = hashes.distinct().where(language._step(F.col("hash")) <= limit).count()
+        assert min(wanted, 900) <= through <= min(900, max(1.5 * wanted, wanted + 40))

@@ -41,6 +41,7 @@ NOISE_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article content entry post story body text title headline main".split())
 MAIN_TAGS = frozenset(("article", "main"))
 FIXED_TAGS = frozenset(("html", "body", "article", "main"))
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DEEPEST = 512
 
 TOKEN = re.compile(
@@ -182,13 +183,20 @@ def chain(element: Element) -> list[Element]:
     return out
 
 
-def main_text(source: str, noise: frozenset[int]) -> str:
+def said_at(path: int, text: str) -> int:
+    """The key of a text at a node of the style tree."""
+    return xxhash.xxh3_64_intdigest(text, seed=path)
+
+
+def main_text(source: str, noise: frozenset[int], vital: frozenset[int] = frozenset()) -> str:
     """The page's blocks without noise, joined by line feeds.
 
-    An article (or main) element, where there is one that is no noise itself, holds the main text. Elements whose
-    tag, role or label tells menus, headers, footers, adverts, forms and comments go. Of the rest, branches whose
-    path is in ``noise`` go: anywhere where no article is marked, inside one only elements with a label, since bare
-    paragraphs of an article are its text even if other pages say the same.
+    ``noise`` holds keys (``said_at``) of texts that a site repeats at a node, ``vital`` the nodes of high importance.
+    Elements whose tag, role or label tells menus, headers, footers, adverts, forms and comments go. Of the rest a text
+    goes that is noise at any node above it, in an article (or main) element and outside, with labels or without; other
+    texts of the same node stay. Outside an article, where a page has one, a text stays if its own node is vital: where
+    the tree knows too little of it, the article holds the main text. Bare paragraphs and headings right in an article
+    are its text even if other pages say the same.
     """
     kept = []
     for text, owner in parse(source):
@@ -198,17 +206,17 @@ def main_text(source: str, noise: frozenset[int]) -> str:
     held = any(e.main for _, above in kept for e in above)
     out = []
     for text, above in kept:
-        inside = any(e.main for e in above)
-        if held and not inside:
-            continue
+        nodes = []
         for element in above:
             if element.tag in FIXED_TAGS or element.main:
                 break
-            if element.path in noise and (element.labelled or not held):
-                break
-        else:
-            element = None
-        if element is None or element.tag in FIXED_TAGS or element.main:
+            nodes.append(element)
+        inside = any(e.main for e in above)
+        if held and not inside and above[0].path not in vital:
+            continue
+        if inside and all(e.tag in PROSE_TAGS and not e.labelled for e in nodes):
+            nodes = []
+        if not any(said_at(e.path, text) in noise for e in nodes):
             out.append(text)
     return "\n".join(out)
 
@@ -235,12 +243,11 @@ def style_tree(pages: DataFrame, url: str = "url", source: str = "html") -> Data
                 host = host_of(address)
                 rows = set()
                 for text, owner in blocks:
-                    said = xxhash.xxh3_64_intdigest(text)
                     for element in chain(owner):
                         if element.tag in FIXED_TAGS or element.above is None:
                             continue
                         rows.add((element.path, 0, 0))
-                        rows.add((element.path, 2, said))
+                        rows.add((element.path, 2, said_at(element.path, text)))
                         if element.children:
                             rows.add((element.path, 1, xxhash.xxh3_64_intdigest(" ".join(element.children))))
                 for path, kind, feature in rows:
@@ -279,31 +286,50 @@ def importance(tree: DataFrame, decay: float = 0.9) -> DataFrame:
     return sums.select("host", "path", F.col("m").alias("pages"), F.when(F.col("m") > 1, both).otherwise(1.0).alias("importance"))
 
 
+def repeated(tree: DataFrame, threshold: float, least_pages: int) -> DataFrame:
+    """(host, key): texts of less than ``threshold`` importance at a node of ``least_pages`` pages or more.
+
+    A text on n of the node's m pages has 1 - log(n) / log(m), its share of the node's content importance. Texts of one
+    page never are among them, whatever the rest of the node says.
+    """
+    node = tree.where(F.col("kind") == 0).where(F.col("pages") >= least_pages).select("host", "path", F.col("pages").alias("m"))
+    said = tree.where((F.col("kind") == 2) & (F.col("pages") > 1)).join(node, ["host", "path"])
+    own = 1 - F.log(F.col("pages").cast("double")) / F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
+    return said.where(own < threshold).select("host", F.col("feature").alias("key"))
+
+
 def extract(
     pages: DataFrame, keep: list[str], url: str = "url", source: str = "html", threshold: float = 0.35, least_pages: int = 4
 ) -> DataFrame:
     """Columns ``keep`` and text: the main text of every page, empty where there is none.
 
-    Null html is empty; a null url belongs to the host without a name. Nodes of less than ``threshold`` importance on
-    ``least_pages`` pages or more are noise. The noisy paths of a host are one row, at most the number of distinct
-    labels its templates use (digits in labels count as one), and Spark decides by its size whether to broadcast that
-    table; pages of one large host stay split over many tasks either way. Whole pages are read.
+    Null html is empty; a null url belongs to the host without a name. On nodes of ``least_pages`` pages or more, texts
+    of less than ``threshold`` importance are noise, and the nodes of that importance or more are vital; fewer pages
+    tell nothing. What is known of a host is one row: at most the number of distinct labels its templates use (digits in
+    labels count as one) and, for each of them and each text of a page, some pages^(1/3) texts that repeat. Spark decides
+    by its size whether to broadcast that table; pages of one large host stay split over many tasks either way. Whole
+    pages are read.
     """
-    scored = importance(style_tree(pages, url, source))
-    noisy = scored.where((F.col("importance") < threshold) & (F.col("pages") >= least_pages))
+    tree = written(style_tree(pages, url, source), "style-tree")
+    vital = importance(tree).where((F.col("importance") >= threshold) & (F.col("pages") >= least_pages))
+    known = repeated(tree, threshold, least_pages).withColumn("vital", F.lit(False))
+    known = known.unionByName(vital.select("host", F.col("path").alias("key"), F.lit(True).alias("vital")))
+    sets = [F.collect_set(F.when(which, F.col("key"))).alias(name) for name, which in (("noise", ~F.col("vital")), ("kept", F.col("vital")))]
     # Written first: its size is then known when the join with whole pages is planned.
-    noisy = written(noisy.groupBy("host").agg(F.collect_set("path").alias("noise")), "noise")
+    known = written(known.groupBy("host").agg(*sets), "noise")
     host = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
     rows = pages.select(*keep, F.col(source).alias("_html"), F.lower(host).alias("_host"))
-    rows = rows.join(noisy.select(F.col("host").alias("_host"), F.col("noise").alias("_noise")), "_host", "left")
-    rows = rows.select(*keep, "_html", "_noise")
+    known = known.select(F.col("host").alias("_host"), F.col("noise").alias("_noise"), F.col("kept").alias("_vital"))
+    rows = rows.join(known, "_host", "left").select(*keep, "_html", "_noise", "_vital")
     schema = rows.select(*keep).schema
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             found = []
-            for value, noise in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
-                found.append(main_text(value or "", frozenset(p + (1 << 63) for p in noise or ())))
+            given = (batch.column(len(keep) + i).to_pylist() for i in range(3))
+            for value, *known in zip(*given, strict=True):
+                noise, vital = (frozenset(p + (1 << 63) for p in keys or ()) for keys in known)
+                found.append(main_text(value or "", noise, vital))
             out = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*out, pa.array(found, pa.string())], names=[*keep, "text"])
 

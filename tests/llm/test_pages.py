@@ -59,6 +59,23 @@ def test_site_style_tree_finds_what_repeats(spark):
     assert (text[200], text[201], text[202]) == ("", "ok", "Passage")
 
 
+def test_only_the_tree_tells(spark):
+    """Pages with an article, without labels or telling tags: importance decides in the article and outside."""
+    rows = []
+    for i in range(12):
+        card = f"<article><p>Card {i}</p><div>Told on every page</div><div>Told only on page {i}</div></article>"
+        body = f"<section><p>Body {i}</p><p>Second of {i}</p><p>Written under all</p></section>"
+        rows.append((i, "http://card.example/", f"<div><div>Home and away</div></div>{card}{body}"))
+        rows.append((100 + i, "http://bare.example/", f"<section><p>Text {i}</p><p>Written under all</p></section>"))
+    rows.append((200, "http://few.example/", "<article><p>In</p></article><section><p>Out</p></section>"))
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(4)
+    text = {r["page_id"]: r["text"] for r in pages.extract(df, ["page_id"]).collect()}
+    for i in range(12):
+        assert text[i] == f"Card {i}\nTold only on page {i}\nBody {i}\nSecond of {i}"
+        assert text[100 + i] == f"Text {i}"
+    assert text[200] == "In"
+
+
 def test_copies_of_an_article_are_no_noise(spark):
     df = spark.createDataFrame([(i, "http://h/", "<div class=mid>The same story</div>") for i in range(20)], "page_id int, url string, html string")
     assert {r["text"] for r in pages.extract(df, ["page_id"]).collect()} == {"The same story"}

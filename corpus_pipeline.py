@@ -7,12 +7,13 @@ them. All but the last return the columns of ``documents``; the last returns the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, mixing, packing, secrets, toxicity
 from millrace.llm.common import table
 from millrace.llm.queries import toxic_model
+from millrace.operators.ranking import top_per_group
 from millrace.session import written
 
 TOXIC_FROM = 0.7
@@ -25,20 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similarity of 0.8 or more links, the one with the smallest id.
+    """Of rows that similarity of 0.8 or more links, the one with the smallest id, rows without an id last.
 
-    Texts without words link with nothing and stay. Of rows that share an id one stays. A document without an id
-    goes only if one with an id is in its group.
+    A row counts as its id and its text, so unrelated texts that share an id all stay, and copies without an id go like
+    any others. Of rows of one id and one text one stays. Texts without words link with nothing and stay.
     """
-    classes = jaccard.similar_classes(docs.select("doc_id", "text"), percent=80)
-    kept = classes.where("n_shingles = 0 OR doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    same = docs["doc_id"].eqNullSafe(kept["_id"])
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    wordless = ~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    rows = docs.join(kept, same, "left_semi")
-    named = rows.where("doc_id IS NOT NULL").withColumn("_place", F.row_number().over(one))
-    named = named.where((F.col("_place") == 1) | wordless).select(docs.columns)
-    return named.unionByName(rows.where("doc_id IS NULL"))
+    worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    classes = jaccard.similar_classes(docs.where(worded).select(row.alias("row"), "text"), "row", percent=80)
+    kept = classes.where(F.col("row") == F.col("component_id")).select("row.id", "row.hash").distinct()
+    rows = docs.where(worded).withColumn("_hash", F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["_hash"] == kept["hash"]), "left_semi")
+    rows = top_per_group(rows, ["doc_id", "_hash"], [F.xxhash64(*docs.columns)], 1, "_place")
+    return rows.select(docs.columns).unionByName(docs.where(~worded))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

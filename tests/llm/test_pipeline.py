@@ -65,6 +65,19 @@ def test_stages_take_effect(spark, folder):
     assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(r["doc_id"] for r in after)
 
 
+def test_one_row_of_each_group_of_similar_texts(spark):
+    """Unrelated texts of one id all stay; copies go, with an id or without."""
+    one, two, three, four = (" ".join(f"{name}{k}" for k in range(30)) for name in ("ka", "lo", "mi", "vo"))
+    rows = [(1, one), (1, two), (5, two), (6, one), (6, three), (None, one), (None, four), (None, four), (None, four + " end")]
+    rows += [(7, " "), (7, None), (None, ""), (1, two)]
+    docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_similar(spark, docs, FOLDER).collect()]
+    last = [t for i, t in got if i is None and t]
+    assert len(last) == 1 and last[0].startswith(four)
+    wanted = Counter([(1, one), (1, two), (6, three), (7, " "), (7, None), (None, ""), (None, last[0])])
+    assert Counter(got) == wanted
+
+
 def test_run_and_registration(spark, folder):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
     assert corpus_pipeline.run(spark, folder).count() > 0

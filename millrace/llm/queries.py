@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprint, jaccard, language, mixing, packing, pages, repeats, search, secrets, toxicity
+from millrace.llm import fingerprint, jaccard, language, mixing, packing, pages, repeats, search, secrets, toxicity, whitening
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "held_out", F.col("nearest").alias("lang_pred"), "score", (F.col("lang_found") != F.col("nearest")).alias("rejected")
     )
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    models = whitening.fit(vectors, "embedding", components=32)
+    found = whitening.whiten(vectors, "vec_id", "embedding", models)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "value")
+    return found.select("vec_id", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "identity_error", each).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error"
+    )

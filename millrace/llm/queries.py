@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprint, jaccard, language, mixing, packing, pages, repeats, search, secrets, toxicity, whitening
+from millrace.llm import bpe, fingerprint, jaccard, language, mixing, packing, pages, repeats, search, secrets, toxicity, whitening
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("vec_id", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "identity_error", each).select(
         "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error"
     )
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    words = bpe.vocabulary()
+    found = bpe.decode(bpe.encode(table(spark, folder, "documents"), words), words)
+    return found.select(
+        "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

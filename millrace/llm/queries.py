@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprint, jaccard, language, mixing, packing, pages, repeats, search, secrets, toxicity, whitening
+from millrace.llm import bpe, codes, fingerprint, jaccard, language, mixing, packing, pages, repeats, search, secrets, toxicity, whitening
 from millrace.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op13_vector_codes")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = codes.compress(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    long = lambda c: F.expr(f"try_cast({c} AS long)").alias(c)
+    return rows.select("vec_id", "code", long("error"), long("label_error"), "codebooks_sha256")

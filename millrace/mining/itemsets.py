@@ -33,6 +33,11 @@ def needed(min_support: float, rows: int, strict: bool = False) -> int:
     return int(exact // 1) + 1 if strict else max(1, -int(-exact // 1))
 
 
+def share_for(min_support: float, rows: int) -> float:
+    """A share of ``rows`` that, rounded up to a whole count in doubles, gives ``needed``."""
+    return max(0.0, min(1.0, (needed(min_support, rows) - 0.5) / rows)) if rows else 0.0
+
+
 def single_items(baskets: DataFrame, at_least: int, items: str = "items", weight: str | None = None) -> DataFrame:
     """Items in at least ``at_least`` baskets: ``(item, num)``; a row may stand for ``weight`` baskets."""
     many = F.col(weight) if weight else F.lit(1)
@@ -146,10 +151,14 @@ def fp_growth(
     min_size: int = 2,
     partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Spark ML's FP-growth: itemsets ``(items, k, num)`` and rules, both over clean baskets."""
+    """Spark ML's FP-growth: itemsets ``(items, k, num)`` and rules, both over clean baskets.
+
+    Sets are frequent from the same whole count on as with ``frequent_itemsets``.
+    """
     settings = {"numPartitions": partitions} if partitions else {}
-    growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, **settings)
-    model = growth.fit(baskets.select(clean_items(F.col(items)).alias("items")))
+    clean = baskets.select(clean_items(F.col(items)).alias("items"))
+    growth = FPGrowth(itemsCol="items", minSupport=share_for(min_support, clean.count()), minConfidence=min_confidence, **settings)
+    model = growth.fit(clean)
     found = model.freqItemsets.select(
         F.array_sort("items").alias("items"), F.size("items").alias("k"), F.col("freq").alias("num")
     )

@@ -16,14 +16,15 @@ def parsed(records: DataFrame, column: str = "value", keep: list[str] | None = N
     """Change records as columns; ``pk`` is the array of key names and ``rows`` the row maps.
 
     An update carries its new row as ``after_values``, the other actions as ``values``. The
-    maps keep the order of the document and the type of every value.
+    maps keep the order of the document and the type of every value. An entry that can't be
+    acted on is null among the rows, and ``faults`` says why at its place.
     """
     # inline() keeps the parsed record as one step: it is not parsed again for every field.
     record = records.select(*(keep or ()), F.inline(F.array(F.from_json(column, RECORD))))
     listed = F.from_json("table_pk", "array<string>")
     pk = F.when(F.col("table_pk").startswith("["), listed).otherwise(F.array("table_pk"))
     new_row = F.when(F.col("action") == "update", F.lit("after_values")).otherwise(F.lit("values"))
-    return record.select(
+    read = record.select(
         *(keep or ()),
         "log_file",
         "log_pos",
@@ -31,7 +32,26 @@ def parsed(records: DataFrame, column: str = "value", keep: list[str] | None = N
         F.when(F.col("table").isNotNull(), F.concat_ws(".", "schema", "table")).alias("table"),
         pk.alias("pk"),
         "action",
-        F.transform("data", lambda entry: F.try_element_at(entry, new_row)).alias("rows"),
+        F.transform("data", lambda entry: F.try_element_at(entry, new_row)).alias("found"),
+    )
+    return read.select(
+        *(c for c in read.columns if c != "found"),
+        F.transform("found", lambda row: F.when(_fault(row).isNull(), row)).alias("rows"),
+        F.transform("found", _fault).alias("faults"),
+    )
+
+
+def _fault(row: Column) -> Column:
+    """Why an entry can't be acted on: an insert needs values, a delete its whole key, an update also something to set."""
+    keyed = F.col("action").isin("update", "delete")
+    no_key = F.coalesce((F.size("pk") < 1) | F.exists("pk", lambda k: k.isNull()), F.lit(True))
+    lacks_key = F.exists("pk", lambda k: ~F.map_contains_key(row, k))
+    plain = F.filter(F.map_keys(row), lambda k: ~F.array_contains("pk", k))
+    return (
+        F.when(row.isNull() | (F.size(row) < 1), "no values")
+        .when(keyed & no_key, "no key named")
+        .when(keyed & lacks_key, "key without a value")
+        .when((F.col("action") == "update") & (F.size(plain) < 1), "nothing to set")
     )
 
 
@@ -39,20 +59,23 @@ ACTIONS = ("insert", "update", "delete")
 
 
 def rejects(records: DataFrame, column: str = "value") -> DataFrame:
-    """Records that no other function here takes up, as ``(value, reason)``: JSON that can't be read as a change
-    record, or an action other than ``ACTIONS``. Together with ``change_sql`` no record is lost."""
+    """What no other function here takes up, as ``(value, ordinal, reason)``: whole records (ordinal null) that can't be
+    read as a change record, have an action other than ``ACTIONS`` or no entries, and single entries of others, by their
+    place. Together with ``change_rows`` no entry is lost, and together with ``change_sql`` no record."""
     raw = records.select(F.col(column).alias("value"))
     read = parsed(raw.withColumn("_raw", F.col("value")), "value", ["_raw"])
-    return read.where(~_sound()).select(
-        F.col("_raw").alias("value"),
+    whole = (
         F.when(F.col("table").isNull() | F.col("action").isNull() | F.col("rows").isNull(), "unreadable")
-        .otherwise("unknown action")
-        .alias("reason"),
+        .when(~F.col("action").isin(*ACTIONS), "unknown action")
+        .when(F.size("rows") < 1, "no entries")
     )
+    single = F.filter(F.transform("faults", lambda fault, i: F.struct(i.alias("ordinal"), fault.alias("reason"))), lambda f: f["reason"].isNotNull())
+    record = F.array(F.struct(F.lit(None).cast("int").alias("ordinal"), whole.alias("reason")))
+    return read.select(F.col("_raw").alias("value"), F.inline(F.when(_sound(), single).otherwise(record)))
 
 
 def _sound() -> Column:
-    known = F.col("table").isNotNull() & F.col("rows").isNotNull() & F.col("action").isin(*ACTIONS)
+    known = F.col("table").isNotNull() & (F.size("rows") > 0) & F.col("action").isin(*ACTIONS)
     return F.coalesce(known, F.lit(False))
 
 
@@ -68,7 +91,8 @@ def _text(value: Column) -> Column:
 def change_rows(records: DataFrame, column: str = "value") -> DataFrame:
     """One row per changed row: table, pk, action, log_pos, place in the record, values as text.
 
-    Records without a readable table or known action are not among them, but in ``rejects``.
+    Records without a readable table or known action are not among them, nor entries that can't be acted on; these are
+    in ``rejects``.
     """
     # The outer form adds no filter on the size of ``rows``, which would work them out twice.
     exploded = parsed(records, column).where(_sound()).select(
@@ -109,9 +133,10 @@ def change_sql(records: DataFrame, column: str = "value") -> DataFrame:
     """The SQL text of every change record.
 
     Insert: one statement with all rows. Update: one statement per row, joined by ``;`` and a
-    line break. Delete: one statement with a predicate per row. Other records are in ``rejects``.
+    line break. Delete: one statement with a predicate per row. Other records, and entries that can't be acted on, are
+    in ``rejects``; a record of such entries only has no statement.
     """
-    change = parsed(records, column).where(_sound())
+    change = parsed(records, column).where(_sound()).withColumn("rows", F.filter("rows", lambda row: row.isNotNull())).where(F.size("rows") > 0)
 
     def is_pk(entry: Column) -> Column:
         return F.array_contains("pk", entry["key"])

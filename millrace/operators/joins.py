@@ -40,6 +40,46 @@ def lookup_join(
     return big.join(small, on, how)
 
 
+FILTER_BITS = 1 << 24
+
+
+def _bit(df: DataFrame, on: list[str], bits: int) -> Column:
+    """The place of a row's key in a bitmap, from 1. A key of -0.0 is that of 0.0."""
+    kinds = dict(df.dtypes)
+    keys = [F.col(f"`{c}`") + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(f"`{c}`") for c in on]
+    return F.pmod(F.xxhash64(*keys), F.lit(bits)) + 1
+
+
+def possible_matches(big: DataFrame, small: DataFrame, on: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``big`` whose key may be in ``small``: all that are, and of the others about the share of bits set.
+
+    The keys of ``small`` become a bitmap of ``bits`` bits, built in parts by all tasks. It is broadcast, ``bits / 8``
+    bytes (2 MB by default) however large either side is, and ``big`` is filtered where it is read. Rows with a null in
+    the key match nothing and go. Keys must be of one type on both sides, as their hashes are compared.
+    """
+    kinds = dict(big.dtypes), dict(small.dtypes)
+    if any(kinds[0][c] != kinds[1][c] for c in on):
+        raise ValueError("the keys must have the same type on both sides")
+    known = [F.col(f"`{c}`").isNotNull() for c in on]
+    for condition in known:
+        big, small = big.where(condition), small.where(condition)
+    place = _bit(small, on, bits)
+    maps = small.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map"))
+    placed = big.withColumn("_place", _bit(big, on, bits))
+    part, bit = F.bitmap_bucket_number("_place"), F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_place) % 8 AS int))")) != 0
+    return placed.join(F.broadcast(maps), part == F.col("_part")).where(is_set).select(*big.columns)
+
+
+def reduced_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", bits: int = FILTER_BITS) -> DataFrame:
+    """An inner or left semi join of two large sides of which one has few keys of the other: ``big`` is shuffled only
+    where ``possible_matches`` leaves it. Between a broadcast, which ``small`` is too large for, and a full shuffle."""
+    if how not in ("inner", "left_semi"):
+        raise ValueError("rows that match nothing are taken out: inner and left_semi joins only")
+    return possible_matches(big, small, on, bits).join(small.hint("merge"), on, how)
+
+
 def shuffled_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Sort-merge join on both sides' keys."""
     return left.join(right.hint("merge"), on, how)

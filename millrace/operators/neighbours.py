@@ -17,7 +17,8 @@ POINT_BLOCK = 4096
 
 def _blocks(rows: DataFrame, columns: list[str], vector: str, size: int, name: str) -> DataFrame:
     """One row per ``size`` rows of vectors of one length: the columns and vectors as arrays."""
-    numbered = rows.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    numbered = rows.where(F.col(vector).isNotNull() & finite)
     numbered = numbered.withColumn("_block", F.floor(F.monotonically_increasing_id() / size))
     fields = F.struct(*columns, F.transform(vector, lambda x: x.cast("double")).alias("_vector"))
     return numbered.groupBy("_block", F.size(vector).alias("_width")).agg(F.collect_list(fields).alias(name))
@@ -28,7 +29,8 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str, id_: str
 
     ``queries`` has ``query_id`` and the vector. Queries and points are packed into blocks, and each query block
     meets each point block once, in one job: a pair of blocks gives k rows per query, and only those are shuffled.
-    Vectors meet vectors of their own length; null vectors and vectors with null components take no part.
+    Vectors meet vectors of their own length; null vectors and vectors with null, NaN or infinite
+    components take no part.
     """
     lanes = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     have = _blocks(points, [id_, label], vector, POINT_BLOCK, "_points")

@@ -19,18 +19,26 @@ def as_text(df: DataFrame, name: str) -> Column:
 def _key(df: DataFrame, keys: list[str], sep: str) -> Column:
     if len(keys) == 1:
         return as_text(df, keys[0])
-    return F.concat_ws(sep, *(F.coalesce(as_text(df, k), F.lit("\\N")) for k in keys))
+
+    def part(name: str) -> Column:
+        escaped = F.replace(as_text(df, name), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(escaped, F.lit(sep), F.lit(f"\\{sep}")), F.lit("\\N"))
+
+    return F.concat_ws(sep, *(part(k) for k in keys))
 
 
 def wide_to_cells(df: DataFrame, keys: list[str] | None = None, family: str = "cf", sep: str = "") -> DataFrame:
     """Cells ``(rowkey, family, qualifier, value)`` from rows.
 
     The row key is the first column, or ``keys`` joined by ``sep``, which several keys must have to
-    stay apart; a null part of such a key is written as ``\\N``. Nulls make no cell. A map-only job.
+    stay apart; a null part of such a key is written as ``\\N``, and a backslash stands before a separator or a backslash
+    inside a part, so no two keys are written alike. Nulls make no cell. A map-only job.
     """
     keys = keys or df.columns[:1]
     if len(keys) > 1 and not sep:
         raise ValueError("several keys need a separator")
+    if "\\" in sep:
+        raise ValueError("a backslash can't part keys")
     values = [c for c in df.columns if c not in keys]
     text = df.select(
         _key(df, keys, sep).alias("rowkey"), *(as_text(df, v).alias(v) for v in values)

@@ -3,8 +3,10 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import changes, logs, ranking, reshape, upsert
+from millrace.operators import changes, log_scan, logs, ranking, reshape, upsert
+from millrace.operators.keyed_store import KeyedStore
 from millrace.plans.registry import Tables, query
+from millrace.session import written
 
 # Wide rows and cells.
 
@@ -119,7 +121,11 @@ def change_records(t: Tables) -> DataFrame:
         action,
         F.lit('","data":'),
     )
-    return t.orders.select(F.concat(head, F.coalesce(data, plain), F.lit("}")).alias("value"))
+    # Every seventh record has an entry without the values its action needs.
+    entries = F.coalesce(data, plain)
+    odd = F.concat(F.expr("left(entries, length(entries) - 1)"), F.lit(',{"before_values":{"id":1}}]'))
+    body = F.when(F.col("o_orderkey") % 7 == 0, odd).otherwise(F.col("entries"))
+    return t.orders.withColumn("entries", entries).select(F.concat(head, body, F.lit("}")).alias("value"))
 
 
 _NULLS = {"ignoreNullFields": "false"}
@@ -171,6 +177,11 @@ def cdc_sql(t: Tables) -> DataFrame:
     return changes.change_sql(change_records(t))
 
 
+@query("cdc_rejects", "SELECT o_orderkey AS log_pos, 2 AS ordinal, 'no values' AS reason FROM orders WHERE o_orderkey % 7 = 0")
+def cdc_rejects(t: Tables) -> DataFrame:
+    return changes.rejects(change_records(t)).select(F.get_json_object("value", "$.log_pos").cast("long").alias("log_pos"), "ordinal", "reason")
+
+
 ORDER_COLUMNS = {"id": "long", "cust": "long", "price": "double", "note": "string"}
 
 APPLIED = f"""WITH {_CHANGES}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id
@@ -195,6 +206,20 @@ def cdc_apply(t: Tables) -> DataFrame:
     return upsert.apply_changes(change_target(t), rows, ["id"], ["log_pos", "ordinal"])
 
 
+@query("cdc_keyed_store", APPLIED)
+def cdc_keyed_store(t: Tables) -> DataFrame:
+    """The same changes in batches along the log, to a table in buckets; the second batch is handed in twice."""
+    rows = changes.typed_changes(changes.change_rows(change_records(t)), "shop.orders", ORDER_COLUMNS)
+    rows = written(rows, "changes")
+    store = KeyedStore.create(change_target(t), t.scratch("keyed"), ["id"], buckets=16)
+    ends = rows.agg(F.expr("percentile_approx(log_pos, array(0.3, 0.6, 1.0))")).head()[0] or []
+    for number, end in enumerate(ends):
+        begin = F.lit(True) if number == 0 else F.col("log_pos") > ends[number - 1]
+        for _ in range(2 if number == 1 else 1):
+            store.apply(rows.where(begin & (F.col("log_pos") <= end)), ["log_pos", "ordinal"], batch_id=number)
+    return store.read()
+
+
 # A query log made from conversations: what a user says is a query, compiled when it is
 # answered; system lines are noise, and so is what a long answer goes on with.
 
@@ -223,6 +248,18 @@ SELECT source, id::BIGINT AS id, q.query_id, start_time, end_time, duration, "us
 
 def log_lines(t: Tables) -> DataFrame:
     """The log: lines with source, block and order; blocks are ranges along the sources."""
+    return ranking.stored_ranges(made_lines(t), ["source", "seq"], "block")
+
+
+def log_files(t: Tables) -> str:
+    """The same log as text files, a folder per source, cut and named in the order of its lines."""
+    path = t.scratch("log")
+    ranged = made_lines(t).repartitionByRange("source", "seq").sortWithinPartitions("source", "seq")
+    ranged.select("source", "line").write.partitionBy("source").option("lineSep", "\n").text(path)
+    return path
+
+
+def made_lines(t: Tables) -> DataFrame:
     said = t.conversations.select(
         "conv_id", "turn", "role", "text", F.posexplode(F.split("text", "\n")).alias("pos", "part")
     )
@@ -241,12 +278,11 @@ def log_lines(t: Tables) -> DataFrame:
         .when(F.col("role") == "assistant", completed)
         .otherwise(F.concat(F.lit("2024-01-01T09:00:00,000 WARN  "), "part"))
     )
-    lines = said.select(
+    return said.select(
         F.pmod("conv_id", F.lit(4)).cast("string").alias("source"),
         F.struct("conv_id", "turn", "pos").alias("seq"),
         line.alias("line"),
     )
-    return ranking.stored_ranges(lines, ["source", "seq"], "block")
 
 
 @query("log_sessions", _SESSIONS)
@@ -254,6 +290,11 @@ def log_sessions(t: Tables) -> DataFrame:
     return logs.sessions(log_lines(t))
 
 
+@query("log_sessions_scan", _SESSIONS)
+def log_sessions_scan(t: Tables) -> DataFrame:
+    return log_scan.sessions(log_scan.read_blocks(t.spark, log_files(t)))
+
+
 @query(
     "log_classify",
     f"""WITH {_LINES} SELECT source, CASE WHEN contains(line, 'Compiling command') THEN 'compiling' WHEN contains(line, 'Executing command') THEN 'executing'

@@ -1,11 +1,12 @@
 """Baskets, itemsets, rules; clusters and neighbours."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import combinations, subset_rows
 from millrace.mining import baskets, itemsets, rules
-from millrace.operators import neighbours
+from millrace.operators import clusters, neighbours
 from millrace.plans.registry import Tables, query
 from millrace.session import written
 
@@ -239,6 +240,32 @@ def kmeans(t: Tables) -> DataFrame:
     )
 
 
+LLOYD_STEPS = 4
+
+
+def _lloyd_sql(steps: int) -> str:
+    """Lloyd steps as a chain of tables, from the six vectors of smallest id."""
+    apart = "list_sum(list_transform(list_zip(v, x), lambda z: (z[1] - z[2]) ** 2))"
+    chain = [
+        "p AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)",
+        "c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, x AS v FROM p ORDER BY vec_id LIMIT 6)",
+    ]
+    for step in range(steps + 1):
+        chain.append(f"""a{step} AS MATERIALIZED (SELECT vec_id, x, c FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS rn
+            FROM (SELECT vec_id, x, c, {apart} AS d FROM p, c{step})) WHERE rn = 1)""")
+        chain.append(f"""m{step} AS (SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, avg(x[i]) AS m FROM a{step}, (SELECT unnest(range(1, 65)) AS i)
+            GROUP BY c, i) GROUP BY c)""")
+        chain.append(f"c{step + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{step} o LEFT JOIN m{step} m USING (c))")
+    return f"WITH {', '.join(chain)} SELECT vec_id, c::INTEGER AS cluster FROM a{steps}"
+
+
+@query("kmeans_lloyd", _lloyd_sql(LLOYD_STEPS))
+def kmeans_lloyd(t: Tables) -> DataFrame:
+    first = t.embeddings.orderBy("vec_id").limit(6).select("embedding").collect()
+    found = clusters.fit(t.embeddings, "embedding", np.array([r[0] for r in first], dtype=np.float64), most_steps=LLOYD_STEPS)
+    return clusters.assign(t.embeddings, "embedding", "vec_id", found.centres).select("vec_id", "cluster")
+
+
 @query("kmeans_fit")
 def kmeans_fit(t: Tables) -> DataFrame:
     """Spark ML's k-means to the end; its seeding has no SQL."""

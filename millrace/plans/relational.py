@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import map_of, max_length_value, sort_array_desc, sum_value
+from millrace.functions.sql_aggregates import register_aggregates
 from millrace.operators import aggregates, joins, ranking, wordcount
 from millrace.plans.registry import Tables, query
 from millrace.sources import files
@@ -135,6 +136,47 @@ def kv_map_pivot(t: Tables) -> DataFrame:
     return kv.select("o_custkey", *(F.try_element_at("kv", F.lit(s)).alias(s.lower()) for s in "FOP"))
 
 
+# The same aggregates by name in SQL.
+
+
+@query(
+    "sql_typed_sum",
+    """SELECT l_returnflag, sum(l_linenumber)::BIGINT AS sum_int, round(sum(l_tax), 4) AS sum_double,
+      round(sum(CAST(l_discount AS DOUBLE)), 4) AS sum_text FROM lineitem GROUP BY l_returnflag""",
+)
+def sql_typed_sum(t: Tables) -> DataFrame:
+    register_aggregates(t.spark)
+    return t.spark.sql(
+        """SELECT l_returnflag, sum_value_long(l_linenumber) AS sum_int, round(sum_value(l_tax), 4) AS sum_double,
+          round(sum_value(CAST(l_discount AS STRING)), 4) AS sum_text FROM {lines} GROUP BY l_returnflag""",
+        lines=t.lineitem,
+    )
+
+
+@query(
+    "sql_max_length_value",
+    "SELECT o_custkey, min(o_comment) AS longest FROM (SELECT o_custkey, o_orderpriority AS o_comment FROM orders) o"
+    " WHERE length(o_comment) = (SELECT max(length(o_orderpriority)) FROM orders e WHERE e.o_custkey = o.o_custkey) GROUP BY o_custkey",
+)
+def sql_max_length_value(t: Tables) -> DataFrame:
+    register_aggregates(t.spark)
+    return t.spark.sql("SELECT o_custkey, max_length_value(o_orderpriority) AS longest FROM {orders} GROUP BY o_custkey", orders=t.orders)
+
+
+@query(
+    "sql_map_of",
+    """SELECT o_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F' AND rn = 1) AS f, max(o_totalprice) FILTER (o_orderstatus = 'O' AND rn = 1) AS o
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey DESC) AS rn FROM orders) GROUP BY o_custkey""",
+)
+def sql_map_of(t: Tables) -> DataFrame:
+    register_aggregates(t.spark)
+    return t.spark.sql(
+        """SELECT o_custkey, CAST(try_element_at(kv, 'F') AS DOUBLE) AS f, CAST(try_element_at(kv, 'O') AS DOUBLE) AS o
+        FROM (SELECT o_custkey, map_of(o_orderstatus, CAST(o_totalprice AS STRING), o_orderkey) AS kv FROM {orders} GROUP BY o_custkey)""",
+        orders=t.orders,
+    )
+
+
 @query(
     "left_join",
     """SELECT o_orderkey, o_custkey, c_name FROM orders
@@ -186,6 +228,18 @@ def shuffle_join(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "reduced_join",
+    """SELECT l_orderkey AS o_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'""",
+)
+def reduced_join(t: Tables) -> DataFrame:
+    """Few orders, too many for a broadcast in earnest: lines of other orders go before the shuffle."""
+    urgent = t.orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_orderkey", "o_orderpriority")
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    return joins.reduced_join(lines, urgent, ["o_orderkey"])
+
+
 @query(
     "semi_join",
     """SELECT c_custkey, c_name FROM customer

@@ -1,13 +1,15 @@
 """Streams over the given tables, run until all files are read."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.wordcount import words
 from millrace.plans.changes import APPLIED, CHANGE_SQL, ORDER_COLUMNS, change_records, change_target
 from millrace.plans.registry import Tables, query
-from millrace.streaming import arrivals, changes, counts
-from millrace.streaming.sources import BatchLog, file_stream
+from millrace.session import list_names
+from millrace.streaming import arrivals, changes, counts, keyed_state
+from millrace.streaming.sources import BatchLog, SnapshotLog, file_stream, run_available
 
 
 def events(t: Tables) -> DataFrame:
@@ -100,3 +102,95 @@ def stream_cdc_apply(t: Tables) -> DataFrame:
 def stream_cdc_sql(t: Tables) -> DataFrame:
     log = BatchLog(t.spark, "log_pos long, `table` string, action string, sql string")
     return changes.statements(record_stream(t), log).drop("batch_id")
+
+
+# Streams of several batches: the given rows as files in the order of a column, a part of them at a time.
+
+PARTS = 4
+
+
+def add_part(rows: DataFrame, by: str, path: str, part: int, parts: int = PARTS) -> None:
+    """Write the rows of one of ``parts`` ranges of ``by`` to the folder a stream reads, each part later than the one before."""
+    shares = [n / parts for n in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx(F.unix_micros(F.col(by).cast("timestamp")), shares)).head()[0] or [0] * (parts - 1)
+    place = F.unix_micros(F.col(by).cast("timestamp"))
+    mine = F.lit(True) if part == 0 else place > cuts[part - 1]
+    rows.where(mine if part == parts - 1 else mine & (place <= cuts[part])).write.mode("append").parquet(path)
+
+
+def in_parts(t: Tables, rows: DataFrame, by: str) -> DataFrame:
+    path = t.scratch("parts")
+    for part in range(PARTS):
+        add_part(rows, by, path, part)
+    files = [n for n in list_names(t.spark, path) if n.endswith(".parquet")]
+    return file_stream(t.spark, path, files_per_batch=max(1, -(-len(files) // PARTS)))
+
+
+def shopping(t: Tables) -> DataFrame:
+    return t.events.select("event_id", "event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("stream_running_levels", "SELECT user_id, count(*) AS count FROM events GROUP BY user_id")
+def stream_running_levels(t: Tables) -> DataFrame:
+    """Running totals over several batches, kept as levels of runs."""
+    log = SnapshotLog(t.spark, "user_id long, count long", ["user_id"], fan=2)
+    return counts.running_counts(in_parts(t, shopping(t), "ts"), "user_id", log)
+
+
+@query("stream_arrivals_state", "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events")
+def stream_arrivals_state(t: Tables) -> DataFrame:
+    out = BatchLog(t.spark, "event_type string, n long")
+    run_available(keyed_state.numbered(in_parts(t, shopping(t), "ts").select("event_type"), "event_type"), out.put, mode="update")
+    return out.rows().select("event_type", "n")
+
+
+@query("stream_arrivals_removed", "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1) % 5 + 1 AS n FROM events")
+def stream_arrivals_removed(t: Tables) -> DataFrame:
+    """A user's state goes with every fifth arrival."""
+    out = BatchLog(t.spark, "user_id long, n long")
+    stream = in_parts(t, shopping(t), "ts").select("user_id")
+    run_available(keyed_state.numbered(stream, "user_id", limit=5), out.put, mode="update")
+    return out.rows().select("user_id", "n")
+
+
+@query("stream_window_panes", _WINDOWS)
+def stream_window_panes(t: Tables) -> DataFrame:
+    log = SnapshotLog(t.spark, "start timestamp, event_type string, count long", ["start", "event_type"])
+    counts.pane_counts(in_parts(t, shopping(t), "ts"), "ts", "event_type", log, lateness="1 hour")
+    windows = counts.windows_of_panes(log.current(), "event_type")
+    return windows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+class Lost(Exception):
+    """Stands for a driver that goes after a batch is written and before it is marked as done."""
+
+
+@query("stream_restart", "SELECT user_id, count(*) AS count, sum(event_id)::BIGINT AS ids FROM events GROUP BY user_id")
+def stream_restart(t: Tables) -> DataFrame:
+    """Stopped after two parts, started again from its checkpoint when there are more, lost in the middle of a batch and
+    started once more: that batch runs again on the state before it."""
+    path, checkpoint = t.scratch("restarted"), t.scratch("checkpoint")
+    table = SnapshotLog(t.spark, "user_id long, count long, ids long", ["user_id"], fan=2)
+    rows, failed = shopping(t), []
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        table.put(batch, batch_id)
+        if batch_id == 2 and not failed:
+            failed.append(batch_id)
+            raise Lost
+
+    def go_on() -> None:
+        stream = file_stream(t.spark, path).groupBy("user_id").agg(F.count("*").alias("count"), F.sum("event_id").alias("ids"))
+        run_available(stream, each, mode="update", checkpoint=checkpoint)
+
+    for part in range(PARTS):
+        add_part(rows, "ts", path, part)
+        if part == 0:
+            continue
+        try:
+            go_on()
+        except StreamingQueryException:
+            if failed != [2]:
+                raise
+            go_on()
+    return table.current()

@@ -79,3 +79,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, on any file system Spark knows; nothing where there is no folder."""
+    system, where = _filesystem(spark, path)
+    return [entry.getPath().getName() for entry in system.listStatus(where)] if system.exists(where) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all it holds."""
+    system, where = _filesystem(spark, path)
+    system.delete(where, True)

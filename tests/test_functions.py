@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from millrace import functions as fn
+from millrace.functions.sql_aggregates import register_aggregates
 
 TEXTS = st.lists(st.text(st.characters(codec="utf-8", exclude_characters="\x00"), max_size=40), min_size=1, max_size=30)
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -284,3 +285,20 @@ def test_subset_rows(spark):
     counts = {r["id"]: (r["n"], r["d"]) for r in found.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("subset").alias("d")).collect()}
     assert counts == {1: (2**14, 2**14), 2: (1, 1), 4: (4, 4)}
     assert sorted(r["subset"] for r in fn.subset_rows(df.where("id = 4"), "a").collect()) == [["x"], ["x", "y"], ["y"]]
+
+
+def test_aggregates_in_sql(spark):
+    register_aggregates(spark)
+    rows = [(1, "12", 2**62 + 1, "bb", "k", 1), (1, " 1.5 ", 5, "aaa", "k", 2), (1, "x", None, None, None, 3), (1, "1_0", 1, "aab", "j", 4), (2, None, None, None, None, 1)]
+    spark.createDataFrame(rows, "g int, t string, n long, s string, k string, place int").createOrReplaceTempView("agg_rows")
+    found = spark.sql("SELECT g, sum_value(t) a, sum_value_long(n) b, max_length_value(s) c, map_of(k, s, place) d FROM agg_rows GROUP BY g ORDER BY g")
+    nulls = [tuple(r) for r in spark.sql("SELECT g, sum_value(t) a, max_length_value(s) c, map_of(k, s, place) d FROM agg_rows WHERE g = 2 GROUP BY g").collect()]
+    assert nulls == [(2, None, None, {})]
+    whole = spark.sql("SELECT sum_value_long(n) FROM agg_rows WHERE n IS NOT NULL").head()[0]
+    assert whole == 2**62 + 7
+    first = found.drop("b").head()
+    assert tuple(first) == (1, 13.5, "aaa", {"j": "aab", "k": "aaa"})
+    times = spark.sql("SELECT sum_value(x) FROM VALUES (TIMESTAMP '1970-01-01 00:00:02.5'), (TIMESTAMP '1970-01-02 00:00:00') AS v(x)").head()[0]
+    assert times == 86402.5
+    with pytest.raises(Exception, match="numbers, strings or timestamps"):
+        spark.sql("SELECT sum_value(x) FROM VALUES (true), (false) AS v(x)").collect()

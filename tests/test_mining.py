@@ -2,6 +2,8 @@ from fractions import Fraction
 from collections import Counter
 from itertools import combinations
 
+import math
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -171,3 +173,9 @@ def test_an_item_of_every_basket_brings_no_fan_out(spark):
     assert met.count() == 100
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_fp_growth_asks_for_the_same_count():
+    for support, rows in [(0.07, 3_000_000_000), (0.1, 30), (0.3, 10), (0.004, 1_000), (1.0, 7), (0.0, 5), (0.0042857, 10**12)]:
+        assert math.ceil(I.share_for(support, rows) * rows) == I.needed(support, rows)
+    assert I.share_for(0.5, 0) == 0.0

@@ -4,10 +4,11 @@ import json
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import aggregates, changes, joins, logs, neighbours, ranking, reshape, upsert, wordcount
+from millrace.operators import aggregates, changes, clusters, joins, log_scan, logs, neighbours, ranking, reshape, upsert, wordcount
 
 
 def rows_of(df):
@@ -153,6 +154,11 @@ def test_wide_to_cells_and_back(spark):
 def test_composite_keys_stay_apart(spark):
     rows = spark.createDataFrame([("a", None, 1), (None, "a", 2)], "x string, y string, v int")
     assert {r.rowkey for r in reshape.wide_to_cells(rows, ["x", "y"], sep="|").collect()} == {"a|\\N", "\\N|a"}
+    parts = ["1#2", "3", "1", "2#3", "\\N", None, "\\", "#", "\\#"]
+    pairs = spark.createDataFrame([(a, b, 1) for a in parts for b in parts], "a string, b string, v int")
+    assert reshape.wide_to_cells(pairs, ["a", "b"], sep="#").select("rowkey").distinct().count() == len(parts) ** 2
+    with pytest.raises(ValueError, match="backslash"):
+        reshape.wide_to_cells(pairs, ["a", "b"], sep="\\")
     with pytest.raises(ValueError, match="separator"):
         reshape.wide_to_cells(rows, ["x", "y"])
 
@@ -280,6 +286,32 @@ def test_changes_without_loss(spark):
     assert plan.count("from_json(") <= 2 and "Join" not in plan
 
 
+def test_entries_that_cannot_be_acted_on_are_rejects(spark):
+    def raw(action, data, pos, pk="id"):
+        return (json.dumps({"log_pos": pos, "schema": "s", "table": "t", "table_pk": pk, "action": action, "data": data}),)
+
+    good = {"after_values": {"id": 1, "a": 2}}
+    records = [
+        raw("update", [{"values": {"id": 1}}, good], 1),
+        raw("insert", [], 2),
+        raw("update", [{"after_values": {"id": 5}}], 3),
+        raw("delete", [{"values": {"a": 5}}], 4),
+        raw("delete", [{"values": {"id": 5}}], 5, pk=None),
+        raw("insert", [{"values": {}}, None, {"values": {"a": 1}}], 6, pk=None),
+        raw("update", [good], 7, pk=["id", "other"]),
+        raw("delete", [{"values": {"id": 5, "a": 1}}], 8, pk=[]),
+    ]
+    df = spark.createDataFrame(records, "value string")
+    found = changes.rejects(df).collect()
+    assert sorted((json.loads(r.value)["log_pos"], -1 if r.ordinal is None else r.ordinal, r.reason) for r in found) == [
+        (1, 0, "no values"), (2, -1, "no entries"), (3, 0, "nothing to set"), (4, 0, "key without a value"), (5, 0, "no key named"),
+        (6, 0, "no values"), (6, 1, "no values"), (7, 0, "key without a value"), (8, 0, "no key named"),
+    ]
+    told = {r.log_pos: r.sql for r in changes.change_sql(df).collect()}
+    assert told == {1: "update s.t set a=2 where id=1", 6: "insert into s.t values (1)"}
+    assert sorted((r.log_pos, r.ordinal) for r in changes.change_rows(df).collect()) == [(1, 1), (6, 2)]
+
+
 # Logs
 
 LOG = """\
@@ -325,6 +357,14 @@ def test_log_groups_cross_blocks(spark):
 # Neighbours
 
 
+def test_nearest_leaves_out_vectors_that_are_not_finite(spark):
+    rows = [(i, [float(i), 1.0], 0) for i in range(50)] + [(90, [float("nan"), 1.0], 0), (91, [float("inf"), 1.0], 0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int").coalesce(1)
+    asked = spark.createDataFrame([(1, [7.2, 1.0]), (2, [float("nan"), 0.0])], "query_id long, v array<double>")
+    found = neighbours.nearest(df, asked, 3, "v", "id", "label")
+    assert sorted((r.query_id, r.rn, r.id) for r in found.collect()) == [(1, 1, 7), (1, 2, 8), (1, 3, 6)]
+
+
 def test_nearest_equals_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     points = [(i, [rng.random() for _ in range(6)], i % 3) for i in range(300)] + [(1000 + i, [0.5] * 6, 1) for i in range(100)]
@@ -352,3 +392,71 @@ def test_kmeans_separates_two_clouds(spark):
     rows = [(i, [float(i % 2) * 100 + i % 3, 1.0]) for i in range(60)]
     found = neighbours.kmeans(spark.createDataFrame(rows, "id long, v array<double>"), "v", 2)
     assert found.groupBy("cluster").agg(F.countDistinct(F.col("id") % 2).alias("n")).where("n > 1").count() == 0
+
+
+def test_reduced_join_loses_nothing_and_shuffles_less(spark):
+    draw = random.Random(12)
+    big = [(draw.randint(0, 50_000), draw.choice((0.0, -0.0, 1.5, float("nan"), None)), i) for i in range(20_000)] + [(None, 1.5, -1)]
+    small = [(draw.randint(0, 50_000), draw.choice((0.0, -0.0, 1.5, float("nan"), None)), "x") for _ in range(300)] + [(None, 1.5, "x")]
+    left = spark.createDataFrame(big, "k long, d double, i long")
+    right = spark.createDataFrame(small, "k long, d double, name string")
+    for on in (["k"], ["k", "d"]):
+        for how in ("inner", "left_semi"):
+            want = left.join(right, on, how)
+            assert rows_of(joins.reduced_join(left, right, on, how).select(*want.columns)) == rows_of(want)
+    kept = joins.possible_matches(left, right, ["k"])
+    assert kept.join(right, "k", "left_anti").count() < 20 and left.join(right, "k", "left_semi").count() < kept.count() + 1 < 300
+    assert joins.possible_matches(left, right, ["k"], bits=64).count() == 20_000  # a full bitmap lets all through
+    assert joins.possible_matches(left, right.limit(0), ["k"]).count() == 0
+    with pytest.raises(ValueError, match="same type"):
+        joins.reduced_join(left, right.withColumn("k", F.col("k").cast("int")), ["k"])
+    with pytest.raises(ValueError, match="left semi"):
+        joins.reduced_join(left, right, ["k"], "left")
+
+
+def test_logs_in_scan_order_equal_logs_by_sorting(spark, tmp_path, monkeypatch):
+    draw = random.Random(5)
+    for source in range(3):
+        folder = tmp_path / f"source={source}"
+        folder.mkdir()
+        for part in range(3):
+            text = LOG.replace("_20220105_", f"_{draw.randint(0, 9)}_20220105_{source}{part}")
+            lines = text.splitlines() + [f" more {n}" for n in range(draw.randint(0, 9))]
+            (folder / f"part-{part}.txt").write_text("\n".join(lines[draw.randint(0, 4) :]) + "\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # many blocks a file
+    try:
+        read = log_scan.read_blocks(spark, str(tmp_path))
+        found = rows_of(log_scan.sessions(read))
+        assert read.select("file", "start").distinct().count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    numbered = read.withColumn("seq", F.monotonically_increasing_id())
+    want = logs.sessions(numbered.select("source", F.struct("file", "start").alias("block"), "seq", "line"))
+    assert found == rows_of(want) and len(found) > 10
+    assert log_scan.sessions(log_scan.read_blocks(spark, str(tmp_path)).where("false")).count() == 0
+
+
+def test_kmeans_settles_where_plain_lloyd_does(spark):
+    draw = np.random.default_rng(4)
+    middle = np.array([[0.0, 0.0], [9.0, 0.0], [0.0, 9.0]])
+    values = np.concatenate([draw.normal(m, 1, (80, 2)) for m in middle])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)] + [(900, None), (901, [float("nan"), 0.0]), (902, [1.0]), (None, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    taken = np.array([r[1] for r in rows if r[1] is not None and len(r[1]) == 2 and not np.isnan(r[1]).any()])
+    start = values[[0, 1, 2]]
+    found = clusters.fit(df, "v", start)
+    centres = start
+    for _ in range(found.steps):
+        near = ((taken[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([taken[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(3)])
+    assert found.settled and np.allclose(found.centres, centres)
+    given = clusters.assign(df, "v", "id", found.centres).collect()
+    assert len(given) == 241 and max(r.distance for r in given) < 25
+    drawn = clusters.seeds(df, "v", "id", 3)
+    assert len(drawn) == 3 and np.array_equal(drawn, clusters.seeds(df.repartition(2), "v", "id", 3))
+    assert sorted(((clusters.fit(df, "v", drawn).centres[:, None] - middle[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()) == [0, 1, 2]
+    assert clusters.seeds(df.where("false"), "v", "id", 3).size == 0
+    assert clusters.fit(df, "v", np.zeros((0, 0))).settled
+    assert len(clusters.seeds(df.where("id = 5").union(df.where("id = 5")), "v", "id", 3)) == 1
+    assert clusters.fit(df.where("false"), "v", start).centres.tolist() == start.tolist()

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.wordcount import words
-from millrace.streaming import arrivals, changes, counts
-from millrace.streaming.sources import BatchLog, file_stream, run_available
+from millrace.streaming import arrivals, changes, counts, keyed_state
+from millrace.streaming.sources import BatchLog, SnapshotLog, file_stream, run_available
 
 
 @pytest.fixture
@@ -175,3 +175,67 @@ def test_one_file_as_a_stream(spark, tmp_path):
     log = BatchLog(spark, "id long")
     run_available(file_stream(spark, str(tmp_path / "other.parquet")), log.put)
     assert log.rows().count() == 5
+
+
+def keyed_rows(spark, lines, log, checkpoint, **how):
+    parts = F.split("value", ":")
+    stream = stream_of(spark, lines).select(F.get(parts, F.lit(1)).alias("word"), F.get(parts, F.lit(0)).cast("long").alias("seq"))
+    run_available(keyed_state.numbered(stream, "word", **how), log.put, mode="update", checkpoint=checkpoint)
+    return sorted((r.word, r.batch_id, r.n) for r in log.rows().collect())
+
+
+def test_keyed_state_goes_on_after_a_restart_and_can_be_removed(spark, lines, tmp_path):
+    lines("1:x", "2:x", "3:y", "4:x")
+    lines("5:x", "6:y")
+    log = BatchLog(spark, "word string, seq long, n long", str(tmp_path / "log"))
+    keyed_rows(spark, lines, log, str(tmp_path / "c"), limit=4)
+    lines("7:x", "8:y", "9:z")
+    log = BatchLog(spark, "word string, seq long, n long", str(tmp_path / "log"))
+    assert keyed_rows(spark, lines, log, str(tmp_path / "c"), limit=4) == [
+        ("x", 0, 1), ("x", 0, 2), ("x", 0, 3), ("x", 1, 4), ("x", 2, 1), ("y", 0, 1), ("y", 1, 2), ("y", 2, 3), ("z", 2, 1),
+    ]
+    with pytest.raises(ValueError, match="positive"):
+        keyed_state.numbered(stream_of(spark, lines), "value", limit=0)
+
+
+def test_idle_keys_are_removed(spark, lines, tmp_path):
+    lines("1:x", "2:x")
+    log = BatchLog(spark, "word string, seq long, n long", str(tmp_path / "log"))
+    keyed_rows(spark, lines, log, str(tmp_path / "c"), idle_ms=1)
+    lines("3:y")
+    lines("4:x")
+    found = keyed_rows(spark, lines, BatchLog(spark, "word string, seq long, n long", str(tmp_path / "log")), str(tmp_path / "c"), idle_ms=1)
+    # The timer of x fires in the batch of y, or before.
+    assert [r for r in found if r[0] == "x"][-1][2] == 1 and len(found) == 4
+
+
+def test_panes_make_the_same_windows_and_count_late_rows(spark, lines):
+    rng, start, want = random.Random(7), datetime(2024, 1, 1), Counter()
+    for part in range(4):
+        texts = []
+        for _ in range(60):
+            at = start + timedelta(seconds=part * 100 + rng.random() * 100)
+            word = rng.choice("aab")
+            texts.append(f"{at.isoformat(sep=' ')};{word}")
+            pane = int((at - start).total_seconds()) // 10 * 10
+            for back in range(6):
+                want[start + timedelta(seconds=pane - 10 * back), word] += 1
+        lines(*texts)
+    log = SnapshotLog(spark, "start timestamp, word string, count long", ["start", "word"], fan=2)
+    query = counts.pane_counts(timed(spark, lines), "ts", "word", log, lateness="30 seconds")
+    panes = log.current()
+    found = counts.windows_of_panes(panes, "word").collect()
+    assert {(r.start, r.word): r["count"] for r in found} == dict(want)
+    assert panes.agg(F.sum("count")).head()[0] == 240 and counts.late_rows(query) == 0
+    with pytest.raises(ValueError, match="whole number"):
+        counts.windows_of_panes(panes, "word", 60, 7)
+
+
+def test_rows_beyond_the_lateness_are_counted_as_late(spark, lines):
+    lines("2024-01-01 00:00:01;a", "2024-01-01 00:10:00;a")
+    lines("2024-01-01 00:20:00;a")
+    lines("2024-01-01 00:00:02;a", "2024-01-01 00:19:59;b")
+    log = SnapshotLog(spark, "start timestamp, word string, count long", ["start", "word"])
+    query = counts.pane_counts(timed(spark, lines), "ts", "word", log, lateness="1 minute")
+    assert counts.late_rows(query) == 1
+    assert sorted((r.start.minute, r.word, r["count"]) for r in log.current().collect()) == [(0, "a", 1), (10, "a", 1), (19, "b", 1), (20, "a", 1)]

@@ -55,6 +55,7 @@ def numbered(stream: DataFrame, key: str, limit: int | None = None, idle_ms: int
 
     A key's state is removed with the arrival that makes ``limit``, and after ``idle_ms`` milliseconds (processing time)
     without one; the key then starts anew. A null key is a key. A batch that runs again starts from the state before it.
+    With ``idle_ms`` a query has timers to wait for, so run it with ``sources.start``: a run that ends when all is read would not.
     """
     if limit is not None and limit < 1 or idle_ms is not None and idle_ms < 1:
         raise ValueError("limit and idle_ms are positive")

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.wordcount import words
 from millrace.streaming import arrivals, changes, counts, keyed_state
-from millrace.streaming.sources import BatchLog, SnapshotLog, file_stream, run_available
+from millrace.streaming.sources import BatchLog, SnapshotLog, file_stream, run_available, start
 
 
 @pytest.fixture
@@ -199,14 +200,25 @@ def test_keyed_state_goes_on_after_a_restart_and_can_be_removed(spark, lines, tm
 
 
 def test_idle_keys_are_removed(spark, lines, tmp_path):
-    lines("1:x", "2:x")
-    log = BatchLog(spark, "word string, seq long, n long", str(tmp_path / "log"))
-    keyed_rows(spark, lines, log, str(tmp_path / "c"), idle_ms=1)
-    lines("3:y")
-    lines("4:x")
-    found = keyed_rows(spark, lines, BatchLog(spark, "word string, seq long, n long", str(tmp_path / "log")), str(tmp_path / "c"), idle_ms=1)
-    # The timer of x fires in the batch of y, or before.
-    assert [r for r in found if r[0] == "x"][-1][2] == 1 and len(found) == 4
+    log = BatchLog(spark, "word string, n long", str(tmp_path / "log"))
+
+    def seen(count):
+        until = time.time() + 40
+        while len(found := sorted((r.batch_id, r.word, r.n) for r in log.rows().collect())) < count and time.time() < until:
+            time.sleep(0.3)
+        return [r[1:] for r in found]
+
+    lines("x", "x")
+    words_ = stream_of(spark, lines).select(F.col("value").alias("word"))
+    query = start(keyed_state.numbered(words_, "word", idle_ms=1), log.put, str(tmp_path / "c"), every="100 milliseconds", mode="update")
+    try:
+        assert seen(2) == [("x", 1), ("x", 2)]
+        lines("y")  # the timer of x fires in this batch, if not before
+        assert len(seen(3)) == 3
+        lines("x")
+        assert seen(4)[-1] == ("x", 1)
+    finally:
+        query.stop()
 
 
 def test_panes_make_the_same_windows_and_count_late_rows(spark, lines):

@@ -24,34 +24,32 @@ def parsed(records: DataFrame, column: str = "value", keep: list[str] | None = N
     listed = F.from_json("table_pk", "array<string>")
     pk = F.when(F.col("table_pk").startswith("["), listed).otherwise(F.array("table_pk"))
     new_row = F.when(F.col("action") == "update", F.lit("after_values")).otherwise(F.lit("values"))
+    # Each inline() keeps what it makes as a step of its own, worked out once.
+    found = F.transform("data", lambda entry: F.try_element_at(entry, new_row))
     read = record.select(
         *(keep or ()),
         "log_file",
         "log_pos",
         "log_time",
         F.when(F.col("table").isNotNull(), F.concat_ws(".", "schema", "table")).alias("table"),
-        pk.alias("pk"),
         "action",
-        F.transform("data", lambda entry: F.try_element_at(entry, new_row)).alias("found"),
-    )
-    return read.select(
-        *(c for c in read.columns if c != "found"),
-        F.transform("found", lambda row: F.when(_fault(row).isNull(), row)).alias("rows"),
-        F.transform("found", _fault).alias("faults"),
+        F.inline(F.array(F.struct(pk.alias("pk"), found.alias("found")))),
     )
+    faults = read.select("*", F.inline(F.array(F.struct(F.transform("found", _fault).alias("faults")))))
+    rows = F.zip_with("found", "faults", lambda row, fault: F.when(fault.isNull(), row))
+    return faults.select(*(c for c in read.columns if c != "found"), F.inline(F.array(F.struct(rows.alias("rows")))), "faults")
 
 
 def _fault(row: Column) -> Column:
     """Why an entry can't be acted on: an insert needs values, a delete its whole key, an update also something to set."""
     keyed = F.col("action").isin("update", "delete")
-    no_key = F.coalesce((F.size("pk") < 1) | F.exists("pk", lambda k: k.isNull()), F.lit(True))
-    lacks_key = F.exists("pk", lambda k: ~F.map_contains_key(row, k))
-    plain = F.filter(F.map_keys(row), lambda k: ~F.array_contains("pk", k))
+    no_key = F.coalesce((F.size("pk") < 1) | (F.size(F.array_compact("pk")) < F.size("pk")), F.lit(True))
+    lacks_key = F.size(F.array_except("pk", F.map_keys(row))) > 0
     return (
         F.when(row.isNull() | (F.size(row) < 1), "no values")
         .when(keyed & no_key, "no key named")
         .when(keyed & lacks_key, "key without a value")
-        .when((F.col("action") == "update") & (F.size(plain) < 1), "nothing to set")
+        .when((F.col("action") == "update") & (F.size(F.array_except(F.map_keys(row), "pk")) < 1), "nothing to set")
     )
 
 

@@ -106,12 +106,15 @@ def decide(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: s
     """How often each document goes into the mix.
 
     Returns ``ident``, ``text_key`` (64-bit hash of the text), ``source``, size, repeats (rows that agree
-    in all of these; they share one decision), source_size, target, copies.
+    in all of these), source_size, target, copies, more: each of these rows goes in ``copies`` times, and
+    ``more`` of them once more.
 
     A source takes every document ``floor(target / size)`` times, and once more with the fractional
-    chance; the cube method picks who, in blocks of about ``BLOCK`` documents of one source. Each
-    block leaves two open documents at most; these meet in larger blocks, and the last two of a
-    source are rounded. So the words of a source differ from its target by less than two documents.
+    chance; the cube method picks who, in blocks of about ``BLOCK`` documents of one source. Of r equal
+    rows with chance p the whole part of r * p is certain, and one row stands for the rest of it, so it is
+    rows that are balanced, whatever they repeat. Each block leaves two open documents at most; these meet
+    in larger blocks, and the last two of a source are rounded. So the words of a source differ from its
+    target by less than two documents.
 
     Null text is empty, and empty texts have size 0. A null source is a source. A source without words
     has target 0. Draws depend on ids and texts only, so reruns agree. An empty table gives no rows.
@@ -127,10 +130,12 @@ def decide(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: s
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = F.ceil(F.col("documents") / BLOCK)
     joined = units.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    certain = F.col("repeats") * (share - F.floor(share))
     open_ = joined.select(
         "ident", "text_key", "source_no", "size", "repeats",
         F.floor(share).alias("copies"),
-        (share - F.floor(share)).alias("chance"),
+        F.floor(certain).alias("sure"),
+        (certain - F.floor(certain)).alias("chance"),
         blocks.alias("blocks"),
         F.pmod(F.xxhash64("ident", "text_key", F.lit(7)), blocks).alias("block"),
     )
@@ -141,7 +146,7 @@ def decide(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: s
             group = group.sort_values(["text_key", "ident", "size"], kind="stable", ignore_index=True)
             draw = np.random.default_rng([int(key[0]), int(key[1]), level])
             group = group.iloc[draw.permutation(len(group))].reset_index(drop=True)
-            sizes = group["size"].to_numpy(float) * group["repeats"].to_numpy()
+            sizes = group["size"].to_numpy(float)
             chances = np.array(flight(list(sizes), list(group["chance"]), draw))
             if int(group["blocks"].iloc[0]) <= 1:
                 loose = np.flatnonzero(group["chance"] > EDGE)
@@ -161,21 +166,38 @@ def decide(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: s
             break
         open_ = rest.withColumn("block", F.floor(F.col("block") / 1024)).withColumn("blocks", F.ceil(F.col("blocks") / 1024))
         level += 1
-    decided = settled.select("ident", "text_key", "source_no", "size", "repeats", (F.col("copies") + F.round("chance")).cast("long").alias("copies"))
+    more = (F.col("sure") + F.round("chance")).cast("long")
+    # All of them once more is one copy more of each.
+    every = more >= F.col("repeats")
+    decided = settled.select(
+        "ident", "text_key", "source_no", "size", "repeats",
+        (F.col("copies") + F.when(every, 1).otherwise(0)).cast("long").alias("copies"),
+        F.when(every, 0).otherwise(more).cast("long").alias("more"),
+    )
     return decided.join(targets, "source_no").select(
-        F.col("ident").alias(ident), "text_key", F.col("source").alias(source), "size", "repeats", "source_size", "target", "copies"
+        F.col("ident").alias(ident), "text_key", F.col("source").alias(source), "size", "repeats", "source_size", "target", "copies", "more"
     )
 
 
 def mixed(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as ``decide`` says, with their own columns only."""
+    """The rows of ``docs``, each as often as ``decide`` says, with their own columns only, whatever these are called.
+
+    Where only some of several equal rows go in once more, the rows are numbered, ties by nothing: they are equal in all
+    that counts here. Such a group may be large, so it is numbered in ranges.
+    """
+    names = docs.columns
+    own = docs.select(
+        F.col(f"`{ident}`").alias("i"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k"), F.col(f"`{source}`").alias("s"),
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
+    )
     choice = decide(docs, ident, text, source).select(
-        F.col(ident).alias("_ident"), F.col("text_key").alias("_key"), F.col(source).alias("_source"), F.col("copies").alias("_copies")
-    )
-    same = (
-        F.xxhash64(F.coalesce(docs[text], F.lit(""))).eqNullSafe(F.col("_key"))
-        & docs[ident].eqNullSafe(F.col("_ident"))
-        & docs[source].eqNullSafe(F.col("_source"))
+        F.col(ident).alias("ci"), F.col("text_key").alias("ck"), F.col(source).alias("cs"), "copies", "more"
     )
-    joined = docs.join(choice.where("_copies > 0"), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    same = F.col("k").eqNullSafe(F.col("ck")) & F.col("i").eqNullSafe(F.col("ci")) & F.col("s").eqNullSafe(F.col("cs"))
+    joined = own.join(choice.where("copies > 0 OR more > 0"), same).select("i", "k", "s", "row", "copies", "more")
+    alike = joined.where("more = 0").select("row", "copies")
+    some = joined.where("more > 0").withColumn("place", F.xxhash64(F.to_json("row")))
+    numbered = row_numbers(some, ["k", "i", "s"], ["place"], "number")
+    split = numbered.select("row", (F.col("copies") + F.when(F.col("number") <= F.col("more"), 1).otherwise(0)).alias("copies"))
+    each = alike.unionByName(split).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
+    return each.select("row.*")

@@ -34,7 +34,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     units = mixing.decide(table(spark, folder, "documents"))
     each = units.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    copies = F.col("copies") + F.when(F.col("_row") <= F.col("more"), 1).otherwise(0)
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 @query("op3_secret_scan", secrets.sql())

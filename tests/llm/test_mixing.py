@@ -41,7 +41,8 @@ def test_targets_sizes_and_bounds(spark):
         assert r["source_size"] == sizes[r["source"]]
         assert abs(r["target"] - want[r["source"]]) < 1e-6
         assert 0 <= r["copies"] <= 3
-        taken[r["source"]] += r["size"] * r["copies"] * r["repeats"]
+        assert 0 <= r["more"] < r["repeats"]
+        taken[r["source"]] += r["size"] * (r["copies"] * r["repeats"] + r["more"])
     for source in sizes:
         assert abs(taken[source] - want[source]) <= 60, source
     again = mixing.decide(docs.repartition(7)).collect()
@@ -79,3 +80,25 @@ def test_empty_table_and_no_words(spark, nothing):
     assert mixing.decide(nothing).count() == 0
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [r["target"] for r in mixing.decide(blank).collect()] == [0.0, 0.0]
+
+
+def test_repeated_rows_are_balanced_as_rows(spark):
+    draw = random.Random(3)
+    rows = [(i, " w" * draw.randint(10, 60), "a", "x", i) for i in range(200)] + [(500, " w" * 40, "a", "y", 7)] * 200
+    rows += [(1000 + i, " w" * 30, "b", None, i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies string, row long").repartition(4)
+    got = mixing.decide(docs).collect()
+    sizes = {s: sum(len(t.split()) for _, t, q, _, _ in rows if q == s) for s in "ab"}
+    want = targets(sizes)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["size"] * (r["copies"] * r["repeats"] + r["more"]) for r in own) - want[source]) <= 120, source
+        share = want[source] / sizes[source]
+        documents = sum(1 for r in rows if r[2] == source) * share
+        assert abs(sum(r["copies"] * r["repeats"] + r["more"] for r in own) - documents) <= 3
+    again = next(r for r in got if r["doc_id"] == 500)
+    assert abs((again["copies"] * 200 + again["more"]) - 200 * want["a"] / sizes["a"]) <= 1
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.where("doc_id = 500").count() == again["copies"] * 200 + again["more"]
+    assert mixed.count() == sum(r["copies"] * r["repeats"] + r["more"] for r in got)

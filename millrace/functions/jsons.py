@@ -30,11 +30,11 @@ def kv_to_json(*pairs: str | Column, html_safe: bool = True) -> Column:
     return text
 
 
-def row_to_json(df: DataFrame, pattern: str = "yyyy-MM-dd HH:mm:ss SSS") -> Column:
-    """The whole row as a JSON object: timestamps by ``pattern``, null columns left out."""
+def row_to_json(df: DataFrame, pattern: str = "yyyy-MM-dd HH:mm:ss SSS", pretty: bool = False) -> Column:
+    """The whole row as a JSON object: timestamps by ``pattern``, null columns left out; ``pretty`` for reading."""
     return F.to_json(
         F.struct(*(F.col(f"`{name}`") for name in df.columns)),
-        {"timestampFormat": pattern, "timestampNTZFormat": pattern, "ignoreNullFields": "true"},
+        {"timestampFormat": pattern, "timestampNTZFormat": pattern, "ignoreNullFields": "true", "pretty": str(pretty).lower()},
     )
 
 

@@ -1,9 +1,10 @@
 """Streams over the given tables, run until all files are read."""
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.keyed_store import KeyedStore
 from millrace.operators.wordcount import words
 from millrace.plans.changes import APPLIED, CHANGE_SQL, ORDER_COLUMNS, change_records, change_target
 from millrace.plans.registry import Tables, query
@@ -109,19 +110,18 @@ def stream_cdc_sql(t: Tables) -> DataFrame:
 PARTS = 4
 
 
-def add_part(rows: DataFrame, by: str, path: str, part: int, parts: int = PARTS) -> None:
-    """Write the rows of one of ``parts`` ranges of ``by`` to the folder a stream reads, each part later than the one before."""
+def add_part(rows: DataFrame, place: Column, path: str, part: int, parts: int = PARTS) -> None:
+    """Write the rows of one of ``parts`` ranges of ``place`` to the folder a stream reads, each part later than the one before."""
     shares = [n / parts for n in range(1, parts)]
-    cuts = rows.agg(F.percentile_approx(F.unix_micros(F.col(by).cast("timestamp")), shares)).head()[0] or [0] * (parts - 1)
-    place = F.unix_micros(F.col(by).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(place, shares)).head()[0] or [0] * (parts - 1)
     mine = F.lit(True) if part == 0 else place > cuts[part - 1]
     rows.where(mine if part == parts - 1 else mine & (place <= cuts[part])).write.mode("append").parquet(path)
 
 
-def in_parts(t: Tables, rows: DataFrame, by: str) -> DataFrame:
+def in_parts(t: Tables, rows: DataFrame, place: Column) -> DataFrame:
     path = t.scratch("parts")
     for part in range(PARTS):
-        add_part(rows, by, path, part)
+        add_part(rows, place, path, part)
     files = [n for n in list_names(t.spark, path) if n.endswith(".parquet")]
     return file_stream(t.spark, path, files_per_batch=max(1, -(-len(files) // PARTS)))
 
@@ -134,13 +134,13 @@ def shopping(t: Tables) -> DataFrame:
 def stream_running_levels(t: Tables) -> DataFrame:
     """Running totals over several batches, kept as levels of runs."""
     log = SnapshotLog(t.spark, "user_id long, count long", ["user_id"], fan=2)
-    return counts.running_counts(in_parts(t, shopping(t), "ts"), "user_id", log)
+    return counts.running_counts(in_parts(t, shopping(t), F.unix_micros("ts")), "user_id", log)
 
 
 @query("stream_arrivals_state", "SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events")
 def stream_arrivals_state(t: Tables) -> DataFrame:
     out = BatchLog(t.spark, "event_type string, n long")
-    run_available(keyed_state.numbered(in_parts(t, shopping(t), "ts").select("event_type"), "event_type"), out.put, mode="update")
+    run_available(keyed_state.numbered(in_parts(t, shopping(t), F.unix_micros("ts")).select("event_type"), "event_type"), out.put, mode="update")
     return out.rows().select("event_type", "n")
 
 
@@ -148,7 +148,7 @@ def stream_arrivals_state(t: Tables) -> DataFrame:
 def stream_arrivals_removed(t: Tables) -> DataFrame:
     """A user's state goes with every fifth arrival."""
     out = BatchLog(t.spark, "user_id long, n long")
-    stream = in_parts(t, shopping(t), "ts").select("user_id")
+    stream = in_parts(t, shopping(t), F.unix_micros("ts")).select("user_id")
     run_available(keyed_state.numbered(stream, "user_id", limit=5), out.put, mode="update")
     return out.rows().select("user_id", "n")
 
@@ -156,7 +156,7 @@ def stream_arrivals_removed(t: Tables) -> DataFrame:
 @query("stream_window_panes", _WINDOWS)
 def stream_window_panes(t: Tables) -> DataFrame:
     log = SnapshotLog(t.spark, "start timestamp, event_type string, count long", ["start", "event_type"])
-    counts.pane_counts(in_parts(t, shopping(t), "ts"), "ts", "event_type", log, lateness="1 hour")
+    counts.pane_counts(in_parts(t, shopping(t), F.unix_micros("ts")), "ts", "event_type", log, lateness="1 hour")
     windows = counts.windows_of_panes(log.current(), "event_type")
     return windows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
@@ -184,7 +184,7 @@ def stream_restart(t: Tables) -> DataFrame:
         run_available(stream, each, mode="update", checkpoint=checkpoint)
 
     for part in range(PARTS):
-        add_part(rows, "ts", path, part)
+        add_part(rows, F.unix_micros("ts"), path, part)
         if part == 0:
             continue
         try:
@@ -194,3 +194,12 @@ def stream_restart(t: Tables) -> DataFrame:
                 raise
             go_on()
     return table.current()
+
+
+@query("stream_cdc_store", APPLIED)
+def stream_cdc_store(t: Tables) -> DataFrame:
+    """Change records in batches along the log, each into the buckets of a keyed table that its keys fall into."""
+    store = KeyedStore.create(change_target(t), t.scratch("keyed"), ["id"], buckets=8)
+    records = in_parts(t, change_records(t), F.get_json_object("value", "$.log_pos").cast("long"))
+    changes.apply_to_store(records, store, "shop.orders", ORDER_COLUMNS)
+    return store.read()

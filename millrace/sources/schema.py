@@ -118,8 +118,13 @@ def olap_columns(df: DataFrame) -> dict[str, str]:
 
 
 def olap_ddl(df: DataFrame, table: str, engine: str = "MergeTree()") -> str:
-    """The CREATE TABLE text for ``olap_columns``, ordered by the first column."""
-    columns = ", ".join(f"`{name}` {kind}" for name, kind in olap_columns(df).items())
+    """The CREATE TABLE text for ``olap_columns``, ordered by the first column; comments of columns are carried over."""
+
+    def commented(name: str) -> str:
+        text = df.schema[name].metadata.get("comment", "").replace("\\", "\\\\").replace("'", "\\'")
+        return f" COMMENT '{text}'" if text else ""
+
+    columns = ", ".join(f"`{name}` {kind}{commented(name)}" for name, kind in olap_columns(df).items())
     return f"CREATE TABLE IF NOT EXISTS {table} ({columns}) ENGINE = {engine} ORDER BY `{df.columns[0]}`"
 
 

@@ -37,6 +37,10 @@ def table_names(spark: SparkSession, database: str | None = None) -> list[str]:
     return [t.name for t in spark.catalog.listTables(database)]
 
 
+def database_names(spark: SparkSession) -> list[str]:
+    return [d.name for d in spark.catalog.listDatabases()]
+
+
 def column_listing(df: DataFrame) -> list[tuple[str, str, str]]:
     """Name, type and comment of every column."""
     return [(f.name, f.dataType.simpleString(), f.metadata.get("comment", "")) for f in df.schema.fields]

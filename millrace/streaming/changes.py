@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.changes import change_rows, change_sql, typed_changes
+from millrace.operators.keyed_store import KeyedStore
 from millrace.operators.upsert import apply_changes
+from millrace.session import written
 from millrace.streaming.sources import BatchLog, run_available
 
 PLACE = ["log_pos", "ordinal"]
@@ -37,6 +40,22 @@ def merged(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return apply_changes(base, changes, keys, PLACE)
 
 
+def apply_to_store(
+    stream: DataFrame, store: KeyedStore, target: str, columns: dict[str, str], column: str = "value", checkpoint: str | None = None
+) -> StreamingQuery:
+    """Apply the changes of one table to a keyed table, batch by batch; only the buckets of a batch's keys are rewritten.
+
+    A batch that runs again is known by its number and changes nothing. Inside a batch the order is that of the records;
+    batches must come in the order of the log, as ``store`` keeps no log positions. Where they don't, use
+    ``collect_changes`` and ``merged``. A store takes batches of one stream only, with one checkpoint.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        store.apply(written(typed_changes(change_rows(batch, column), target, columns), "changes"), PLACE, batch_id=batch_id)
+
+    return run_available(stream, each, checkpoint=checkpoint)
+
+
 def statements(
     stream: DataFrame, log: BatchLog, column: str = "value", checkpoint: str | None = None
 ) -> DataFrame:

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import re
 from datetime import date, datetime
 
@@ -302,3 +303,9 @@ def test_aggregates_in_sql(spark):
     assert times == 86402.5
     with pytest.raises(Exception, match="numbers, strings or timestamps"):
         spark.sql("SELECT sum_value(x) FROM VALUES (true), (false) AS v(x)").collect()
+
+
+def test_row_to_json_for_reading(spark):
+    df = spark.createDataFrame([(1, None, "x")], "a int, b int, c string")
+    text = df.select(fn.row_to_json(df, pretty=True)).head()[0]
+    assert json.loads(text) == {"a": 1, "c": "x"} and text.count("\n") == 3

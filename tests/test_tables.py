@@ -213,3 +213,9 @@ def test_generic_connector_and_sync(spark, tmp_path):
     path = str(tmp_path / "t")
     n = sync.sync(spark.range(10), lambda rows: connectors.write(rows, "parquet", path), lambda rows: rows.where("id > 3"))
     assert n == 6 and connectors.read(spark, "parquet", path).count() == 6
+
+
+def test_ddl_carries_comments_and_databases_are_listed(spark):
+    df = spark.createDataFrame([(1, "a")], "k long COMMENT 'it''s the key', plain string")
+    assert schema.olap_ddl(df, "db.t").startswith("CREATE TABLE IF NOT EXISTS db.t (`k` Int64 COMMENT 'it\\'s the key', `plain` Nullable(String))")
+    assert "default" in tables.database_names(spark)

@@ -217,5 +217,5 @@ def test_generic_connector_and_sync(spark, tmp_path):
 
 def test_ddl_carries_comments_and_databases_are_listed(spark):
     df = spark.createDataFrame([(1, "a")], "k long COMMENT 'it''s the key', plain string")
-    assert schema.olap_ddl(df, "db.t").startswith("CREATE TABLE IF NOT EXISTS db.t (`k` Int64 COMMENT 'it\\'s the key', `plain` Nullable(String))")
+    assert schema.olap_ddl(df, "db.t").startswith("CREATE TABLE IF NOT EXISTS db.t (`k` bigint COMMENT 'it\\'s the key', `plain` Nullable(String))")
     assert "default" in tables.database_names(spark)

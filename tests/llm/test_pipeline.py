@@ -82,7 +82,7 @@ def test_run_and_registration(spark, folder):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
     assert corpus_pipeline.run(spark, folder).count() > 0
     names = [n for n in spark_entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert spark_entry.queries()["pipeline"] is corpus_pipeline.run
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import combinations, subset_rows
 from millrace.mining import baskets, itemsets, rules
-from millrace.operators import clusters, neighbours
+from millrace.operators import clusters, neighbours, pivots
 from millrace.plans.registry import Tables, query
 from millrace.session import written
 
@@ -293,6 +293,17 @@ def knn_topk(t: Tables) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "knn_pivots",
+    f"""{_NEAREST} SELECT query_id, vec_id, label, round(distance, 6) AS distance, rn::INTEGER AS rn FROM ranked WHERE rn <= 10""",
+)
+def knn_pivots(t: Tables) -> DataFrame:
+    """The same neighbours through blocks around pivots."""
+    centers = neighbours.centroids(t.embeddings, "embedding", "label").withColumnRenamed("label", "query_id")
+    found = pivots.nearest(t.embeddings, centers, 10, "embedding", "vec_id", "label")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query(
     "knn_vote",
     f"""{_NEAREST}, votes AS (SELECT query_id, label, count(*) AS votes FROM ranked WHERE rn <= 10 GROUP BY query_id, label)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import aggregates, changes, clusters, joins, log_scan, logs, neighbours, ranking, reshape, upsert, wordcount
+from millrace.operators import aggregates, changes, clusters, joins, log_scan, logs, neighbours, pivots, ranking, reshape, upsert, wordcount
 
 
 def rows_of(df):
@@ -461,3 +461,28 @@ def test_kmeans_settles_where_plain_lloyd_does(spark):
     assert clusters.fit(df, "v", np.zeros((0, 0))).settled
     assert len(clusters.seeds(df.where("id = 5").union(df.where("id = 5")), "v", "id", 3)) == 1
     assert clusters.fit(df.where("false"), "v", start).centres.tolist() == start.tolist()
+
+
+def test_pivots_find_the_same_neighbours_and_skip_blocks(spark):
+    draw = np.random.default_rng(9)
+    middle = draw.normal(0, 50, (12, 4))
+    values = np.concatenate([draw.normal(m, 1, (150, 4)) for m in middle] + [np.repeat(middle[:1], 300, axis=0)])  # ties, too
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(values)] + [(9000, None, 0), (9001, [float("nan")] * 4, 0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(4)
+    asked = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([values[::97] + 0.1, draw.normal(0, 80, (20, 4)), middle[:1]]))]
+    queries = spark.createDataFrame([*asked, (7000, None), (7001, [1.0])], "query_id long, v array<double>")
+    found = pivots.nearest(df, queries, 5, "v", "id", "label", pivots=12, block=50).collect()
+    want = []
+    for number, query in asked:
+        apart = np.sqrt(((values - np.array(query)) ** 2).sum(axis=1))
+        best = sorted(range(len(values)), key=lambda i: (apart[i], i))[:5]
+        want += [(number, i, i % 3, float(apart[i]), rn + 1) for rn, i in enumerate(best)]
+    assert sorted(tuple(r) for r in found) == sorted(want)
+    met = pivots.meetings(df, queries, 5, "v", "id", "label", 12, 50)
+    pairs = met.select(F.sum(F.size("asked") * F.size("held"))).head()[0]
+    assert pairs < len(asked) * len(values) / 2
+    assert pivots.nearest(df, queries, 5000, "v", "id", "label", pivots=3, block=700).count() == len(asked) * len(values)
+    assert pivots.nearest(df.where("id < 0"), queries, 5, "v", "id", "label").count() == 0
+    assert pivots.nearest(df, queries.where("query_id < 0"), 5, "v", "id", "label").count() == 0
+    with pytest.raises(ValueError, match="one length"):
+        pivots.nearest(df.unionByName(df.limit(1).withColumn("v", F.array(F.lit(1.0)))), queries, 5, "v", "id", "label")

@@ -99,6 +99,17 @@ CASE WHEN s IS NULL OR sep IS NULL THEN CAST(NULL AS ARRAY<STRING>)
             ELSE slice(parts, 1, CAST(size(parts) + 1
                  - array_position(reverse(transform(parts, p -> p <> '')), true) AS INT)) END), 1) END"""
 
+# A variant keeps the kind of an array's elements: numbers are put in order as numbers, whatever they are written as.
+_SORT_DESC = """
+CASE WHEN a IS NULL THEN CAST(NULL AS ARRAY<STRING>)
+     WHEN schema_of_variant(a) RLIKE '^ARRAY<(BIGINT|DECIMAL[(][0-9]+,0[)])>$'
+       THEN CAST(sort_array(CAST(a AS ARRAY<DECIMAL(38,0)>), false) AS ARRAY<STRING>)
+     WHEN schema_of_variant(a) RLIKE '^ARRAY<(DOUBLE|FLOAT|DECIMAL[(][0-9,]+[)])>$'
+       THEN CAST(sort_array(CAST(a AS ARRAY<DOUBLE>), false) AS ARRAY<STRING>)
+     WHEN schema_of_variant(a) RLIKE '^ARRAY<(STRING|DATE|TIMESTAMP|TIMESTAMP_NTZ|BOOLEAN|VOID)>$'
+       THEN sort_array(CAST(a AS ARRAY<STRING>), false)
+     ELSE CAST(raise_error(concat('sort_array_desc takes an array of one kind that has an order, not ', schema_of_variant(a))) AS ARRAY<STRING>) END"""
+
 _SCALARS: dict[str, tuple[str, str, str]] = {
     "encode_base64": ("s STRING", "STRING", _ENCODE_BASE64),
     "decode_base64": ("s STRING", "STRING", _DECODE_BASE64),
@@ -106,8 +117,8 @@ _SCALARS: dict[str, tuple[str, str, str]] = {
     "all_in_str": ("s STRING, find STRING", "ARRAY<INT>", _ALL_IN_STR),
     "check_id_card": ("s STRING", "INT", _CHECK_ID_CARD),
     "count_distinct_array": ("a ARRAY<STRING>", "INT", "CASE WHEN a IS NOT NULL THEN size(array_distinct(a)) END"),
-    "sort_array_desc": ("a ARRAY<STRING>", "ARRAY<STRING>", "sort_array(a, false)"),
-    # SQL functions have one parameter type each: numbers need the ones below, text order is not theirs.
+    "sort_array_desc": ("a VARIANT", "ARRAY<STRING>", _SORT_DESC),
+    # SQL functions have one result type each: these give numbers as numbers.
     "sort_array_desc_long": ("a ARRAY<BIGINT>", "ARRAY<BIGINT>", "sort_array(a, false)"),
     "sort_array_desc_double": ("a ARRAY<DOUBLE>", "ARRAY<DOUBLE>", "sort_array(a, false)"),
     "count_distinct_array_long": ("a ARRAY<BIGINT>", "INT", "CASE WHEN a IS NOT NULL THEN size(array_distinct(a)) END"),
@@ -122,7 +133,8 @@ def register(spark: SparkSession) -> None:
 
     Scalars: ``encode_base64 decode_base64 encode_md5 all_in_str check_id_card
     count_distinct_array sort_array_desc split_str uuid32``, the two array functions also as
-    ``…_long`` and ``…_double``: those without take texts, and Spark turns numbers into texts for them. Table function:
+    ``…_long`` and ``…_double``. ``sort_array_desc`` takes an array of any kind that has an order and puts it in that
+    order, as texts; nested and mixed arrays are errors. Table function:
     ``explode_str(s, sep)`` with column ``col``. ``uuid()`` and ``now()`` are built in.
     """
     for name, (params, result, body) in _SCALARS.items():

@@ -309,3 +309,17 @@ def test_row_to_json_for_reading(spark):
     df = spark.createDataFrame([(1, None, "x")], "a int, b int, c string")
     text = df.select(fn.row_to_json(df, pretty=True)).head()[0]
     assert json.loads(text) == {"a": 1, "c": "x"} and text.count("\n") == 3
+
+
+def test_sort_array_desc_in_sql_goes_by_the_kind_of_the_elements(spark):
+    fn.register(spark)
+    sql = lambda text: spark.sql(f"SELECT sort_array_desc({text})").head()[0]
+    assert sql("array(2, 10, 9, NULL)") == ["10", "9", "2", None]
+    assert sql("array(2.5D, 10D, -1D)") == ["10.0", "2.5", "-1.0"]
+    assert sql("array(2.5, 10.25)") == ["10.25", "2.5"]
+    assert sql(f"array({2**62}, {2**62 + 1})") == [str(2**62 + 1), str(2**62)]
+    assert sql("array('2', '10', 'b')") == ["b", "2", "10"]
+    assert sql("array(DATE '2024-01-02', DATE '2024-01-10')") == ["2024-01-10", "2024-01-02"]
+    assert sql("CAST(array() AS ARRAY<INT>)") == [] and sql("CAST(NULL AS ARRAY<INT>)") is None
+    with pytest.raises(Exception, match="has an order"):
+        sql("array(array(1), array(2))")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re._constants as op
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -160,6 +161,35 @@ def candidates(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     return rows.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of some whole numbers what ``join`` (a sum or maximum, from 0) makes of those before it.
+
+    Done in blocks of a root of their number, then over the blocks, as an array that grows by one is copied each time.
+    """
+
+    def grown(numbers: Column) -> Column:
+        add = lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x)))
+        return F.aggregate(numbers, F.array(F.lit(0)), add)
+
+    def blocked(numbers: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(numbers))).cast("int")
+        last = F.floor((F.size(numbers) - 1) / width).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: grown(F.slice(numbers, i * width + 1, width)))
+        return F.when(F.size(numbers) > 0, _bound(blocks, laid)).otherwise(F.array().cast("array<int>"))
+
+    def laid(blocks: Column) -> Column:
+        begins = F.slice(grown(F.transform(blocks, lambda b: F.element_at(b, -1))), F.lit(1), F.size(blocks))
+        shift = lambda b, begin: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: join(begin, x))
+        return F.flatten(F.zip_with(blocks, begins, shift))
+
+    return _bound(values, blocked)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """All spans of a rule: array of (start, end) in code points, leftmost and not overlapping.
 
@@ -173,15 +203,17 @@ def spans(text: Column, rule: Rule) -> Column:
     )
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def add(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.coalesce(F.length(part["all"]), F.lit(0))
-        hit = F.array(F.struct(start.alias("start"), end.alias("end")))
-        found = F.when(F.length(part["value"]) >= rule.least, F.concat(state["found"], hit)).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+    def sized(part: Column) -> Column:
+        gap, size = F.length(part["gap"]), F.coalesce(F.length(part["all"]), F.lit(0))
+        return F.struct(gap.alias("gap"), (gap + size).alias("both"), (F.length(part["value"]) >= rule.least).alias("held"))
 
-    summed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda s: s["found"])
-    return F.when(F.regexp_like(text, pattern), summed).otherwise(empty)
+    def placed(sizes: Column) -> Column:
+        begins = _before(F.transform(sizes, lambda s: s["both"]), lambda a, b: a + b)
+        ends = lambda s, at: F.struct((at + s["gap"]).alias("start"), (at + s["both"]).alias("end"), s["held"].alias("held"))
+        found = F.filter(F.zip_with(sizes, begins, ends), lambda s: F.coalesce(s["held"], F.lit(False)))
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    return F.when(F.regexp_like(text, pattern), _bound(F.transform(parts, sized), placed)).otherwise(empty)
 
 
 def _entry(number: int, kind: str):
@@ -217,17 +249,29 @@ def listed(found: Column) -> Column:
 
 
 def masked(text: Column, found: Column, mask: str = MASK) -> Column:
-    """The text with every span, overlaps joined, replaced by ``mask``."""
+    """The text with every span, overlaps joined, replaced by ``mask``.
+
+    What lies between spans is cut from the text a block of spans at a time, then from that stretch.
+    """
+
+    def between(spans_: Column) -> Column:
+        begins = _before(F.transform(spans_, lambda s: s["end"]), F.greatest)
+        gap = lambda s, at: F.struct(at.alias("start"), s["start"].alias("end"))
+        gaps = F.filter(F.zip_with(spans_, begins, gap), lambda g: g["end"] >= g["start"])
+        return F.concat(gaps, F.array(F.struct(F.array_max(F.transform(spans_, lambda s: s["end"])).alias("start"), F.length(text).alias("end"))))
+
+    def cut(gaps: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(gaps))).cast("int")
+        last = F.floor((F.size(gaps) - 1) / width).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: _bound(F.slice(gaps, i * width + 1, width), pieces)))
 
-    def cut(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        before = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+    def pieces(block: Column) -> Column:
+        low, high = block[0]["start"], F.element_at(block, -1)["end"]
+        piece = lambda part: lambda g: F.substring(part, g["start"] - low + 1, g["end"] - g["start"])
+        return _bound(F.substring(text, low + 1, high - low), lambda part: F.transform(block, piece(part)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, cut, rest)).otherwise(text)
+    joined = F.array_join(_bound(_bound(found, between), cut), mask)
+    return F.when(F.size(found) > 0, joined).otherwise(text)
 
 
 def sql(rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> str:

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import secrets
 
@@ -68,5 +69,19 @@ def test_mask(spark):
         assert masked == (None if text is None else want + text[at:])
 
 
+def test_thousands_of_spans_in_one_text(spark):
+    text = " ".join(f"é token: {'abc' * (i % 5)}{i} {'0123456789abcdef' * 2}" for i in range(10_000))
+    docs = spark.createDataFrame([(text, 1, "x")], "text string, found int, begins string")
+    row = secrets.scan(docs).select("begins", "found", secrets.masked(F.col("text"), F.col("found")).alias("m")).first()
+    want = spans(text)
+    assert len(want) > 15_000 and [tuple(s) for s in row["found"]] == want
+    masked, at = [], 0
+    for start, _, end, _ in want:
+        if start >= at:
+            masked += [text[at:start], secrets.MASK]
+        at = max(at, end)
+    assert row["m"] == "".join(masked) + text[at:]
+
+
 def test_empty_table(nothing):
     assert secrets.scan(nothing).count() == 0

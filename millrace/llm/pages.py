@@ -38,16 +38,22 @@ NOISE_WORDS = frozenset(
     " newsletter notice notices pagination pager popup promo promoted promotion related respond replies share sharing"
     " sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+# Words that an article's own parts are called by too, in labels of several words: there they are evidence only.
+DOUBTFUL_WORDS = frozenset(
+    "banner consent cookie cookies copyright header login notice notices promoted related respond share sharing skip social"
+    " subscribe widget widgets".split()
+)
 ARTICLE_WORDS = frozenset("article content entry post story body text title headline main".split())
 MAIN_TAGS = frozenset(("article", "main"))
 FIXED_TAGS = frozenset(("html", "body", "article", "main"))
 PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DEEPEST = 512
+OUTWEIGHS = 2
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"<]*"|'[^'<]*')*+)>"""
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>"""
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -62,12 +68,13 @@ def _words(value: str) -> set[str]:
 class Element:
     """One element of a page: its path in the site's style tree and what its tag and attributes say of it."""
 
-    __slots__ = ("above", "children", "depth", "labelled", "main", "noise", "path", "tag")
+    __slots__ = ("above", "children", "depth", "doubtful", "labelled", "main", "noise", "path", "tag")
 
     def __init__(self, tag: str, attributes: str, above: Element | None) -> None:
         self.tag, self.above, self.children = tag, above, []
         self.depth = above.depth + 1 if above else 0
         self.noise, self.labelled, self.main = tag in NOISE_TAGS, False, tag in MAIN_TAGS
+        self.doubtful = False
         sign = tag
         if attributes and not attributes.isspace():
             found = {}
@@ -80,9 +87,12 @@ class Element:
                 sign = f"{tag} {role} {re.sub('[0-9]+', '0', label)}"
             words = _words(label)
             if tag not in FIXED_TAGS:
-                self.noise = self.noise or bool(words & NOISE_WORDS and not words & ARTICLE_WORDS) or role in NOISE_ROLES
-                self.noise = self.noise or "hidden" in found or found.get("aria-hidden") == "true"
+                named = bool(words & NOISE_WORDS and not words & ARTICLE_WORDS)
+                self.doubtful = named and words & NOISE_WORDS <= DOUBTFUL_WORDS and not words <= NOISE_WORDS
+                self.noise = self.noise or role in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
                 self.noise = self.noise or bool(HIDDEN.search(found.get("style", "")))
+                self.doubtful = self.doubtful and not self.noise
+                self.noise = self.noise or named
                 # Comments stay reader comments whatever else the label says.
                 self.noise = self.noise or bool(words & {"comment", "comments", "commentlist", "disqus"})
             elif words & {"comment", "comments"}:
@@ -115,11 +125,14 @@ def parse(source: str) -> list[tuple[str, Element]]:
             holder = next((e for e in reversed(stack) if e.tag in BLOCK or e.noise), stack[-1])
             owner[0] = holder
 
-    at, match = 0, TOKEN.search(source)
-    while match:
+    # No tag ends after the last ``>``: what opens after it is text, but for a comment, and isn't looked through again.
+    at, last = 0, source.rfind(">") + 1
+    while match := TOKEN.search(source, at, last):
         if match.start() > at:
             add(source[at : match.start()])
         at = match.end()
+        if at == last and match[0].startswith("<!--") and not match[0].endswith("-->"):
+            at = len(source)
         closing, tag, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
         if tag:
             tag = tag.lower()
@@ -143,9 +156,10 @@ def parse(source: str) -> list[tuple[str, Element]]:
                     if len(stack) >= DEEPEST:
                         stack.pop()
                     stack.append(element)
-        match = TOKEN.search(source, at)
-    if at < len(source):
-        add(source[at:])
+    end = source.find("<!--", at)
+    rest = source[at:] if end < 0 else source[at:end]
+    if rest:
+        add(rest)
     flush()
     return blocks
 
@@ -188,23 +202,28 @@ def said_at(path: int, text: str) -> int:
     return xxhash.xxh3_64_intdigest(text, seed=path)
 
 
-def main_text(source: str, noise: frozenset[int], vital: frozenset[int] = frozenset()) -> str:
+def main_text(
+    source: str, noise: frozenset[int], vital: frozenset[int] = frozenset(), dull: frozenset[int] = frozenset()
+) -> str:
     """The page's blocks without noise, joined by line feeds.
 
-    ``noise`` holds keys (``said_at``) of texts that a site repeats at a node, ``vital`` the nodes of high importance.
-    Elements whose tag, role or label tells menus, headers, footers, adverts, forms and comments go. Of the rest a text
-    goes that is noise at any node above it, in an article (or main) element and outside, with labels or without; other
-    texts of the same node stay. Outside an article, where a page has one, a text stays if its own node is vital: where
-    the tree knows too little of it, the article holds the main text. Bare paragraphs and headings right in an article
-    are its text even if other pages say the same.
+    ``noise`` holds keys (``said_at``) of texts that a site repeats at a node, ``vital`` the nodes of high importance,
+    ``dull`` those of low. Elements whose tag, role or label tells menus, headers, footers, adverts, forms and comments go;
+    in an article a label of several words, one of them doubtful ("related-work"), gives way to a high importance. Of the
+    rest a text goes that is noise at any node above it, in an article (or main) element and outside, with labels or
+    without; other texts of the same node stay. Outside an article, where a page has one, a text stays if its own node is
+    vital. Where the tree knows too little of the nodes outside, their texts stay if together they are more than
+    ``OUTWEIGHS`` times as long as the article: that is a teaser then. Bare paragraphs and headings right in an article are
+    its text even if other pages say the same.
     """
     kept = []
     for text, owner in parse(source):
         above = chain(owner)
-        if not any(e.noise for e in above):
+        within = any(e.main for e in above)
+        if not any(e.noise and not (within and e.doubtful and e.path in vital) for e in above):
             kept.append((text, above))
     held = any(e.main for _, above in kept for e in above)
-    out = []
+    out, unknown, marked = [], set(), [0, 0]
     for text, above in kept:
         nodes = []
         for element in above:
@@ -212,12 +231,18 @@ def main_text(source: str, noise: frozenset[int], vital: frozenset[int] = frozen
                 break
             nodes.append(element)
         inside = any(e.main for e in above)
-        if held and not inside and above[0].path not in vital:
+        aside = held and not inside and above[0].path not in vital
+        if aside and above[0].path in dull:
             continue
         if inside and all(e.tag in PROSE_TAGS and not e.labelled for e in nodes):
             nodes = []
         if not any(said_at(e.path, text) in noise for e in nodes):
+            marked[aside] += len(text)
+            if aside:
+                unknown.add(len(out))
             out.append(text)
+    if marked[1] <= OUTWEIGHS * marked[0]:
+        out = [text for place, text in enumerate(out) if place not in unknown]
     return "\n".join(out)
 
 
@@ -304,32 +329,34 @@ def extract(
     """Columns ``keep`` and text: the main text of every page, empty where there is none.
 
     Null html is empty; a null url belongs to the host without a name. On nodes of ``least_pages`` pages or more, texts
-    of less than ``threshold`` importance are noise, and the nodes of that importance or more are vital; fewer pages
-    tell nothing. What is known of a host is one row: at most the number of distinct labels its templates use (digits in
+    of less than ``threshold`` importance are noise, the nodes of that importance or more are vital and the others dull;
+    fewer pages tell nothing. What is known of a host is one row: at most the number of distinct labels its templates use (digits in
     labels count as one) and, for each of them and each text of a page, some pages^(1/3) texts that repeat. Spark decides
     by its size whether to broadcast that table; pages of one large host stay split over many tasks either way. Whole
     pages are read.
     """
     tree = written(style_tree(pages, url, source), "style-tree")
-    vital = importance(tree).where((F.col("importance") >= threshold) & (F.col("pages") >= least_pages))
-    known = repeated(tree, threshold, least_pages).withColumn("vital", F.lit(False))
-    known = known.unionByName(vital.select("host", F.col("path").alias("key"), F.lit(True).alias("vital")))
-    sets = [F.collect_set(F.when(which, F.col("key"))).alias(name) for name, which in (("noise", ~F.col("vital")), ("kept", F.col("vital")))]
+    nodes = importance(tree).where(F.col("pages") >= least_pages)
+    which = F.when(F.col("importance") >= threshold, "vital").otherwise("dull")
+    known = repeated(tree, threshold, least_pages).withColumn("which", F.lit("noise"))
+    known = known.unionByName(nodes.select("host", F.col("path").alias("key"), which.alias("which")))
+    kinds = ("noise", "vital", "dull")
+    sets = [F.collect_set(F.when(F.col("which") == kind, F.col("key"))).alias(kind) for kind in kinds]
     # Written first: its size is then known when the join with whole pages is planned.
     known = written(known.groupBy("host").agg(*sets), "noise")
     host = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
-    rows = pages.select(*keep, F.col(source).alias("_html"), F.lower(host).alias("_host"))
-    known = known.select(F.col("host").alias("_host"), F.col("noise").alias("_noise"), F.col("kept").alias("_vital"))
-    rows = rows.join(known, "_host", "left").select(*keep, "_html", "_noise", "_vital")
-    schema = rows.select(*keep).schema
+    # Kept columns go by their place on the way, so that none of them can clash with those added.
+    places = [f"kept_{i}" for i in range(len(keep))]
+    rows = pages.select(*(F.col(c).alias(p) for c, p in zip(keep, places, strict=True)), F.col(source).alias("html"), F.lower(host).alias("host"))
+    rows = rows.join(known, "host", "left").select(*places, "html", *kinds)
+    schema = pages.select(*keep).schema
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             found = []
-            given = (batch.column(len(keep) + i).to_pylist() for i in range(3))
+            given = (batch.column(len(keep) + i).to_pylist() for i in range(4))
             for value, *known in zip(*given, strict=True):
-                noise, vital = (frozenset(p + (1 << 63) for p in keys or ()) for keys in known)
-                found.append(main_text(value or "", noise, vital))
+                found.append(main_text(value or "", *(frozenset(p + (1 << 63) for p in keys or ()) for keys in known)))
             out = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*out, pa.array(found, pa.string())], names=[*keep, "text"])
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from millrace.llm import pages
@@ -41,6 +43,59 @@ def test_deep_and_long_pages():
     assert pages.main_text('<p a="' * 20_000, frozenset()) is not None
 
 
+@pytest.mark.parametrize("piece", ['<a href="x', "<a", "<a'\"", "<!-", "</a ", "<a <"])
+@pytest.mark.parametrize("head", ["", "<p>one</p>", "<p>1 > 2 "])
+def test_broken_markup_takes_linear_time(head, piece):
+    start = time.process_time()
+    got = pages.main_text(head + piece * 32_000, frozenset())
+    assert time.process_time() - start < 1.5
+    assert got.split(" ")[0].split("<")[0].strip() == {"": "", "<p>one</p>": "one", "<p>1 > 2 ": "1"}[head]
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p>a</p><!-- b > c", "a"),
+        ("<p>a</p> b <!-- c", "a\nb"),
+        ("<p>a</p> <!-- b --> c <d", "a\nc <d"),
+        ("a<!-- b > c --> d", "a d"),
+    ],
+)
+def test_what_follows_the_last_tag(source, text):
+    assert pages.main_text(source, frozenset()) == text
+
+
+def test_a_teaser_does_not_hide_the_text(spark):
+    body = "<div>The long text of the page, which no tag marks.</div>"
+    rows = [(1, "http://one.example/", f"<article class=card><p>Teaser</p></article>{body}", 1), (2, None, f"<nav>Menu</nav>{body}", 1)]
+    rows.append((3, "http://one.example/", f"<article>{'<p>The article itself, which is long.</p>' * 3}</article><div>Beside it</div>", 1))
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, _noise int")
+    text = {r["page_id"]: (r["text"], r["_noise"]) for r in pages.extract(df, ["page_id", "_noise"]).collect()}
+    long = "The long text of the page, which no tag marks."
+    assert text == {1: (f"Teaser\n{long}", 1), 2: (long, 1), 3: ("\n".join(["The article itself, which is long."] * 3), 1)}
+
+
+def test_importance_outweighs_doubtful_labels(spark):
+    rows = []
+    for i in range(8):
+        parts = f"<div class=related-work><p>Work {i}</p></div><div class=related><p>Link {i}</p></div><div class=user-comments><p>Reader {i}</p></div>"
+        parts += "<div class=cookie-policy><p>We bake</p></div>"
+        rows.append((i, "http://papers.example/", f"<article><p>Lead {i}</p>{parts}</article>"))
+    rows.append((100, "http://few.example/", "<article><p>Lead</p><div class=related-work><p>Work</p></div></article>"))
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    text = {r["page_id"]: r["text"] for r in pages.extract(df, ["page_id"]).collect()}
+    assert text == {100: "Lead", **{i: f"Lead {i}\nWork {i}" for i in range(8)}}
+
+
+def test_threshold_is_kept(spark):
+    """A text on two of four pages has an importance of a half: it goes only below that."""
+    rows = [(i, "http://h.example/", f"<div><span>Own {i}</span></div><section>{'Half' if i < 2 else f'Other {i}'}</section>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    for threshold, kept in ((0.5, "Own 0\nHalf"), (0.51, "Own 0")):
+        got = pages.extract(df, ["page_id"], threshold=threshold).where("page_id = 0").first()
+        assert got["text"] == kept
+
+
 def test_site_style_tree_finds_what_repeats(spark):
     rows = []
     for i in range(12):

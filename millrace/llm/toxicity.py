@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, texts_of, words_of
+from millrace.llm.language import _reach, _step
 from millrace.session import written
 
 ORDER = 3
@@ -143,8 +144,8 @@ class Table:
     """Normalised kernels with landmarks, as one weight per subsequence of three letters.
 
     The kernel of two words is the product of their subsequence weights, so a (weighted) sum over
-    landmarks is a table over the landmarks' letters, one column per row of ``weights``. Other letters
-    weigh nothing.
+    landmarks is a table of the landmarks' subsequences, one column per row of ``weights``. Only subsequences
+    that occur have a row, so the table is as large as the landmarks, whatever their alphabets; others weigh nothing.
     """
 
     def __init__(self, landmarks: list[str], weights: np.ndarray | None = None) -> None:
@@ -154,12 +155,15 @@ class Table:
         self.number = np.zeros(0x110000, dtype=np.int32)
         self.number[[ord(c) for c in letters]] = np.arange(1, self.base)
         columns = len(landmarks) if weights is None else 1
-        self.cell = np.zeros((self.base**ORDER, columns), dtype=np.float32)
-        for row, (mark, norm) in enumerate(zip(landmarks, own_norm(landmarks), strict=True)):
+        norms = own_norm(landmarks)
+        known = [self.cells([mark])[0].ravel() for mark, norm in zip(landmarks, norms, strict=True) if norm > 0]
+        self.held = np.unique(np.concatenate(known)) if known else np.zeros(1, np.int64)
+        self.cell = np.zeros((len(self.held) + 1, columns), dtype=np.float32)
+        for row, (mark, norm) in enumerate(zip(landmarks, norms, strict=True)):
             if norm > 0:
                 cells, span = self.cells([mark])
                 scale = 1.0 if weights is None else weights[row]
-                np.add.at(self.cell[:, row if weights is None else 0], cells[0], span * np.float32(scale / norm))
+                np.add.at(self.cell[:, row if weights is None else 0], self.rows(cells[0]), span * np.float32(scale / norm))
 
     def cells(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For words of one length the cells of their subsequences, and the weights of the spans."""
@@ -167,9 +171,14 @@ class Table:
         if n not in self.places:
             self.places[n] = _triples(n)
         (i, j, k), span = self.places[n]
-        letters = self.number[_codes(words, n)]
+        letters = self.number[_codes(words, n)].astype(np.int64)
         return (letters[:, i] * self.base + letters[:, j]) * self.base + letters[:, k], span
 
+    def rows(self, cells: np.ndarray) -> np.ndarray:
+        """The rows of cells; the last one, which is zero, for those that no landmark has."""
+        at = np.minimum(np.searchsorted(self.held, cells), len(self.held) - 1)
+        return np.where(self.held[at] == cells, at, len(self.held))
+
     def similar(self, words: list[str]) -> np.ndarray:
         """A row per word, a column per landmark (or the one weighted sum)."""
         out = np.zeros((len(words), self.cell.shape[1]), dtype=np.float32)
@@ -182,6 +191,7 @@ class Table:
                 part = rows[start : start + step]
                 chosen = [words[row] for row in part]
                 cells, span = self.cells(chosen)
+                cells = self.rows(cells)
                 if out.shape[1] == 1:
                     summed = (self.cell[:, 0][cells] @ span)[:, None]
                 else:
@@ -269,11 +279,23 @@ def _variants(word: str, draw: np.random.Generator) -> list[str]:
     return out
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """(toxic, word): the distinct words of each text as the kernel takes them, windows of long words too."""
+    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\x20\x09-\x0D]", "")
+    words = F.split(letters, r"[\x20\x09-\x0D]+")
+
+    def windows(word: Column) -> Column:
+        halves = F.regexp_extract_all(word, F.lit(f".{{1,{LONGEST // 2}}}"), F.lit(0))
+        return F.zip_with(F.slice(halves, 1, F.size(halves) - 1), F.slice(halves, 2, F.size(halves)), lambda a, b: F.concat(a, b))
+
+    cut = F.transform(words, lambda w: F.when(F.length(w) <= LONGEST, F.array(w)).otherwise(windows(w)))
+    found = rows.select("toxic", F.explode(F.array_distinct(F.flatten(cut))).alias("word"))
+    return found.where(F.length("word") >= ORDER)
+
+
 def word_counts(labelled: DataFrame) -> DataFrame:
     """(word, toxic, clean): numbers of labelled texts with the word, combined before the shuffle."""
-    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\x20\x09-\x0D]", "")
-    words = F.array_distinct(F.split(letters, r"[\x20\x09-\x0D]+"))
-    rows = labelled.select("toxic", F.explode(words).alias("word")).where(F.length("word").between(ORDER, LONGEST))
+    rows = _listed(labelled)
     return rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
 
 
@@ -288,15 +310,17 @@ def train(
 ) -> dict:
     """Fit on rows of text and label 0/1; rows with a null text or label are left out.
 
-    Word counts cover all rows. The driver holds at most ``candidates`` words that are commoner in toxic
-    texts than chance allows, some four times as many clean ones, and for at most ``sample`` texts of either
-    label (those with the smallest hash) which candidates they hold and their margin: these bounds are
+    Word counts cover all different texts; copies count once, here and in all that follows. ``sample`` different
+    texts of either label, those with the smallest hash (all, if fewer), are what the machine is fitted on: the driver holds
+    all words of the toxic ones that are commoner in toxic texts than chance allows, some four times ``candidates`` clean
+    words, and for each text of the sample which of the former it holds and its margin. These bounds are
     parameters, and ``rounds`` is best odd. The machine starts from words that toxic texts of more kinds
     hold than chance would give any of all words; then each toxic text adds its word of largest margin, and clean texts theirs, round by round.
-    Without toxic or clean rows every score is the share of toxic rows.
+    Without toxic or clean rows every score is the share of toxic texts. A text under both labels counts under both.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"))
-    rows = rows.where("text IS NOT NULL AND toxic IN (0, 1)")
+    # Written once: counts and sample read it, and the caller's joins run only here.
+    rows = written(rows.where("text IS NOT NULL AND toxic IN (0, 1)").distinct(), "labelled")
     totals = rows.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("all")).first()
     some, every = totals["toxic"] or 0, totals["all"]
     share = some / every if every else 0.0
@@ -307,15 +331,15 @@ def train(
     n = F.col("toxic") + F.col("clean")
     surprise = (F.col("toxic") - n * share) / F.sqrt(n * share * (1 - share))
     rare = counts.where((F.col("toxic") >= 2) & (F.col("toxic") > n * (1 + share) / 2) & (surprise > 3))
-    suspects = [r["word"] for r in rare.orderBy(F.desc(surprise), "word").limit(candidates).collect()]
+    drawn = written(_sample(rows, sample).repartition(SPREAD), "sample")
+    rare = rare.join(_listed(drawn.where("toxic = 1")).select("word").distinct(), "word", "left_semi")
+    suspects = [r["word"] for r in rare.orderBy(F.desc(surprise), "word").collect()]
     usual = counts.where("clean > 0 AND toxic * 2 < clean + 1")
     common = [r["word"] for r in usual.orderBy(F.desc("clean"), "word").limit(candidates // 6).collect()]
     other = [r["word"] for r in usual.orderBy(F.xxhash64("word"), "word").limit(3 * candidates).collect()]
     if not suspects or not common:
         return constant
 
-    drawn = [_smallest(rows.where(F.col("toxic") == y), n, sample) for y, n in ((0, every - some), (1, some))]
-    drawn = written(drawn[0].unionByName(drawn[1]).repartition(SPREAD), "sample")
     place = {word: i for i, word in enumerate(suspects)}
 
     def held(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -389,15 +413,18 @@ def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def _smallest(rows: DataFrame, count: int, wanted: int) -> DataFrame:
-    """The ``wanted`` texts of smallest hash, of ``count``.
+def _sample(rows: DataFrame, wanted: int) -> DataFrame:
+    """Of the different texts of each label the ``wanted`` of smallest hash, or all where there are fewer.
 
-    Hashes are even, so those below a bound that lets half as many again through hold them; only these rows, as many
-    at every size, are put in order.
+    Hashes are counted step by step, so only rows of the steps that hold them are put in order, however unevenly they lie.
     """
     hashed = F.xxhash64("text", F.lit(5))
-    reach = -(2**63) + int(2**64 * min(1.0, 1.5 * wanted / max(1, count)))
-    return rows.where(hashed < F.lit(min(reach, 2**63 - 1))).orderBy(hashed, "text").limit(wanted)
+    reach = _reach(rows.select(F.col("toxic").alias("lang"), hashed.alias("hash")), wanted)
+    parts = [
+        rows.where((F.col("toxic") == label) & (_step(hashed) <= step)).orderBy(hashed, "text").limit(wanted)
+        for label, step in sorted(reach.items())
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def _platt(margin: np.ndarray, label: np.ndarray, share: float, rounds: int = 50) -> tuple[float, float]:

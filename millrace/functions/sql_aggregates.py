@@ -1,8 +1,8 @@
 """The aggregates of ``aggregates`` under names that SQL knows.
 
 SQL functions of Spark cannot hold aggregates, so these run in Python on Arrow batches. They take all values of a group
-to one task and hold them there: they are for SQL texts over groups of moderate size. The built-in compositions of
-``aggregates``, which combine before the shuffle, stay the way for large groups.
+to one task and hold them there: they are for SQL texts over groups of moderate size. Of large groups, sums are taken in
+two steps, of ``slices`` and of their sums. The built-in compositions of ``aggregates`` combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICES = 16
+
 # What SQL reads as a number in a text.
 NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]?\s*")
 
@@ -62,3 +64,12 @@ def register_aggregates(spark: SparkSession) -> None:
 
     for function in (sum_value, sum_value_long, max_length_value, map_of):
         spark.udf.register(function.__name__, function)
+
+
+def slices(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with a column ``slice``: of the rows that a task reads, ``SLICES`` parts by a hash of ``columns``.
+
+    Grouped by its keys and ``slice`` first, a large group is many groups, each no more than what one task reads.
+    """
+    part = F.pmod(F.xxhash64(*columns), F.lit(SLICES))
+    return df.withColumn("slice", F.struct(F.spark_partition_id().alias("task"), part.alias("part")))

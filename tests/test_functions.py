@@ -3,6 +3,7 @@ import hashlib
 import json
 import re
 from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,7 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from millrace import functions as fn
-from millrace.functions.sql_aggregates import register_aggregates
+from millrace.functions.sql_aggregates import SLICES, register_aggregates, slices
+from millrace.plans import relational
 
 TEXTS = st.lists(st.text(st.characters(codec="utf-8", exclude_characters="\x00"), max_size=40), min_size=1, max_size=30)
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -305,6 +307,24 @@ def test_aggregates_in_sql(spark):
         spark.sql("SELECT sum_value(x) FROM VALUES (true), (false) AS v(x)").collect()
 
 
+def test_slices_part_a_large_group(spark):
+    rows = spark.range(0, 20_000, 1, 2).selectExpr("id", "CASE WHEN id % 7 > 0 THEN CAST(id AS STRING) END AS t")
+    parts = slices(rows, "id").groupBy("slice").count().collect()
+    assert len(parts) == 2 * SLICES and max(r["count"] for r in parts) < 1000
+    register_aggregates(spark)
+    sums = spark.sql("SELECT sum_value(t) a, sum_value_long(id) b, sum_value(CAST(NULL AS STRING)) c FROM {rows} GROUP BY slice", rows=slices(rows, "id"))
+    whole = spark.sql("SELECT sum_value(CAST(a AS STRING)) a, sum_value_long(b) b, sum_value(c) c FROM {sums}", sums=sums).head()
+    assert tuple(whole) == (sum(i for i in range(20_000) if i % 7), 199990000, None)
+
+
+def test_sql_typed_sum_sums_slices_first(spark):
+    lines = spark.range(0, 8000, 1, 4).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "'N' AS l_returnflag", "0.5D AS l_tax", "0.25D AS l_discount")
+    found = relational.sql_typed_sum(SimpleNamespace(spark=spark, lineitem=lines))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sum_value_long(") >= 2 and "slice" in plan
+    assert tuple(found.head()) == ("N", 8000, 4000.0, 2000.0)
+
+
 def test_row_to_json_for_reading(spark):
     df = spark.createDataFrame([(1, None, "x")], "a int, b int, c string")
     text = df.select(fn.row_to_json(df, pretty=True)).head()[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import map_arrow, texts_of, words_of
 from millrace.session import written
 
+SIGNS = ".,;:!?()[]{}\"'|#$%&*"
 SUBSETS = 16
 EMPTY = "...."
 SCALES = 2
@@ -25,7 +27,7 @@ BUCKETS = 256
 
 def terms(text: str) -> set[str]:
     """Distinct lower-case words without the signs around them."""
-    found = {word.strip(".,;:!?()[]{}\"'|#$%&*") for word in set(words_of(text.lower()))}
+    found = {word.strip(SIGNS) for word in set(words_of(text.lower()))}
     found.discard("")
     return found
 
@@ -39,7 +41,7 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = 0.001, most: flo
     """
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
 
         def flushed() -> pa.Table:
             parts: dict[int, list[str]] = {}
@@ -53,11 +55,10 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = 0.001, most: flo
 
         for batch in stream:
             for value in texts_of(batch.column(0)):
-                for term in terms(value):
-                    counts[term] = counts.get(term, 0) + 1
+                counts.update(terms(value))
             if len(counts) > 1_000_000:
                 yield flushed()
-                counts = {}
+                counts = Counter()
         yield flushed()
 
     texts = docs.count()
@@ -86,15 +87,15 @@ class Prints:
     def __init__(self, band: list[str], seed: int = 1) -> None:
         self.band = frozenset(band)
         self.key = str(seed).encode()
-        self.held: dict[str, int] = {}
+        self.held: dict[str, bytes] = {}
 
-    def depths(self, term: str) -> list[int]:
-        """For each subset how many scales keep the term: trailing zeros of its hash."""
+    def depths(self, term: str) -> bytes:
+        """For each subset how many scales keep the term: trailing zeros of its hash, a byte each."""
         found = self.held.get(term)
         if found is None:
             digest = hashlib.blake2b(_bytes(term), digest_size=4 * SUBSETS, key=self.key).digest()
             words = np.frombuffer(digest, dtype="<u4").tolist()
-            found = [(w & -w).bit_length() - 1 if w else 31 for w in words]
+            found = bytes([(w & -w).bit_length() - 1 if w else 31 for w in words])
             if len(self.held) < 200_000:
                 self.held[term] = found
         return found
@@ -104,15 +105,15 @@ class Prints:
         chosen = sorted(found & self.band) or sorted(found)
         if not chosen:
             return "-" + _short(text)
-        depth = np.array([self.depths(t) for t in chosen], dtype=np.int8)
+        depth = np.frombuffer(b"".join([self.depths(t) for t in chosen]), np.int8).reshape(-1, SUBSETS)
         scale = len(chosen).bit_length() - 1
         parts = []
         for s in range(scale, scale + SCALES):
-            prints = []
-            for subset in range(SUBSETS):
-                rows = np.flatnonzero(depth[:, subset] >= s).tolist()
-                prints.append(_short("\n".join([chosen[r] for r in rows])) if rows else EMPTY)
-            parts.append(f"{s}:" + "".join(prints))
+            kept: list[list[str]] = [[] for _ in range(SUBSETS)]
+            rows, subsets = np.nonzero(depth >= s)
+            for row, subset in zip(rows.tolist(), subsets.tolist(), strict=True):
+                kept[subset].append(chosen[row])
+            parts.append(f"{s}:" + "".join([_short("\n".join(k)) if k else EMPTY for k in kept]))
         return ";".join(parts)
 
 

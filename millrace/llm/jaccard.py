@@ -250,7 +250,7 @@ def place_of(ident: str):
     return F.pmod(F.xxhash64(ident), F.lit(FILTER))
 
 
-def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _leaf_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b) of members of one meeting but different components whose bound allows the similarity.
 
     A pair counts where it meets first, by its rarest common shingle: the two then share at most what either has from
@@ -258,18 +258,23 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
 
     A meeting is ordered by size and packed into leaves of ``LEAF`` members, the last level of a tree over its
     points. Leaves whose sizes are too far apart never meet; of the others the boxes are compared first,
-    then the members.
+    then the members. Members are ranked without their counts, which are large; a meeting of one leaf isn't moved again.
     """
     ranked = row_numbers(members, ["meeting"], ["n", "node"], "_rank")
-    leaves = ranked.groupBy("meeting", F.floor((F.col("_rank") - 1) / LEAF).alias("leaf")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"),
+    ranked = ranked.select("*", F.floor((F.col("_rank") - 1) / LEAF).alias("leaf")).drop("_rank")
+    ends = ranked.groupBy("meeting").agg(F.max("leaf").alias("last"))
+    held = ranked.join(ends, "meeting").hint("merge").join(nodes.select("node", "counts"), "node")
+    leaves = held.groupBy("meeting", "leaf").agg(
+        F.first("last").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"),
         F.collect_list(F.struct("node", "component", "n", "place", "counts")).alias("members"),
     )
     leaves = written(leaves, "leaves")
-    left = leaves.select("meeting", *(F.col(c).alias(f"l_{c}") for c in ("leaf", "low", "high", "members")))
-    right = leaves.select("meeting", *(F.col(c).alias(f"r_{c}") for c in ("leaf", "low", "high", "members")))
+    single = leaves.where("last = 0").select(F.col("members").alias("l_members"), F.lit(None).cast(leaves.schema["members"].dataType).alias("r_members"))
+    several = leaves.where("last > 0")
+    left = several.select("meeting", *(F.col(c).alias(f"l_{c}") for c in ("leaf", "low", "high", "members")))
+    right = several.select("meeting", *(F.col(c).alias(f"r_{c}") for c in ("leaf", "low", "high", "members")))
     close = (F.col("l_leaf") <= F.col("r_leaf")) & (F.col("r_low") * percent <= F.col("l_high") * 100)
-    pairs = left.join(right, "meeting").where(close).select("l_members", "r_members")
+    pairs = single.unionByName(left.join(right, "meeting").where(close).select("l_members", "r_members"))
 
     def points(side: list[dict]) -> tuple:
         n = np.array([m["n"] for m in side], np.int64)
@@ -282,7 +287,7 @@ def _leaf_pairs(members: DataFrame, percent: int) -> DataFrame:
         for batch in stream:
             for row in batch.to_pylist():
                 n, rest, part, node, counts, point = points(row["l_members"])
-                m, left_, other, mate, more, spot = points(row["r_members"])
+                m, left_, other, mate, more, spot = points(row["r_members"] or row["l_members"])
                 groups = min(point.shape[1], spot.shape[1])
                 point, spot = point.reshape(len(n), -1, groups).sum(axis=1), spot.reshape(len(m), -1, groups).sum(axis=1)
                 box = int(np.minimum(point.max(axis=0), spot.max(axis=0)).sum())
@@ -350,7 +355,7 @@ def similar_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     placed = met.join(labels, "node")
     split = placed.withColumn("_low", F.min("component").over(every)).withColumn("_high", F.max("component").over(every))
     split = split.where("_low <> _high").select("meeting", "node", "component", "n", "place")
-    rest = _leaf_pairs(split.join(nodes.select("node", "counts"), "node"), percent).join(near, ["a", "b"], "left_anti")
+    rest = _leaf_pairs(split, nodes, percent).join(near, ["a", "b"], "left_anti")
     rest = written(rest, "pairs")
     if not rest.isEmpty():
         labels = _labels(nodes, links.unionByName(_verified(rest, docs, nodes, ident, text, percent)))

@@ -25,6 +25,20 @@ def test_edit_trial_equals_plain_python(spark, documents, corpus):
         assert sorted(got) == sorted(want)
 
 
+def test_depths_are_bytes_and_prints_stay_as_they_were():
+    """A text's terms are looked up as one array of bytes; prints are those of a loop over subsets."""
+    prints = fingerprint.Prints([f"t{i}" for i in range(60)])
+    for m in (1, 2, 3, 17, 60):
+        chosen = sorted(f"t{i}" for i in range(m))
+        depths = [prints.depths(t) for t in chosen]
+        assert all(isinstance(d, bytes) and len(d) == fingerprint.SUBSETS for d in depths)
+        want = []
+        for s in range(m.bit_length() - 1, m.bit_length() - 1 + fingerprint.SCALES):
+            kept = [[t for t, d in zip(chosen, depths, strict=True) if d[i] >= s] for i in range(fingerprint.SUBSETS)]
+            want.append(f"{s}:" + "".join(fingerprint._short("\n".join(k)) if k else fingerprint.EMPTY for k in kept))
+        assert prints.of(" ".join(chosen)) == ";".join(want)
+
+
 def test_fingerprints(spark, documents, corpus):
     band = fingerprint.lexicon(documents, least=0.02, most=0.5)
     got = fingerprint.fingerprints(documents, band, ["doc_id", "text"]).collect()

@@ -4,8 +4,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from millrace.llm import components as components_
 from millrace.llm import jaccard
 from millrace.llm.components import components
+from millrace.session import written
 
 
 def sets_of(rows):
@@ -99,5 +101,52 @@ def test_components(spark):
     assert dict(map(tuple, components(links).collect())) == {i: 0 for i in range(51)} | {90: 90, 100: 90}
 
 
+def test_links_that_have_done_their_work_are_not_read_again(spark, monkeypatch):
+    """A group of 200 copies around four hubs: its links are written once, and few of them later."""
+    draw, rows = random.Random(5), []
+
+    def counted(df, label):
+        out = written(df, label)
+        rows.append(out.count() if {"a", "b"} <= set(out.columns) else 0)
+        return out
+
+    monkeypatch.setattr(components_, "written", counted)
+    pairs = {(hub, node) for node in range(10, 210) for hub in draw.sample(range(4), 2)} | {(0, 1), (1, 2), (2, 3)}
+    found = components(spark.createDataFrame(sorted(pairs), "a long, b long"))
+    assert dict(map(tuple, found.collect())) == {node: 0 for pair in pairs for node in pair}
+    assert sum(rows) < 1.2 * len(pairs)
+
+
+def test_components_of_random_links(spark):
+    draw = random.Random(9)
+    pairs = [tuple(draw.sample(range(300), 2)) for _ in range(170)] + [(i, i - 1) for i in range(900, 800, -1)]
+    least = {node: node for pair in pairs for node in pair}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long")).collect())) == least
+
+
+def test_members_are_ranked_without_their_counts(spark, monkeypatch):
+    """The counts of a meeting's members are dealt out once, and once more only where it has several leaves."""
+    ranked, leaves, number = [], [], jaccard.row_numbers
+
+    def numbered(df, *args):
+        ranked.append(df.columns)
+        return number(df, *args)
+
+    def kept(df, label):
+        out = written(df, label)
+        leaves.extend(r["last"] for r in out.collect()) if label == "leaves" else None
+        return out
+
+    monkeypatch.setattr(jaccard, "row_numbers", numbered)
+    monkeypatch.setattr(jaccard, "written", kept)
+    draw, base = random.Random(4), [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], *(f"x{draw.randint(0, 40)}" for _ in range(8)), *base[30:]])) for i in range(30)]
+    assert got(jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert ranked and all("counts" not in columns for columns in ranked) and set(leaves) == {0}
+
+
 def test_empty_table(nothing):
     assert jaccard.similar_classes(nothing).count() == 0

@@ -55,3 +55,29 @@ def test_short_and_empty(spark, nothing):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(repeats.remove_repeats(docs)) == brute(rows, 50)
     assert repeats.remove_repeats(nothing).count() == 0
+
+
+def test_pieces_shorter_than_a_string_leave_before_places_are_dealt(spark, monkeypatch):
+    draw = random.Random(5)
+    letters = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    pieces = [letters(36) for _ in range(20)]
+    rows = [(i, "".join(letters(45) + draw.choice(pieces) for _ in range(10))) for i in range(100)]
+    rows.append((500, letters(20) + rows[7][1][100:300] + letters(20)))
+    dealt, met = [], repeats._met
+
+    def seen(places, *more):
+        dealt.append(sum(len(row["ranks"] or b"") for row in places.select("ranks").collect()))
+        return met(places, *more)
+
+    monkeypatch.setattr(repeats, "_met", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(repeats.remove_repeats(docs)) == brute(rows, 50)
+    assert len(dealt) == 2 and sum(dealt) < 2000
+
+
+def test_ranks_of_halves_spread_over_all_ranges():
+    draw = random.Random(6)
+    ranks = repeats.Ranks(50)
+    ranks.read(bytes(draw.choices(range(97, 123), k=20000)))
+    share = (ranks.halves(ranks.stretches()) >> np.uint64(62)).astype(int)
+    assert np.bincount(share, minlength=4).min() > 0.2 * len(share)
